@@ -90,6 +90,7 @@ def lzw_decode(data: bytes, bits: int, size: int) -> bytes:
     at, total, out, made = 0, len(data) * 8, [], 0
     singles = [bytes([i]) for i in range(clear)] + [b"", b""]
     table, entry = list(singles), b""
+    grow, add = table.append, out.append
     weight = (1 << np.arange(12)).astype(np.int64)
     n = 0
     while at + bits < total and made < size:
@@ -103,18 +104,23 @@ def lzw_decode(data: bytes, bits: int, size: int) -> bytes:
         codes = window @ weight
         stop = np.flatnonzero((codes == clear) | (codes == end))
         stop = int(stop[0]) if len(stop) else k
-        for code in codes[:stop].tolist():
-            if code < len(table):
+        own = codes[:stop].tolist()
+        begun = len(out)
+        room = max(0, 4096 - len(table) + (not entry))
+        for code in own[:room]:  # each adds an entry, but for the first after a clear code
+            try:
                 new = table[code]
-            elif code == len(table) and entry:
+            except IndexError:
+                if code != len(table) or not entry:
+                    raise ValueError("a code that the table does not have") from None
                 new = entry + entry[:1]
-            else:
-                raise ValueError("a code that the table does not have")
-            if entry and len(table) < 4096:
-                table.append(entry + new[:1])
+            if entry:
+                grow(entry + new[:1])
             entry = new
-            out.append(new)
-            made += len(new)
+            add(new)
+        for code in own[room:]:
+            add(table[code])
+        made += sum(map(len, out[begun:]))
         n += stop
         at = int(places[stop])
         if stop < k:
@@ -122,6 +128,7 @@ def lzw_decode(data: bytes, bits: int, size: int) -> bytes:
                 break
             at = int(places[stop + 1])
             table, entry, n = list(singles), b"", 0
+            grow = table.append
     got = b"".join(out)
     if len(got) < size:
         raise ValueError("the code stream ends early")

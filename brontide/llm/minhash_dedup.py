@@ -110,13 +110,14 @@ def near_groups(
     classes = materialise(filled.groupBy("k1", "k2", "n").agg(F.min("d").alias("rep")), "classes")
     reps = filled.join(classes.select(F.col("rep").alias("d"), "k1", "k2"), ["d", "k1", "k2"], "left_semi").dropDuplicates(["d"])
     halves = reps.select("d", F.posexplode("half").alias("i", "h"))
-    common = halves.groupBy("i", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("i", "h")
+    # counts are written first: a join of two plain exchanges is one whose hot keys Spark can split
+    common = materialise(halves.groupBy("i", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("i", "h"), "common")
     shared = halves.join(common, ["i", "h"], "left_semi")
     own = shared.groupBy("d").agg(
         F.collect_list(F.when(F.col("i") < tables, F.col("h"))).alias("x"), F.collect_list(F.when(F.col("i") >= tables, F.col("h"))).alias("y")
     )
     keyed = materialise(own.select("d", "y", F.explode("x").alias("a")).select("d", "a", F.explode("y").alias("b")).select("d", F.xxhash64("a", "b").alias("key")), "tables")
-    leaders = keyed.groupBy("key").agg(F.min("d").alias("u"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "u")
+    leaders = materialise(keyed.groupBy("key").agg(F.min("d").alias("u"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "u"), "leaders")
     members = materialise(keyed.join(leaders, "key"), "buckets")
     star = materialise(members.where("d != u").select("u", F.col("d").alias("v")).distinct(), "stars")
     wanted = star.select(F.col("u").alias("d")).union(star.select(F.col("v").alias("d"))).distinct()

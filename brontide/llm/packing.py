@@ -17,6 +17,9 @@ once each; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -28,35 +31,133 @@ from pyspark.sql import functions as F
 from .common import arrow_batches, materialise, ranked
 
 CAPACITY, END_ID = 4096, 1
-#: Words whose ids a Python worker remembers.
-CACHE = 150_000
+#: Words whose ids a Python worker remembers (about 200 bytes each).
+CACHE = 200_000
+#: Words of these characters need no normalisation but lower case; all others take the tokenizer's own path.
+_PLAIN = re.compile(r"[!-~\u00a1-\u024f]+")
+_PLAIN_TEXT = re.compile(r"[\t-\r -~\u00a1-\u024f]*")
+_SPACE, _LETTER, _NUMBER, _OTHER = range(4)
+
+
+def _kinds() -> np.ndarray:
+    """White space, letter, number or other, for the code points of plain texts."""
+    out = np.full(0x370, _OTHER, np.uint8)
+    for i in range(0x370):  # lower-casing can give combining marks
+        kind = unicodedata.category(chr(i))[0]
+        out[i] = _LETTER if kind == "L" else _NUMBER if kind == "N" else _OTHER
+    out[[9, 10, 11, 12, 13, 32]] = _SPACE
+    return out
+
+
+_KIND = _kinds()
+
+
+def pieces_of(text: str) -> tuple[str, np.ndarray]:
+    """The pieces of lower-cased plain text, each closed by a zero, and where each begins in ``text``.
+
+    A piece is a run of letters, one number, a run of anything else, or an
+    apostrophe with s, t, m, d, re, ve or ll where no such run is under way.
+    """
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    n = len(points)
+    kind = _KIND[points]
+    before = np.concatenate([[_SPACE], kind[:-1]])
+    begins = (kind != _SPACE) & ((kind != before) | (kind == _NUMBER))
+    for i in np.flatnonzero((points == 39) & (before != _OTHER)).tolist():
+        tail = text[i + 1 : i + 3]
+        size = 3 if tail in ("re", "ve", "ll") else 2 if tail[:1] in ("s", "t", "m", "d") and tail else 0
+        if size:
+            begins[i + 1 : i + size] = False
+            if i + size < n and kind[i + size] != _SPACE:
+                begins[i + size] = True
+    start = np.flatnonzero(begins)
+    shown = np.flatnonzero(kind != _SPACE)
+    # a zero goes before each piece but the first, and one to the end
+    place = np.arange(len(shown)) + np.cumsum(begins[shown]) - 1
+    out = np.zeros(len(shown) + len(start), "<u4")
+    out[place] = points[shown]
+    return out.tobytes().decode("utf-32-le"), start
+
+
+def _byte_of() -> dict[str, int]:
+    """The byte that each printable stand-in of a byte-level vocabulary means."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
 class Encoder:
     """ids of a text as little-endian unsigned 32-bit bytes, word by word.
 
-    White space always separates words for this tokenizer, so words are encoded
-    apart, once each, and remembered.
+    The pieces of plain texts (see ``_PLAIN_TEXT``) are merged in one call for a
+    whole batch: every piece is closed by a zero byte that stands for the
+    vocabulary's end-of-word mark, and the byte-pair ranks come from the
+    tokenizer's file.  White space always separates words for this tokenizer, so
+    other texts are encoded word by word; their words are remembered.
     """
 
     def __init__(self, path: str) -> None:
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [(x or "").split() for x in texts]
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        byte = _byte_of()
+        raw = lambda x: bytes(byte[c] for c in x.removesuffix("</w>")) + b"\0" * x.endswith("</w>")
+        merges = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
+        ends = [x for x in model["vocab"] if x.endswith("</w>") and len(x) == 5]
+        order = dict.fromkeys([*map(raw, ends), *(raw(a + b) for a, b in merges)])
+        ranks = {x: i for i, x in enumerate(order)}
+        for i in range(256):
+            ranks.setdefault(bytes([i]), len(ranks))
+        self.fast = tiktoken.Encoding("pieces", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
+        self.id = np.zeros(len(ranks), np.uint32)
+        self.last = np.zeros(len(ranks), bool)
+        for x, i in model["vocab"].items():
+            if (x != "</w>") and not x.startswith("<|") and (k := ranks.get(raw(x))) is not None:
+                self.id[k], self.last[k] = i, x.endswith("</w>")
+        self.known: dict[bytes, bytes] = {}
+
+    def learn(self, words: list[bytes]) -> None:
+        """Encodes and remembers words."""
+        plain = []
+        for word in words:
+            text = word.decode()
+            if _PLAIN.fullmatch(text) and "<|" not in text:
+                plain.append(text)
+            else:
+                self.known[word] = np.array(self.of.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.known.update(zip((x.encode() for x in plain), self.merged(plain), strict=True))
+
+    def merged(self, texts: list[str]) -> list[bytes]:
+        """The ids of plain texts, in one call."""
+        low = [x.lower() for x in texts]
+        pieces, start = pieces_of(" ".join(low))
+        if not pieces:
+            return [b""] * len(texts)
+        edges = np.cumsum([0, *(len(x) + 1 for x in low)])
+        got = self.fast.encode_to_numpy(pieces, disallowed_special=())
+        ids = self.id[got].astype("<u4").tobytes()
+        closed = np.concatenate([[0], np.flatnonzero(self.last[got]) + 1]) * 4
+        bounds = closed[np.searchsorted(start, edges)].tolist()
+        return [ids[i:j] for i, j in zip(bounds, bounds[1:], strict=False)]
+
+    def __call__(self, texts: list[bytes | None]) -> list[bytes]:
+        shown = [(x or b"").decode() for x in texts]
+        plain = [i for i, x in enumerate(shown) if _PLAIN_TEXT.fullmatch(x) and "<|" not in x]
+        out: list[bytes] = [b""] * len(texts)
+        for i, ids in zip(plain, self.merged([shown[i] for i in plain]), strict=True):
+            out[i] = ids
+        rest = sorted(set(range(len(texts))) - set(plain))
+        split = {i: texts[i].split() for i in rest}
         if len(self.known) > CACHE:
             self.known = {}
-        known = self.known
-        new = [x for x in set().union(*split) if x not in known] if split else []
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for word, got in zip(part, self.of.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[word] = np.array(got.ids, "<u4").tobytes()
-        get = known.__getitem__
-        return [b"".join(map(get, x)) for x in split]
+        if new := [x for x in set().union(*split.values()) if x not in self.known]:
+            self.learn(new)
+        for i in rest:
+            out[i] = b"".join(map(self.known.__getitem__, split[i]))
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -71,7 +172,7 @@ def _pieces(path: str, capacity: int, end_id: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         encode = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
         for batch in batches:
-            ids, rows, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            ids, rows, out = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), []
             for i in range(0, len(rows), 64):
                 for d, got in zip(ids[i : i + 64], encode(rows[i : i + 64]), strict=True):
                     got += end

@@ -106,15 +106,16 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     arrow_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).where("d is not null and t is not null")
     rows = slim.mapInArrow(_index(window, gram), "a long, c long, d long, s0 int, s1 int")
-    shared = rows.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
+    # written first: a join of two plain exchanges is one whose hot keys Spark can split
+    shared = materialise(rows.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a"), "shared")
     known = materialise(rows.join(shared, "a", "left_semi"), "factors")
     place = F.struct("d", "s0", "s1")
     whole = materialise(known.groupBy("a", "c").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n")), "blocks")
-    mixed = whole.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("a")
+    mixed = materialise(whole.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("a"), "mixed")
     firsts = whole.join(mixed, "a", "left_semi").select("f.d", F.struct("f.s0", "f.s1").alias("x"))
     ends = slim.join(firsts.groupBy("d").agg(F.collect_list("x").alias("x")), "d").select("d", "t", "x")
     compared = materialise(ends.mapInArrow(_windows(window), "h long, d long, s int"), "windows")
-    seen = compared.groupBy("h").agg(F.min(F.struct("d", "s")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "f")
+    seen = materialise(compared.groupBy("h").agg(F.min(F.struct("d", "s")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "f"), "seen")
     single = compared.join(seen, "h").where("d != f.d or s != f.s").select("d", F.col("s").alias("a"), (F.col("s") + window).alias("b"))
     repeated = whole.where("n > 1").select("a", "c", "f")
     going_on = (
