@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from .queries import core, streams, temporal
+from .queries.base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "flagship", "core", "streams", "temporal"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return QUERIES["l1_flagship_hourly_mean"](spark, sf_dir)
