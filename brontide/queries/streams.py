@@ -8,11 +8,11 @@ from ..streaming import engine as T
 from .base import query
 
 
-@query("SELECT date_trunc('hour', e.ts) AS window_start, event_type, count(*) AS n, max(value) AS high FROM events e GROUP BY ALL")
+@query("SELECT epoch_us(date_trunc('hour', e.ts)) AS window_start, event_type, count(*) AS n, max(value) AS high FROM events e GROUP BY ALL")
 def t2_stream_tumbling(spark, d):
     s = T.source(spark, d, "events")
     out = T.finish(T.tumbling(s, "ts", "1 hour", ["event_type"], [F.count(F.lit(1)).alias("n"), F.max("value").alias("high")]), "complete")
-    return out.select("window_start", "event_type", "n", "high")
+    return out.select(F.unix_micros("window_start").alias("window_start"), "event_type", "n", "high")
 
 
 @query("SELECT user_id, min(event_id) AS event_id FROM events GROUP BY 1")
@@ -33,7 +33,8 @@ def j4_stream_join(spark, d):
 @query()
 def t5_stream_sessions(spark, d):
     s = T.source(spark, d, "events")
-    return T.finish(T.session(s, "ts", "1 hour", ["user_id"], [F.count(F.lit(1)).alias("n")]))
+    out = T.finish(T.session(s, "ts", "1 hour", ["user_id"], [F.count(F.lit(1)).alias("n")]))
+    return out.select(F.unix_micros("window_start").alias("window_start"), F.unix_micros("window_end").alias("window_end"), "user_id", "n")
 
 
 @query()

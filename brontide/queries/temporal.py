@@ -16,21 +16,22 @@ from ..streaming import engine as T
 from .base import D, H, MIN, S, T0, query, rounded
 from .core import run
 
-_ORDER = Window.partitionBy("user_id").orderBy("ts", "event_id")
+def _order():
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
 
 
 @query("""SELECT event_id, row_number() OVER w AS rn, rank() OVER v AS rk, dense_rank() OVER v AS dr, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) + 1e-9, 6) AS running
 FROM p WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id), v AS (PARTITION BY user_id ORDER BY event_type)""")
 def w1_w2_ranks_running(spark, d):
     v = Window.partitionBy("user_id").orderBy("event_type")
-    running = F.avg("value").over(_ORDER.rowsBetween(Window.unboundedPreceding, 0))
-    return events(spark, d).df.select("event_id", F.row_number().over(_ORDER).alias("rn"), F.rank().over(v).alias("rk"), F.dense_rank().over(v).alias("dr"), F.round(running + 1e-9, 6).alias("running"))
+    running = F.avg("value").over(_order().rowsBetween(Window.unboundedPreceding, 0))
+    return events(spark, d).df.select("event_id", F.row_number().over(_order()).alias("rn"), F.rank().over(v).alias("rk"), F.dense_rank().over(v).alias("dr"), F.round(running + 1e-9, 6).alias("running"))
 
 
 @query("SELECT event_id, lag(value) OVER w AS before, lead(value) OVER w AS after, first_value(value) OVER w AS first, nth_value(value, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM p WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def w3_w4_lag_lead_nth(spark, d):
-    whole = _ORDER.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return events(spark, d).df.select("event_id", F.lag("value").over(_ORDER).alias("before"), F.lead("value").over(_ORDER).alias("after"), F.first("value").over(_ORDER).alias("first"), F.nth_value("value", 2).over(whole).alias("second"))
+    whole = _order().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return events(spark, d).df.select("event_id", F.lag("value").over(_order()).alias("before"), F.lead("value").over(_order()).alias("after"), F.first("value").over(_order()).alias("first"), F.nth_value("value", 2).over(whole).alias("second"))
 
 
 @query("""WITH b AS (SELECT (ts // 3600000000000) * 3600000000000 AS bucket, avg(value) AS value FROM p WHERE user_id = 7 GROUP BY 1), g AS (SELECT unnest(range(min(bucket), max(bucket) + 1, 3600000000000)) AS bucket FROM b),
@@ -47,8 +48,8 @@ def w6_interpolate(spark, d):
 
 @query("SELECT event_id, round((value - lag(value) OVER w) / nullif((ts - lag(ts) OVER w) / 1e9, 0), 6) AS change, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 4 PRECEDING), 6) AS ma FROM p WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def w7_w8_change_moving_average(spark, d):
-    step = (F.col("ts") - F.lag("ts").over(_ORDER)) / 1e9
-    change = (F.col("value") - F.lag("value").over(_ORDER)) / F.when(step != 0, step)
+    step = (F.col("ts") - F.lag("ts").over(_order())) / 1e9
+    change = (F.col("value") - F.lag("value").over(_order())) / F.when(step != 0, step)
     return events(spark, d).df.select("event_id", F.round(change, 6).alias("change"), F.round(windows.moving(F.avg("value"), ["user_id"], ["ts", "event_id"], 5), 6).alias("ma"))
 
 
@@ -303,7 +304,7 @@ def m4_bfs(spark, d):
 SELECT event_id, CASE WHEN inside THEN 'enter' ELSE 'exit' END AS event FROM q WHERE inside <> before""")
 def m9_geofence_events(spark, d):
     inside = F.col("value") > 30
-    df = events(spark, d).df.withColumn("inside", inside).withColumn("before", F.lag(inside, 1, False).over(_ORDER))
+    df = events(spark, d).df.withColumn("inside", inside).withColumn("before", F.lag(inside, 1, False).over(_order()))
     return df.where("inside != before").select("event_id", F.when(F.col("inside"), "enter").otherwise("exit").alias("event"))
 
 
@@ -405,7 +406,7 @@ def t6_count_windows(spark, d):
 
 @query("SELECT event_id, round(sum(value) OVER w, 4) AS total, count(*) OVER w AS n, max(value) OVER w AS high FROM p WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
 def t15_running_aggregates(spark, d):
-    w = _ORDER.rowsBetween(Window.unboundedPreceding, 0)
+    w = _order().rowsBetween(Window.unboundedPreceding, 0)
     return events(spark, d).df.select("event_id", F.round(F.sum("value").over(w), 4).alias("total"), F.count(F.lit(1)).over(w).alias("n"), F.max("value").over(w).alias("high"))
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..shared import shared_dir
+
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table as a file stream."""
@@ -30,7 +32,7 @@ def finish(stream: DataFrame, mode: str = "append", folder: str | None = None) -
     of the last batch that had any (idempotent per batch).
     """
     spark = stream.sparkSession
-    base = folder or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file:///tmp/brontide-{spark.sparkContext.applicationId}"
+    base = folder or shared_dir(spark)
     at = f"{base}/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{at}/state")
     if mode == "append":
