@@ -36,14 +36,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: whole copies, and the first words of one at the end of a source's target."""
-    taken = mixing.mix(docs).select("doc_id", "size", "taken").where("taken > 0")
-    full = F.floor(F.col("taken") / F.col("size"))
-    rest = F.col("taken") - full * F.col("size")
-    copies = taken.select(
-        "doc_id", "size", F.explode(F.filter(F.array(*[F.when(full >= k, F.col("size")) for k in range(1, mixing.MOST + 1)], F.when(rest > 0, rest)), lambda x: x.isNotNull())).alias("words")
-    )
+    taken = mixing.mix(docs).where("taken > 0").select("doc_id", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    full = F.floor(F.col("_taken") / F.col("_size"))
+    rest = F.col("_taken") - full * F.col("_size")
+    shares = F.array(*[F.when(full >= k, F.col("_size")) for k in range(1, mixing.MOST + 1)], F.when(rest > 0, rest))
+    copies = taken.select("doc_id", "_size", F.explode(F.filter(shares, lambda x: x.isNotNull())).alias("_words"))
     words = F.regexp_extract_all("text", F.lit(mixing.WORD), F.lit(0))
-    cut = F.when(F.col("words") == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.col("words").cast("int")), " "))
+    cut = F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.col("_words").cast("int")), " "))
     return docs.join(copies, "doc_id").withColumn("text", cut).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
