@@ -54,7 +54,7 @@ def encoded(text: str, lut: np.ndarray) -> np.ndarray:
 
 
 def automaton(codes: list[int]) -> np.ndarray:
-    """Transitions [state, symbol] -> 64 * next state, plus 1 where a new phrase begins at the root."""
+    """Transitions [state, symbol] -> 64 * next state, plus 1 where the symbol begins a new phrase."""
     link, length, nexts, last = [-1], [0], [{}], 0
     for c in codes:
         cur = len(link)
@@ -85,6 +85,7 @@ def automaton(codes: list[int]) -> np.ndarray:
     table = np.tile((root + 1).astype(np.int32), (len(link), 1))
     at = np.array([(s, c, to) for s, own in enumerate(nexts) for c, to in own.items()], np.int64).reshape(-1, 3)
     table[at[:, 0], at[:, 1]] = at[:, 2] * SYMBOLS
+    table[0] = root + 1  # whatever leaves the root begins a phrase; an unknown symbol is one of its own
     return table
 
 
@@ -126,8 +127,7 @@ class Parser:
         total = np.zeros((len(self.names), len(texts)), np.int64)
         for k in range(len(self.names)):
             total[k] = np.bincount(own[order], counts[k], len(texts))
-        pieces = np.bincount(own, minlength=len(texts))
-        return total + pieces, size, letters
+        return total, size, letters
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if not self.names:

@@ -75,7 +75,7 @@ def schedule(spark, goals: DataFrame, block: int = BLOCK) -> DataFrame:
     cells = wanted.where("hi > lo").select("s", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / _CELL), F.floor((F.col("hi") - 1) / _CELL))).alias("cell"))
     point = F.pmod(F.pmod(F.col("id"), F.lit(_POINTS)) * _STEP, F.lit(_POINTS))
     drawn = spark.range(slots).select(F.col("id").alias("slot"), point.alias("x")).withColumn("cell", F.floor(F.col("x") / _CELL))
-    owned = drawn.join(cells, "cell").where("x >= lo and x < hi").select("slot", "s").withColumn("o", F.col("slot") * F.lit((1 << 62) // max(1, slots) * 2))
+    owned = drawn.join(cells, "cell").where("x >= lo and x < hi").select("slot", "s").withColumn("o", F.col("slot") * F.lit(((1 << 63) - 1) // max(1, slots)))
     numbered = materialise(ranked(owned, ["s"], "o", ["slot"]).select("slot", "s", "rank"), "slots")
     given = numbered.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
     short = wanted.join(given, "s", "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n < need")
