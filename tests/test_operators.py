@@ -249,7 +249,7 @@ def test_promql_forms(spark):
     assert at("sum(m)") == [(None, 110.0)] and at("sum without (host) (m)") == [(None, 110.0)] and at("topk(1, m)") == [("b", 100.0)]
     assert at("m > 50") == [("b", 100.0)] and at("m > bool 50") == [("a", 0.0), ("b", 1.0)]
     assert at("m and m > 50") == [("b", 100.0)] and at('m or m{host="a"}') == [("a", 10.0), ("b", 100.0)]
-    assert at('m offset 2m{host="a"}' if False else 'm{host="a"} offset 2m') == [("a", 8.0)]
+    assert at('m{host="a"} offset 2m') == [("a", 8.0)]
     assert at('delta(m{host="a"}[5m])') == [("a", 4.0)] and at("2 ^ 3 ^ 0 * vector(1)") == [(None, 2.0)]
     assert at('absent(m{host="zz"})') == [(None, 1.0)] and at("clamp(m, 20, 50)") == [("a", 20.0), ("b", 50.0)]
     assert at('label_replace(m{host="a"}, "host", "x-$1", "host", "(.*)")') == [("x-a", 10.0)]
