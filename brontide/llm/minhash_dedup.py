@@ -3,15 +3,16 @@
 Two small collections of ``tables`` half keys (each of ``rows`` minhashes) are
 computed per document; the table keys are all pairs of a half key of the first
 and one of the second collection, so ``tables**2`` tables need only
-``2 * tables * rows`` minhashes.  With 10 and 2 a pair of similarity 0.75 has no
-common table with probability 0.0006, one of 0.8 with 0.00008.
+``2 * tables * rows`` minhashes.  With 16 and 3 a pair of similarity 0.75 has no
+common table with probability 0.0003, one of 0.8 with 0.00002.
 
 Half keys that only one class has are dropped before pairs are formed, so most
 documents never reach the tables.  Equal shingle sets are one class from the
 start.  In every table bucket the members are first compared with the bucket's
 smallest id (a star, never all pairs); members of the same bucket that then still
-lie in different components are compared with each other, until nothing is left
-to compare.  Every link is confirmed on the full shingle sets (64-bit hashes).
+lie in different components are compared with each other if their sizes and their
+signatures (at least ``SHARED`` equal half keys) allow a link.  Every link is
+confirmed on the full shingle sets (64-bit hashes).
 
 Defined cases: a text without words, or null, has an empty set and is linked with
 nothing; with fewer than ``shingle`` words the whole sequence is the only
@@ -33,7 +34,9 @@ from .common import arrow_batches, materialise
 from .components import components
 from .hashing import Segments, U, Words, blocks, mix
 
-SHINGLE, TABLES, ROWS = 5, 10, 2
+SHINGLE, TABLES, ROWS = 5, 16, 3
+#: Half keys that a pair of similarity 0.75 shares but for a probability of 0.00004 (it shares 13.5 of 32 on average).
+SHARED = 4
 
 
 def _shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,12 +131,17 @@ def near_groups(
     # What the stars left apart: pairs of one bucket in different components, each compared once.
     apart = members.select("key", "d").join(found.withColumnRenamed("node", "d"), "d", "left").select("key", "d", F.coalesce("component", "d").alias("c"))
     split = apart.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
-    apart = materialise(apart.join(split, "key", "left_semi"), "apart")
+    known = reps.select("d", "n", "half").join(apart.join(split, "key", "left_semi").select("d").distinct(), "d", "left_semi")
+    apart = materialise(apart.join(split, "key", "left_semi").join(known, "d"), "apart")
+    named = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("d", "c", "n", "half")]
+    alike = F.size(F.filter(F.zip_with("u_half", "v_half", lambda a, b: a == b), lambda x: x)) >= SHARED
+    fits = (100 * F.least("u_n", "v_n") >= percent * F.greatest("u_n", "v_n")) & alike
     pairs = (
-        apart.select("key", F.col("d").alias("u"), F.col("c").alias("cu"))
-        .join(apart.select("key", F.col("d").alias("v"), F.col("c").alias("cv")), "key")
-        .where("u < v and cu != cv")
-        .select("u", "v")
+        apart.select("key", *named("u"))
+        .join(apart.select("key", *named("v")), "key")
+        .where("u_d < v_d and u_c != v_c")
+        .where(fits)
+        .select(F.col("u_d").alias("u"), F.col("v_d").alias("v"))
         .distinct()
         .join(star, ["u", "v"], "left_anti")
     )
