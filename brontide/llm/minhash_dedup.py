@@ -8,10 +8,11 @@ common table with probability 0.0003, one of 0.8 with 0.00002.
 
 Half keys that only one class has are dropped before pairs are formed, so most
 documents never reach the tables.  Equal shingle sets are one class from the
-start.  In every table bucket the members are first compared with the bucket's
-smallest id (a star, never all pairs); members of the same bucket that then still
+start.  In every table bucket the members are first compared with one of them, the
+one whose half keys most classes share (a star, never all pairs); members of the same bucket that then still
 lie in different components are compared with each other if their sizes and their
-signatures (at least ``SHARED`` equal half keys) allow a link.  Every link is
+signatures (at least ``SHARED`` equal half keys) allow a link, each pair in the first
+of its common tables only.  Every link is
 confirmed on the full shingle sets (64-bit hashes).
 
 Defined cases: a text without words, or null, has an empty set and is linked with
@@ -114,15 +115,15 @@ def near_groups(
     reps = filled.join(classes.select(F.col("rep").alias("d"), "k1", "k2"), ["d", "k1", "k2"], "left_semi").dropDuplicates(["d"])
     halves = reps.select("d", F.posexplode("half").alias("i", "h"))
     # counts are written first: a join of two plain exchanges is one whose hot keys Spark can split
-    common = materialise(halves.groupBy("i", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("i", "h"), "common")
-    shared = halves.join(common, ["i", "h"], "left_semi")
+    common = materialise(halves.groupBy("i", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "common")
+    shared = halves.join(common, ["i", "h"])
     own = shared.groupBy("d").agg(
-        F.collect_list(F.when(F.col("i") < tables, F.col("h"))).alias("x"), F.collect_list(F.when(F.col("i") >= tables, F.col("h"))).alias("y")
+        F.collect_list(F.when(F.col("i") < tables, F.col("h"))).alias("x"), F.collect_list(F.when(F.col("i") >= tables, F.col("h"))).alias("y"), F.sum("c").alias("w")
     )
-    keyed = materialise(own.select("d", "y", F.explode("x").alias("a")).select("d", "a", F.explode("y").alias("b")).select("d", F.xxhash64("a", "b").alias("key")), "tables")
-    leaders = materialise(keyed.groupBy("key").agg(F.min("d").alias("u"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "u"), "leaders")
-    members = materialise(keyed.join(leaders, "key"), "buckets")
-    star = materialise(members.where("d != u").select("u", F.col("d").alias("v")).distinct(), "stars")
+    keyed = materialise(own.select("d", "w", "y", F.explode("x").alias("a")).select("d", "w", "a", F.explode("y").alias("b")).select("d", "w", F.xxhash64("a", "b").alias("key")), "tables")
+    leaders = materialise(keyed.groupBy("key").agg(F.max(F.struct("w", (-F.col("d")).alias("d"))).alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", (-F.col("m.d")).alias("u")), "leaders")
+    members = materialise(keyed.join(leaders, "key").select("key", "d", "u"), "buckets")
+    star = materialise(members.where("d != u").select(F.least("d", "u").alias("u"), F.greatest("d", "u").alias("v")).distinct(), "stars")
     wanted = star.select(F.col("u").alias("d")).union(star.select(F.col("v").alias("d"))).distinct()
     texts = slim.join(wanted, "d", "left_semi").dropDuplicates(["d"])
     sets = materialise(texts.mapInArrow(_sets(shingle), "d long, s array<long>"), "sets")
@@ -135,7 +136,9 @@ def near_groups(
     apart = materialise(apart.join(split, "key", "left_semi").join(known, "d"), "apart")
     named = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("d", "c", "n", "half")]
     alike = F.size(F.filter(F.zip_with("u_half", "v_half", lambda a, b: a == b), lambda x: x)) >= SHARED
-    fits = (100 * F.least("u_n", "v_n") >= percent * F.greatest("u_n", "v_n")) & alike
+    equal = lambda a, n: F.element_at(F.filter(F.zip_with(F.slice("u_half", a, n), F.slice("v_half", a, n), lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), 1)
+    first = F.col("key") == F.xxhash64(equal(1, tables), equal(tables + 1, tables))
+    fits = first & (100 * F.least("u_n", "v_n") >= percent * F.greatest("u_n", "v_n")) & alike
     pairs = (
         apart.select("key", *named("u"))
         .join(apart.select("key", *named("v")), "key")
