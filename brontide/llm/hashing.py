@@ -18,7 +18,7 @@ _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes of text handled at once; about twelve arrays of eight times that are alive.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:

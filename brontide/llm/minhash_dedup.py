@@ -11,8 +11,8 @@ documents never reach the tables.  Equal shingle sets are one class from the
 start.  In every table bucket the members are first compared with one of them, the
 one whose half keys most classes share (a star, never all pairs); members of the same bucket that then still
 lie in different components are compared with each other if their sizes and their
-signatures (at least ``SHARED`` equal half keys) allow a link, each pair in the first
-of its common tables only.  Every link is
+signatures (54 of 96 equal minhashes at least) allow a link, each pair in the first of
+its common tables only.  Every link is
 confirmed on the full shingle sets (64-bit hashes).
 
 Defined cases: a text without words, or null, has an empty set and is linked with
@@ -24,11 +24,12 @@ and linked with nothing.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, materialise
@@ -36,8 +37,8 @@ from .components import components
 from .hashing import Segments, U, Words, blocks, mix
 
 SHINGLE, TABLES, ROWS = 5, 16, 3
-#: Half keys that a pair of similarity 0.75 shares but for a probability of 0.00004 (it shares 13.5 of 32 on average).
-SHARED = 4
+#: Standard deviations below the mean at which a pair's equal minhashes rule a link out (a probability of 0.00001).
+SIGMAS = 4.2
 
 
 def _shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,14 +69,18 @@ def _signatures(k: int, tables: int, rows: int):
                     k1[j] = mix(own).sum(dtype=U).view(np.int64)
                     k2[j] = mix(own ^ U(0x5851F42D4C957F2D)).sum(dtype=U).view(np.int64)
                 half = np.zeros((len(texts), 2 * tables), np.int64)
+                sig = np.zeros((len(texts), 2 * tables * rows), np.int32)
                 if len(full):
                     for t in range(2 * tables):
                         key = np.full(len(full), t, U)
                         for r in range(t * rows, t * rows + rows):
-                            key = mix(key * U(31) + np.minimum.reduceat((grams ^ flip[r]) * times[r], bounds[full]))
+                            least = mix(np.minimum.reduceat((grams ^ flip[r]) * times[r], bounds[full]))
+                            sig[full, r] = (least & U(0xFFFF)).astype(np.int32)
+                            key = mix(key * U(31) + least)
                         half[full, t] = key.view(np.int64)
                 flat = pa.FixedSizeListArray.from_arrays(pa.array(half.ravel()), 2 * tables).cast(pa.list_(pa.int64()))
-                yield pa.record_batch([ids.slice(i, len(texts)), pa.array(n), pa.array(k1), pa.array(k2), flat], ["d", "n", "k1", "k2", "half"])
+                marks = pa.FixedSizeListArray.from_arrays(pa.array(sig.ravel()), 2 * tables * rows).cast(pa.list_(pa.int32()))
+                yield pa.record_batch([ids.slice(i, len(texts)), pa.array(n), pa.array(k1), pa.array(k2), flat, marks], ["d", "n", "k1", "k2", "half", "sig"])
 
     return run
 
@@ -102,6 +107,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(100 * both >= percent * (total - both)).select("u", "v")
 
 
+def _possible(percent: int, count: int) -> Column:
+    """Whether sizes and signatures of u and v allow a link."""
+    share = percent / 100
+    least = math.floor(count * share - SIGMAS * math.sqrt(count * share * (1 - share)))
+    equal = F.size(F.filter(F.zip_with("u_sig", "v_sig", lambda a, b: a == b), lambda x: x))
+    return (100 * F.least("u_n", "v_n") >= percent * F.greatest("u_n", "v_n")) & (equal >= least)
+
+
 def near_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, shingle: int = SHINGLE, tables: int = TABLES, rows: int = ROWS
 ) -> DataFrame:
@@ -109,7 +122,7 @@ def near_groups(
     arrow_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
     slim = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
-    base = materialise(slim.mapInArrow(_signatures(shingle, tables, rows), "d long, n long, k1 long, k2 long, half array<long>"), "minhash")
+    base = materialise(slim.mapInArrow(_signatures(shingle, tables, rows), "d long, n long, k1 long, k2 long, half array<long>, sig array<int>"), "minhash")
     filled = base.where("n > 0 and d is not null")
     classes = materialise(filled.groupBy("k1", "k2", "n").agg(F.min("d").alias("rep")), "classes")
     reps = filled.join(classes.select(F.col("rep").alias("d"), "k1", "k2"), ["d", "k1", "k2"], "left_semi").dropDuplicates(["d"])
@@ -124,21 +137,22 @@ def near_groups(
     leaders = materialise(keyed.groupBy("key").agg(F.max(F.struct("w", (-F.col("d")).alias("d"))).alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", (-F.col("m.d")).alias("u")), "leaders")
     members = materialise(keyed.join(leaders, "key").select("key", "d", "u"), "buckets")
     star = materialise(members.where("d != u").select(F.least("d", "u").alias("u"), F.greatest("d", "u").alias("v")).distinct(), "stars")
+    marks = lambda x: reps.select(F.col("d").alias(x), F.col("n").alias(f"{x}_n"), F.col("sig").alias(f"{x}_sig"))
+    possible = materialise(star.join(marks("u"), "u").join(marks("v"), "v").where(_possible(percent, 2 * tables * rows)).select("u", "v"), "possible")
     wanted = star.select(F.col("u").alias("d")).union(star.select(F.col("v").alias("d"))).distinct()
     texts = slim.join(wanted, "d", "left_semi").dropDuplicates(["d"])
     sets = materialise(texts.mapInArrow(_sets(shingle), "d long, s array<long>"), "sets")
-    links = materialise(_confirmed(star, sets, percent), "links")
+    links = materialise(_confirmed(possible, sets, percent), "links")
     found = components(links, "u", "v")
     # What the stars left apart: pairs of one bucket in different components, each compared once.
     apart = members.select("key", "d").join(found.withColumnRenamed("node", "d"), "d", "left").select("key", "d", F.coalesce("component", "d").alias("c"))
     split = apart.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
-    known = reps.select("d", "n", "half").join(apart.join(split, "key", "left_semi").select("d").distinct(), "d", "left_semi")
+    known = reps.select("d", "n", "half", "sig").join(apart.join(split, "key", "left_semi").select("d").distinct(), "d", "left_semi")
     apart = materialise(apart.join(split, "key", "left_semi").join(known, "d"), "apart")
-    named = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("d", "c", "n", "half")]
-    alike = F.size(F.filter(F.zip_with("u_half", "v_half", lambda a, b: a == b), lambda x: x)) >= SHARED
+    named = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("d", "c", "n", "half", "sig")]
     equal = lambda a, n: F.element_at(F.filter(F.zip_with(F.slice("u_half", a, n), F.slice("v_half", a, n), lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), 1)
     first = F.col("key") == F.xxhash64(equal(1, tables), equal(tables + 1, tables))
-    fits = first & (100 * F.least("u_n", "v_n") >= percent * F.greatest("u_n", "v_n")) & alike
+    fits = first & _possible(percent, 2 * tables * rows)
     pairs = (
         apart.select("key", *named("u"))
         .join(apart.select("key", *named("v")), "key")
