@@ -9,11 +9,11 @@ common table with probability 0.0003, one of 0.8 with 0.00002.
 Half keys that only one class has are dropped before pairs are formed, so most
 documents never reach the tables.  Equal shingle sets are one class from the
 start.  In every table bucket the members are first compared with one of them, the
-one whose half keys most classes share (a star, never all pairs); members of the same bucket that then still
-lie in different components are compared with each other if their sizes and their
-signatures (54 of 96 equal minhashes at least) allow a link, each pair in the first of
-its common tables only.  Every link is
-confirmed on the full shingle sets (64-bit hashes).
+one whose half keys most classes share (a star, never all pairs), if sizes and
+signatures (54 of 96 equal minhashes at least) allow a link.  Members of a bucket that
+then still lie in different components are compared with each other, in pairs that
+share one of the rarest shingles of both sets, as any two similar sets do.  Every link
+is confirmed on the full shingle sets (64-bit hashes).
 
 Defined cases: a text without words, or null, has an empty set and is linked with
 nothing; with fewer than ``shingle`` words the whole sequence is the only
@@ -115,6 +115,38 @@ def _possible(percent: int, count: int) -> Column:
     return (100 * F.least("u_n", "v_n") >= percent * F.greatest("u_n", "v_n")) & (equal >= least)
 
 
+def _close(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of (d, c) rows of different components c whose sets may be similar enough.
+
+    Two similar sets share an element among the first few of each, in any common
+    order; with the rarest elements first that leaves few pairs, and the places of
+    the shared element bound the intersection.  No similar pair is missed.  In each
+    element's list, rows of its largest component are not paired with one another.
+    """
+    n = F.col("n")
+    items = apart.join(sets, "d").select("d", "c", F.size("s").alias("n"), F.explode("s").alias("w"))
+    often = materialise(items.groupBy("w").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "often")
+    known = items.join(often, "w").groupBy("d", "c", "n").agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("r"))
+    # Elements of one set only come first of all: they take places, but join with nothing.
+    alone = n - F.size("r")
+    longer, shorter = n - F.ceil(n * percent / 100) + 1, n - F.ceil(2 * n * percent / (100 + percent)) + 1
+    first = known.select("d", "c", "n", alone.alias("alone"), shorter.cast("int").alias("most"), F.slice("r", 1, F.greatest(longer.cast("int") - alone, F.lit(0))).alias("r"))
+    heads = materialise(first.select("d", "c", "n", "most", "alone", F.posexplode("r").alias("i", "r")).select("d", "c", "n", "most", (F.col("alone") + F.col("i")).alias("at"), "r.w"), "heads")
+    sizes = heads.groupBy("w", "c").agg(F.count(F.lit(1)).alias("k"))
+    lists = materialise(sizes.groupBy("w").agg(F.max(F.struct("k", "c")).alias("m"), F.count(F.lit(1)).alias("cs")).where("cs > 1").select("w", F.col("m.c").alias("main")), "lists")
+    heads = materialise(heads.join(lists, "w"), "heads")
+    u, v = (heads.select("w", *[F.col(x).alias(f"{side}_{x}") for x in ("d", "c", "n", "most", "at", "main")]) for side in "uv")
+    before = (F.col("u_n") < F.col("v_n")) | ((F.col("u_n") == F.col("v_n")) & (F.col("u_d") < F.col("v_d")))
+    shared = F.least(F.col("u_n") - F.col("u_at"), F.col("v_n") - F.col("v_at"))
+    fits = (
+        (F.col("u_c") != F.col("v_c"))
+        & F.when(before, F.col("u_at") < F.col("u_most")).otherwise(F.col("v_at") < F.col("v_most"))
+        & (100 * F.least("u_n", "v_n") >= percent * F.greatest("u_n", "v_n"))
+        & ((100 + percent) * shared >= percent * (F.col("u_n") + F.col("v_n")))
+    )
+    return u.where("u_c != u_main").join(v, "w").where(fits).select(F.least("u_d", "v_d").alias("u"), F.greatest("u_d", "v_d").alias("v")).distinct()
+
+
 def near_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, shingle: int = SHINGLE, tables: int = TABLES, rows: int = ROWS
 ) -> DataFrame:
@@ -144,24 +176,11 @@ def near_groups(
     sets = materialise(texts.mapInArrow(_sets(shingle), "d long, s array<long>"), "sets")
     links = materialise(_confirmed(possible, sets, percent), "links")
     found = components(links, "u", "v")
-    # What the stars left apart: pairs of one bucket in different components, each compared once.
+    # What the stars left apart: members of one bucket in different components.
     apart = members.select("key", "d").join(found.withColumnRenamed("node", "d"), "d", "left").select("key", "d", F.coalesce("component", "d").alias("c"))
-    split = apart.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
-    known = reps.select("d", "n", "half", "sig").join(apart.join(split, "key", "left_semi").select("d").distinct(), "d", "left_semi")
-    apart = materialise(apart.join(split, "key", "left_semi").join(known, "d"), "apart")
-    named = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("d", "c", "n", "half", "sig")]
-    equal = lambda a, n: F.element_at(F.filter(F.zip_with(F.slice("u_half", a, n), F.slice("v_half", a, n), lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), 1)
-    first = F.col("key") == F.xxhash64(equal(1, tables), equal(tables + 1, tables))
-    fits = first & _possible(percent, 2 * tables * rows)
-    pairs = (
-        apart.select("key", *named("u"))
-        .join(apart.select("key", *named("v")), "key")
-        .where("u_d < v_d and u_c != v_c")
-        .where(fits)
-        .select(F.col("u_d").alias("u"), F.col("v_d").alias("v"))
-        .distinct()
-        .join(star, ["u", "v"], "left_anti")
-    )
+    split = materialise(apart.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key"), "split")
+    apart = materialise(apart.join(split, "key").select("d", "c").distinct(), "apart")
+    pairs = materialise(_close(apart, sets, percent).join(star, ["u", "v"], "left_anti"), "pairs")
     more = materialise(_confirmed(pairs, sets, percent), "links")
     if not more.isEmpty():
         found = components(links.unionByName(more), "u", "v")
