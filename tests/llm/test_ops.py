@@ -114,6 +114,34 @@ def test_near_groups_chains(spark):
     assert got == groups(rows)
 
 
+def test_close_misses_no_similar_pair(spark):
+    """Many sets around one base, of several sizes and at or near the threshold, most in one component."""
+    rng = np.random.default_rng(5)
+    sets = {i: {*rng.choice(40, 40 - i % 11, replace=False).tolist(), *(1000 + rng.integers(0, 12, i % 7)).tolist()} for i in range(150)}
+    sets |= {200: {1}, 201: {1}, 202: {1, 2, 3, 4}, 203: {1, 2, 3}, 204: set(range(40)), 205: set(range(30))}
+    part = {i: 0 if i % 3 else i for i in sets}
+    table = spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], "d long, s array<long>")
+    got = {(r["u"], r["v"]) for r in minhash_dedup._close(spark.createDataFrame(list(part.items()), "d long, c long"), table, 75).collect()}
+    alike = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    want = {(i, j) for i in sets for j in sets if i < j and part[i] != part[j] and alike(sets[i], sets[j])}
+    assert {(200, 201), (202, 203), (204, 205)} & want and len(want) > 100 and want <= got
+    assert all(part[i] != part[j] and i < j for i, j in got)
+
+
+def test_near_groups_around_one_text(spark):
+    """Edits of one text, of which some pairs are links and most are just below."""
+    base, rows = prose(150, 21).split(), {}
+    rng = np.random.default_rng(3)
+    for i in range(60):
+        w = list(base)
+        for at in rng.choice(150, 1 + i % 6, replace=False):
+            w[at] = f"x{i}y{at}"
+        rows[i] = " ".join(w)
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash_dedup.near_groups(df).collect()}
+    assert got == groups(rows)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(20, 60)] + [(3, 1), (3, 2), (7, 7)], "u long, v long")
     got = {r["node"]: r["component"] for r in components(links, "u", "v").collect()}
