@@ -19,8 +19,9 @@ ranks and tape offsets are two-level sums.
 
 Defined cases: null and empty texts have size 0 and are taken 0 times; a null
 source is a source of its own; an empty table gives no rows; equal hashes are
-ordered by id; repeated ids are rows of their own in offsets but share one
-``taken`` (query ids are unique).  Extra columns are ignored.
+ordered by id, then by the text's hash; rows of repeated and of null ids are rows of
+their own, each with its own offset and ``taken``.  Extra columns are ignored, but for
+those that ``mix`` is told to carry.
 """
 
 from __future__ import annotations
@@ -35,10 +36,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 _POINTS, _STEP, _CELL = 1 << 31, 1327217885, 1 << 19
 
 
-def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size, h)."""
+def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", more: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, h, x, more ...)."""
     count = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), count.alias("size"), spread(F.col(id_col)).alias("h"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), count.alias("size"), spread(F.col(id_col)).alias("h"), F.xxhash64(text_col).alias("x"), *more)
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, ratio: float = RATIO, most: int = MOST) -> DataFrame:
@@ -93,21 +94,23 @@ def schedule(spark, goals: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK) -> DataFrame:
-    """(doc_id, size, source_size, target, taken): a row per row of ``docs``."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, more: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, more ...): a row per row of ``docs``."""
     spark = docs.sparkSession
-    sized = materialise(sizes(docs, id_col, text_col, source_col), "sizes")
+    sized = materialise(sizes(docs, id_col, text_col, source_col, more), "sizes")
     goals = materialise(targets(sized), "targets")
-    keyed = sized.join(goals.withColumnRenamed("source", "src"), F.col("source").eqNullSafe(F.col("src"))).select("doc_id", "s", "size", "h", "source_size", "target")
-    tape = materialise(running(keyed, ["s"], "h", ["doc_id"], F.col("size"), "at"), "tape")
+    keyed = sized.join(goals.withColumnRenamed("source", "src"), F.col("source").eqNullSafe(F.col("src"))).select("doc_id", "s", "size", "h", "x", "source_size", "target", *more)
+    tape = materialise(running(keyed, ["s"], "h", ["doc_id", "x"], F.col("size"), "at"), "tape")
     first, last = F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block)
-    pieces = tape.where("size > 0").select("doc_id", "s", "at", "size", F.explode(F.sequence(first, last)).alias("block"))
+    pieces = tape.where("size > 0").select("s", "at", "size", F.explode(F.sequence(first, last)).alias("block"))
     begin = F.col("block") * block
-    pieces = pieces.select("doc_id", "s", "block", F.greatest(F.col("at") - begin, F.lit(0)).alias("a"), F.least(F.col("at") + F.col("size") - begin, F.lit(block)).alias("b"))
+    pieces = pieces.select("s", "at", "block", F.greatest(F.col("at") - begin, F.lit(0)).alias("a"), F.least(F.col("at") + F.col("size") - begin, F.lit(block)).alias("b"))
     takes = schedule(spark, goals, block).select("s", "block", "words")
-    got = pieces.join(takes, ["s", "block"]).groupBy("doc_id").agg(F.sum(F.greatest(F.least("b", "words") - F.col("a"), F.lit(0))).alias("taken"))
-    return tape.join(got, "doc_id", "left").select(
-        F.col("doc_id").alias(id_col), "size", "source_size", F.col("target").cast("double").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+    got = pieces.join(takes, ["s", "block"]).groupBy("s", "at").agg(F.sum(F.greatest(F.least("b", "words") - F.col("a"), F.lit(0))).alias("taken"))
+    # only rows without words share their place on a tape
+    taken = F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0)
+    return tape.join(got, ["s", "at"], "left").select(
+        F.col("doc_id").alias(id_col), "size", "source_size", F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken"), *more
     )
 
 

@@ -21,10 +21,11 @@ partial aggregation before anything is shuffled.  Joins are on hashes whose hot
 keys Spark may split; documents are shuffled by id only.
 
 Defined cases: a null or empty text has no words; texts under ``window`` words
-lose nothing; equal copies keep the copy of the smallest id; repeated ids are
-handled as rows of one document (each keeps its own text); a row with a null id
-loses nothing; extra columns are kept
-by ``dedup`` and ignored by ``duplicate_spans``.  Word sequences are compared as
+lose nothing; equal copies keep the copy of the smallest id; rows of one id and
+one text are one document and lose the same words, each in its own row; rows of
+one id and different texts are different documents, in the order of the texts'
+hashes; a row with a null id loses nothing; extra columns are ignored, but for
+those that ``dedup`` is told to carry.  Word sequences are compared as
 64-bit hashes.
 """
 
@@ -35,8 +36,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import arrow_batches, materialise
 from .hashing import Segments, Words, blocks, mix
@@ -73,10 +75,10 @@ def _anchors(words: Words, window: int, gram: int) -> tuple[np.ndarray, ...]:
 def _index(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.asarray(batch.column(0))
+            ids, which = np.asarray(batch.column(0)), np.asarray(batch.column(2))
             for i, texts in blocks(batch.column(1).cast(pa.binary()).to_pylist()):
                 a, c, t, s0, s1 = _anchors(Words(texts), window, gram)
-                yield pa.record_batch([pa.array(a), pa.array(c), pa.array(ids[t + i]), pa.array(s0, pa.int32()), pa.array(s1, pa.int32())], ["a", "c", "d", "s0", "s1"])
+                yield pa.record_batch([pa.array(a), pa.array(c), pa.array(ids[t + i]), pa.array(which[t + i]), pa.array(s0, pa.int32()), pa.array(s1, pa.int32())], ["a", "c", "d", "v", "s0", "s1"])
 
     return run
 
@@ -86,42 +88,55 @@ def _windows(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, spans = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            ids, which, spans = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for i, texts in blocks(batch.column(1).cast(pa.binary()).to_pylist()):
                 words = Words(texts)
-                seg, h, d, s = Segments(words.hash), [], [], []
+                seg, h, d, v, s = Segments(words.hash), [], [], [], []
                 for j in range(len(texts)):
                     at = np.unique(np.concatenate([np.arange(x["s0"], x["s1"] + 1) for x in spans[i + j]]))
                     at = at[at + window <= words.last[j] - words.first[j]]
                     h.append(seg.of(at + words.first[j], at + words.first[j] + window).view(np.int64))
                     d.append(np.full(len(at), ids[i + j], np.int64))
+                    v.append(np.full(len(at), which[i + j], np.int64))
                     s.append(at)
-                yield pa.record_batch([pa.array(np.concatenate(h)), pa.array(np.concatenate(d)), pa.array(np.concatenate(s), pa.int32())], ["h", "d", "s"])
+                yield pa.record_batch([pa.array(np.concatenate(h)), pa.array(np.concatenate(d)), pa.array(np.concatenate(v)), pa.array(np.concatenate(s), pa.int32())], ["h", "d", "v", "s"])
 
     return run
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str, own: tuple[Column, ...] = ()) -> DataFrame:
+    """(``d``, ``v``, ``t``, ``own`` ...): id, what tells texts of one id apart, text; ``v`` is 0 if no id is repeated."""
+    key = docs.select(F.col(id_col).cast("long").alias("d")).where("d is not null")
+    repeated = not key.groupBy("d").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    which = F.xxhash64(F.col(text_col)) if repeated else F.lit(0).cast("long")
+    return docs.select(F.col(id_col).cast("long").alias("d"), which.alias("v"), F.col(text_col).alias("t"), *own)
+
+
 def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, gram: int = GRAM) -> DataFrame:
-    """(``d``, ``a``, ``b``): word spans [a, b) made of windows that start earlier elsewhere."""
-    arrow_batches(docs.sparkSession)
-    slim = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).where("d is not null and t is not null")
-    rows = slim.mapInArrow(_index(window, gram), "a long, c long, d long, s0 int, s1 int")
+    """(``d``, ``v``, ``a``, ``b``): word spans [a, b) made of windows that start earlier elsewhere."""
+    return _spans(_keyed(docs, id_col, text_col), window, gram)
+
+
+def _spans(keyed: DataFrame, window: int, gram: int) -> DataFrame:
+    arrow_batches(keyed.sparkSession)
+    slim = keyed.where("d is not null and t is not null")
+    rows = slim.select("d", "t", "v").mapInArrow(_index(window, gram), "a long, c long, d long, v long, s0 int, s1 int")
     # written first: a join of two plain exchanges is one whose hot keys Spark can split
     shared = materialise(rows.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a"), "shared")
     known = materialise(rows.join(shared, "a", "left_semi"), "factors")
-    place = F.struct("d", "s0", "s1")
+    place = F.struct("d", "v", "s0", "s1")
     whole = materialise(known.groupBy("a", "c").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n")), "blocks")
     mixed = materialise(whole.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("a"), "mixed")
-    firsts = whole.join(mixed, "a", "left_semi").select("f.d", F.struct("f.s0", "f.s1").alias("x"))
-    ends = slim.join(firsts.groupBy("d").agg(F.collect_list("x").alias("x")), "d").select("d", "t", "x")
-    compared = materialise(ends.mapInArrow(_windows(window), "h long, d long, s int"), "windows")
-    seen = materialise(compared.groupBy("h").agg(F.min(F.struct("d", "s")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "f"), "seen")
-    single = compared.join(seen, "h").where("d != f.d or s != f.s").select("d", F.col("s").alias("a"), (F.col("s") + window).alias("b"))
+    firsts = whole.join(mixed, "a", "left_semi").select("f.d", "f.v", F.struct("f.s0", "f.s1").alias("x"))
+    ends = slim.join(firsts.groupBy("d", "v").agg(F.collect_list("x").alias("x")), ["d", "v"]).select("d", "t", "v", "x")
+    compared = materialise(ends.mapInArrow(_windows(window), "h long, d long, v long, s int"), "windows")
+    seen = materialise(compared.groupBy("h").agg(F.min(F.struct("d", "v", "s")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "f"), "seen")
+    single = compared.join(seen, "h").where("d != f.d or v != f.v or s != f.s").select("d", "v", F.col("s").alias("a"), (F.col("s") + window).alias("b"))
     repeated = whole.where("n > 1").select("a", "c", "f")
     going_on = (
         known.join(repeated, ["a", "c"])
-        .where("d != f.d or s0 != f.s0")
-        .select("d", F.col("s0").alias("a"), (F.col("s1") + window).alias("b"))
+        .where("d != f.d or v != f.v or s0 != f.s0")
+        .select("d", "v", F.col("s0").alias("a"), (F.col("s1") + window).alias("b"))
     )
     return going_on.unionByName(single)
 
@@ -144,19 +159,19 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(out)
             digest.append(hashlib.sha256(out).hexdigest())
         yield pa.record_batch(
-            [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(digest)],
-            ["_id", "n_words", "n_removed", "kept_text", "kept_sha256"],
+            [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(digest), *batch.columns[3:]],
+            ["_id", "n_words", "n_removed", "kept_text", "kept_sha256", *batch.schema.names[3:]],
         )
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
-    """A row per row of ``docs``: the id, n_words, n_removed, kept_text and kept_sha256."""
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, more: tuple[str, ...] = ()) -> DataFrame:
+    """A row per row of ``docs``: the id, n_words, n_removed, kept_text, kept_sha256, and its own columns ``more``."""
     id_type = docs.schema[id_col].dataType
-    spans = materialise(
-        duplicate_spans(docs, id_col, text_col, window).groupBy("d").agg(F.collect_set(F.struct("a", "b")).alias("x")), "spans"
-    )
-    slim = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
-    out = slim.join(spans, "d", "left").select("d", "t", "x").mapInArrow(
-        _remove, "_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
-    )
-    return out.withColumn("_id", F.col("_id").cast(id_type)).withColumnRenamed("_id", id_col)
+    # one struct, whose fields cannot be taken for columns of this module
+    own = (F.struct(*more).alias("more"),) if more else ()
+    keyed = _keyed(docs, id_col, text_col, own)
+    spans = materialise(_spans(keyed, window, GRAM).groupBy("d", "v").agg(F.collect_set(F.struct("a", "b")).alias("x")), "spans")
+    slim = keyed.join(spans, ["d", "v"], "left").select("d", "t", "x", *["more"] * len(own))
+    made = [("_id", LongType()), ("n_words", LongType()), ("n_removed", LongType()), ("kept_text", StringType()), ("kept_sha256", StringType())]
+    out = slim.mapInArrow(_remove, StructType([StructField(*x) for x in made] + slim.schema.fields[3:]))
+    return out.select(F.col("_id").cast(id_type).alias(id_col), *[c for c, _ in made[1:]], *["more.*"] * len(own))

@@ -30,20 +30,23 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in windows of 20 that appear earlier go; every document stays, with what is left of it."""
-    kept = substring_dedup.dedup(docs).select("doc_id", F.col("kept_text").alias("text"))
-    return docs.drop("text").join(kept, "doc_id").withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    kept = substring_dedup.dedup(docs, more=others)
+    return kept.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: whole copies, and the first words of one at the end of a source's target."""
-    taken = mixing.mix(docs).where("taken > 0").select("doc_id", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    # numbered in a written table: ids may be null or repeated
+    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    taken = mixing.mix(numbered, more=("_row",)).where("taken > 0").select("_row", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
     full = F.floor(F.col("_taken") / F.col("_size"))
     rest = F.col("_taken") - full * F.col("_size")
     shares = F.array(*[F.when(full >= k, F.col("_size")) for k in range(1, mixing.MOST + 1)], F.when(rest > 0, rest))
-    copies = taken.select("doc_id", "_size", F.explode(F.filter(shares, lambda x: x.isNotNull())).alias("_words"))
+    copies = taken.select("_row", "_size", F.explode(F.filter(shares, lambda x: x.isNotNull())).alias("_words"))
     words = F.regexp_extract_all("text", F.lit(mixing.WORD), F.lit(0))
     cut = F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.col("_words").cast("int")), " "))
-    return docs.join(copies, "doc_id").withColumn("text", cut).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return numbered.join(copies, "_row").withColumn("text", cut).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -387,3 +387,59 @@ def test_missing_subpackage():
     code = "import sys; sys.modules['brontide.llm'] = None; import __spark_entry__ as e; assert not any(k.startswith('op1_') for k in e.queries())"
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
+
+
+def odd_rows(spark):
+    """Null and repeated ids, with equal and with other texts."""
+    rows = [
+        (5, PASSAGE + " " + prose(30, 20), "en", "a"), (5, prose(70, 21), "de", "b"), (7, prose(40, 22) + " " + PASSAGE, "fr", "a"), (7, prose(40, 22) + " " + PASSAGE, "fr", "a"),
+        (None, PASSAGE + " " + prose(10, 23), "en", "b"), (None, prose(80, 24), None, None), (None, prose(80, 24), None, None), (8, None, "en", "a"), (8, "", None, "a"), (9, prose(1200, 25), "es", "b"),
+        (9, PASSAGE, "es", "b"), (2, PASSAGE.replace("w", "v") + " x", "en", "c"), (2, "y " + PASSAGE.replace("w", "v"), "en", "c"), (2, "y " + PASSAGE.replace("w", "v"), "en", "c"),
+    ]
+    return spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+
+def test_pipeline_cuts_each_row(spark):
+    """One row for each, cut like brute force: rows of one id and text are one document, null ids lose nothing."""
+    import corpus_pipeline
+
+    docs = odd_rows(spark)
+    hashed = [(r["doc_id"], r["v"], r["text"] or "", r["lang"], r["source"]) for r in docs.withColumn("v", F.xxhash64("text")).collect()]
+    seen, gone = set(), defaultdict(set)
+    for i, v, t in sorted({x[:3] for x in hashed if x[0] is not None}):
+        w = WORD.findall(t)
+        for s in range(len(w) - 19):
+            if (k := tuple(w[s : s + 20])) in seen:
+                gone[i, t].update(range(s, s + 20))
+            seen.add(k)
+    left = [(i, " ".join(x for j, x in enumerate(WORD.findall(t)) if j not in gone[i, t]), lang, source) for i, _, t, lang, source in hashed]
+    got = corpus_pipeline.cut_repeats(spark, docs, "")
+    assert got.columns == docs.columns and any(gone.values())
+    assert Counter(map(tuple, got.collect())) == Counter((*x, len(x[1])) for x in left)
+
+
+def test_pipeline_mixes_each_row(spark):
+    """Null and repeated ids are taken for what their own place on the tape gives: whole passes of all, then a prefix."""
+    import corpus_pipeline
+
+    docs = odd_rows(spark)
+    taken = [(r["doc_id"], r["size"], r["source_size"], r["target"], r["taken"]) for r in mixing.mix(docs).collect()]
+    assert Counter(x[:2] for x in taken) == Counter((r["doc_id"], len(WORD.findall(r["text"] or ""))) for r in docs.collect())
+    assert all(0 <= x[4] <= 2 * x[1] for x in taken)
+    hashed = docs.select("doc_id", "text", "lang", "source", spread(F.col("doc_id")).alias("h"), F.xxhash64("text").alias("x")).collect()
+    wanted = Counter()
+    goals = {x[2]: int(x[3]) for x in taken}
+    assert len(goals) == 4
+    for source in ("a", "b", "c", None):
+        tape = sorted((r for r in hashed if r["source"] == source), key=lambda r: (r["h"], r["doc_id"] is not None, r["doc_id"] or 0, r["x"]))
+        total = sum(len(WORD.findall(r["text"] or "")) for r in tape)
+        left = goals[total]
+        while left > 0:
+            for r in tape:
+                w = WORD.findall(r["text"] or "")
+                if n := min(left, len(w)):
+                    text = r["text"] if n == len(w) else " ".join(w[:n])
+                    wanted[r["doc_id"], text, r["lang"], source, len(text)] += 1
+                    left -= n
+    got = corpus_pipeline.mix_sources(spark, docs, "")
+    assert got.columns == docs.columns and Counter(map(tuple, got.collect())) == wanted
