@@ -67,13 +67,13 @@ FAMILIES = [
     ("unlicense", "unlicense", r"(?:the )?unlicense"),
     ("wtfpl", "wtfpl", r"(?:the )?wtfpl"),
     ("cc0-1", "cc0|commons zero", r"(?:the )?(?:cc0|creative commons zero)(?: 1 0)?"),
-    ("cc-by-nc-nd", "cc by|creative commons", r"(?:a |the )?(?:cc|creative commons)(?: by| attribution)(?: nc| non ?commercial)(?: nd| no ?deriv\w*)(?: [1-4] [05])?"),
-    ("cc-by-nc-sa", "cc by|creative commons", r"(?:a |the )?(?:cc|creative commons)(?: by| attribution)(?: nc| non ?commercial)(?: sa| share ?alike)(?: [1-4] [05])?"),
+    ("cc-by-nc-nd", "cc by|cc attribution|creative commons", r"(?:a |the )?(?:cc|creative commons)(?: by| attribution)(?: nc| non ?commercial)(?: nd| no ?deriv\w*)(?: [1-4] [05])?"),
+    ("cc-by-nc-sa", "cc by|cc attribution|creative commons", r"(?:a |the )?(?:cc|creative commons)(?: by| attribution)(?: nc| non ?commercial)(?: sa| share ?alike)(?: [1-4] [05])?"),
     ("cc-by-nc", "cc by nc", r"(?:a |the )?cc by nc(?: [1-4] [05])?"),
-    ("cc-by-nc", "noncommercial", r"(?:a |the )?creative commons attribution non ?commercial(?: [1-4] [05])?"),
-    ("cc-by-nd", "cc by|creative commons", r"(?:a |the )?(?:cc|creative commons)(?: by| attribution)(?: nd| no ?deriv\w*)(?: [1-4] [05])?"),
-    ("cc-by-sa", "cc by|creative commons", r"(?:a |the )?(?:cc|creative commons)(?: by| attribution)(?: sa| share ?alike)(?: [1-4] [05])?"),
-    ("cc-by", "cc by|creative commons", r"(?:a |the )?(?:cc|creative commons)(?: by| attribution)(?: [1-4] [05])?"),
+    ("cc-by-nc", "commercial", r"(?:a |the )?creative commons attribution non ?commercial(?: [1-4] [05])?"),
+    ("cc-by-nd", "cc by|cc attribution|creative commons", r"(?:a |the )?(?:cc|creative commons)(?: by| attribution)(?: nd| no ?deriv\w*)(?: [1-4] [05])?"),
+    ("cc-by-sa", "cc by|cc attribution|creative commons", r"(?:a |the )?(?:cc|creative commons)(?: by| attribution)(?: sa| share ?alike)(?: [1-4] [05])?"),
+    ("cc-by", "cc by|cc attribution|creative commons", r"(?:a |the )?(?:cc|creative commons)(?: by| attribution)(?: [1-4] [05])?"),
     ("public-domain", "public domain", r"(?:the )?public domain"),
     ("psf-2", "python", r"(?:the )?python software foundation(?: license)?"),
     ("php-3", "php", r"(?:the )?php license(?: version)?(?: 3(?: 0| 01)?)?"),
@@ -116,13 +116,13 @@ GENERAL = [
     ("no-warranty", "warrant", r"without warrant(?:y|ies) of any kind", 1, 0.4),
     ("as-is", "provided as is", r"provided as is", 1, 0.4),
     ("gpl", "free software", r"this (?:program|library) is free software", 2, 0.7),
-    ("proprietary", "proprietary", r"(?:proprietary|confidential) and (?:confidential|proprietary)", 1, 0.6),
+    ("proprietary", " and ", r"(?:proprietary|confidential) and (?:confidential|proprietary)", 1, 0.6),
 ]
 
 #: Any text with a license statement holds one of these (words joined by blanks, any case).
 KEYWORDS = [
     "licen", "copyright", "spdx", "warrant", "redistribut", "rights reserved", "permission is hereby", "public domain", "cc by", "creative commons",
-    "free software", "proprietary and", "confidential and", "released under", "available under", "published under", "provided ", "shared under",
+    "free software", "proprietary and", "confidential and", "only under", "you under", "released under", "available under", "published under", "provided ", "shared under",
     "distributed under", "terms of", "conditions of", "terms and conditions",
 ]
 PREFILTER = "(?i)" + "|".join(KEYWORDS)

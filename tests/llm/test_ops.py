@@ -443,3 +443,42 @@ def test_pipeline_mixes_each_row(spark):
                     left -= n
     got = corpus_pipeline.mix_sources(spark, docs, "")
     assert got.columns == docs.columns and Counter(map(tuple, got.collect())) == wanted
+
+
+def alternatives(parsed):
+    """A text for each choice of alternatives of a parsed regex; a range or word class gives one character."""
+    out = [""]
+    for op, arg in parsed:
+        kind = str(op)
+        if kind == "LITERAL":
+            own = [chr(arg)]
+        elif kind == "IN":
+            own = [chr(a if str(o) == "LITERAL" else a[0]) if str(o) != "CATEGORY" else "s" for o, a in arg]
+        elif kind == "SUBPATTERN":
+            own = alternatives(arg[3])
+        elif kind == "BRANCH":
+            own = [x for branch in arg[1] for x in alternatives(branch)]
+        elif kind == "MAX_REPEAT":
+            least, _, part = arg
+            own = [x * least for x in alternatives(part)] if least else ["", *alternatives(part)]
+        else:
+            assert kind == "ASSERT_NOT"
+            own = [""]
+        out = [a + b for a in out for b in own]
+    return out
+
+
+def test_license_gates_pass_every_alternative(spark):
+    from re import _parser
+
+    for _, keys, name in licenses.FAMILIES:
+        assert [t for t in alternatives(_parser.parse(name)) if not any(k in t for k in keys.split("|"))] == []
+    whole = [(word, form.replace("{}", "@")) for form, _, _, word in licenses.STATEMENTS] + [(key, rx) for _, key, rx, _, _ in licenses.GENERAL]
+    for word, rx in whole:
+        assert [t for t in alternatives(_parser.parse(rx)) if word not in t or not re.search(licenses.PREFILTER, t)] == []
+    cases = {
+        "this program is released only under the GNU GPL version 2.0": "gpl-2", "available to you under GPL v2": "gpl-2", "shared to you only under the terms of CC Attribution 4.0": "cc-by",
+        "licensed under a Creative Commons Attribution Non-Commercial 4.0 license": "cc-by-nc", "confidential and confidential": "proprietary",
+    }
+    df = spark.createDataFrame([(i, "lorem ipsum " * 40 + t) for i, t in enumerate(cases)], "doc_id long, text string")
+    assert [r["labels"] for r in licenses.scan(df).orderBy("doc_id").collect()] == list(cases.values())
