@@ -469,6 +469,13 @@ def d3_udf_reduce(spark, d):
     return rows.groupBy("o_orderpriority").agg(F.round(REDUCES["product"](1 + F.col("o_custkey") % 2), 0).alias("prod"))
 
 
+@query("SELECT o_orderpriority, round(exp(sum(ln(1 + 1e-9 * o_totalprice))), 6) AS prod FROM orders GROUP BY 1")
+def d3_udf_reduce_all(spark, d):
+    from ..udf import REDUCES
+
+    return read(spark, d, "orders").groupBy("o_orderpriority").agg(F.round(REDUCES["product"](1 + 1e-9 * F.col("o_totalprice")), 6).alias("prod"))
+
+
 @query("SELECT (ts // 300000000000) * 300000000000 AS bucket, count(*) AS n, round(avg(value), 6) AS value FROM p GROUP BY 1")
 def a39_bucket_aggregate(spark, d):
     return events(spark, d).df.groupBy(bucket(F.col("ts"), 5 * MIN).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("value"))
