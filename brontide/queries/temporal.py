@@ -46,6 +46,16 @@ def w6_interpolate(spark, d):
     return grid.select("bucket", F.round(windows.interpolated("value", ["u"], "bucket"), 6).alias("value"))
 
 
+@query("""WITH b AS (SELECT user_id, (ts // 3600000000000) * 3600000000000 AS bucket, avg(value) AS v FROM p GROUP BY ALL),
+k AS (SELECT *, lead(bucket) OVER w AS n, lead(v) OVER w AS x FROM b WINDOW w AS (PARTITION BY user_id ORDER BY bucket)),
+g AS (SELECT user_id, bucket AS t, v, n, x, unnest(range(bucket, coalesce(n, bucket + 1), 3600000000000)) AS bucket FROM k)
+SELECT user_id, bucket, round(CASE WHEN bucket = t THEN v ELSE v + (x - v) * (bucket - t) / (n - t) END + 1e-9, 5) AS value FROM g""")
+def w6_interpolate_all(spark, d):
+    b = events(spark, d).df.groupBy("user_id", bucket(F.col("ts"), H).alias("bucket")).agg(F.avg("value").alias("value"))
+    grid = windows.gap_fill(b, ["user_id"], H, method="null")
+    return grid.select("user_id", "bucket", F.round(windows.interpolated("value", ["user_id"], "bucket") + 1e-9, 5).alias("value"))
+
+
 @query("SELECT event_id, round((value - lag(value) OVER w) / nullif((ts - lag(ts) OVER w) / 1e9, 0), 6) AS change, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 4 PRECEDING), 6) AS ma FROM p WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def w7_w8_change_moving_average(spark, d):
     step = (F.col("ts") - F.lag("ts").over(_order())) / 1e9
@@ -300,6 +310,15 @@ def m4_bfs(spark, d):
     return graph.reach(edges, [1000], 3)
 
 
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS src, -l_suppkey AS dst FROM lineitem UNION SELECT DISTINCT -l_suppkey, l_partkey FROM lineitem),
+r(node, hops) AS (SELECT 1::BIGINT, 0 UNION SELECT e.dst, hops + 1 FROM r JOIN e ON e.src = r.node WHERE hops < 3) SELECT node, min(hops) AS hops FROM r GROUP BY 1""")
+def m4_bfs_all(spark, d):
+    """Parts are positive nodes, suppliers negative ones."""
+    l = read(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), (-F.col("l_suppkey")).alias("b")).distinct()
+    edges = l.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(l.select(F.col("b").alias("src"), F.col("a").alias("dst")))
+    return graph.reach(edges, [1], 3)
+
+
 @query(f"""WITH q AS (SELECT event_id, user_id, ts, value > 30 AS inside, lag(value > 30, 1, false) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM p)
 SELECT event_id, CASE WHEN inside THEN 'enter' ELSE 'exit' END AS event FROM q WHERE inside <> before""")
 def m9_geofence_events(spark, d):
