@@ -2,56 +2,70 @@
 
 from __future__ import annotations
 
-import contextlib
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-#: Rows in one Arrow batch handed to Python; texts of 120 kB then need about 30 MB.
-ARROW_ROWS = 256
-_own_dir: dict[str, str] = {}
+from ..shared import shared_dir
+
+#: Rows and bytes in one Arrow batch handed to Python.
+ARROW_ROWS, ARROW_BYTES = 256, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only a session without that setting on a local master gets a folder of its own.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dir:
-        _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="brontide-")
-    return _own_dir[app]
-
-
 def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back.
 
     Cuts the lineage so that a lost executor never restarts the whole job; the
-    files go when the session's JVM ends.
+    files go with ``discard``, else when the session's JVM ends.  The driver's JVM
+    is asked to collect, upon which Spark removes the finished job's shuffle files.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/brontide-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    with contextlib.suppress(Exception):
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    spark._jvm.System.gc()
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of written tables that nothing reads any more."""
+    for df in tables:
+        spark, path = df.sparkSession, getattr(df, "_written", None)
+        if path:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def integer_ids(docs: DataFrame, id_col: str) -> None:
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{id_col} must hold integers, not {kind.simpleString()}")
+
+
+def spread_join(rows: DataFrame, lookup: DataFrame, key: str, by: str, salts: int = 256) -> DataFrame:
+    """``rows`` joined with ``lookup`` (one row a key) on ``key``, of which one may hold a third of all rows.
+
+    Rows of a key are dealt to ``salts`` parts by a hash of ``by``; a looked-up row
+    is copied once to each part of its key that has rows.
+    """
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    parts = dealt.select(key, "_salt").distinct().join(lookup.hint("merge"), key)
+    return dealt.join(parts.hint("merge"), [key, "_salt"]).drop("_salt")
 
 
 def arrow_batches(spark: SparkSession) -> None:
-    """Bounds the memory of a Python worker's batch; rows of text can be long."""
+    """Bounds the memory of a Python worker's batch, in rows and in bytes; rows of text can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 _TOP = (1 << 63) - 1

@@ -9,14 +9,22 @@ common table with probability 0.0003, one of 0.8 with 0.00002.
 Half keys that only one class has are dropped before pairs are formed, so most
 documents never reach the tables.  Equal shingle sets are one class from the
 start.  In every table bucket the members are first compared with one of them, the
-one whose half keys most classes share (a star, never all pairs), if sizes and
-signatures (54 of 96 equal minhashes at least) allow a link.  Members of a bucket that
-then still lie in different components are compared with each other, in pairs that
-share one of the rarest shingles of both sets, as any two similar sets do.  Every link
-is confirmed on the full shingle sets (64-bit hashes).
+one whose half keys most classes share (a star, never all pairs), unless their sizes
+rule a link out.  Where members other than that one still lie in different components,
+they are compared with each other, in pairs that share one of the rarest shingles of
+both sets, as any two similar sets do.  So every pair that shares a table is linked,
+ruled out on its full shingle sets (64-bit hashes), or within one component already.
+
+``exact_links`` needs no tables: all links, by the shared rarest shingles of all
+classes.  It reads and shuffles every shingle of every class.
+
+Only the texts of documents that share a half key are read again: a one-probe Bloom
+filter of ``BLOOM`` bits (2 MB, broadcast as at most ``BLOOM / 64`` rows) keeps most
+others out of that shuffle; it may let rows through, never drops one.  No other table
+is broadcast: joins of tables that grow with the data ask for a merge.
 
 Defined cases: a text without words, or null, has an empty set and is linked with
-nothing; with fewer than ``shingle`` words the whole sequence is the only
+nothing; ids are integers (any other type raises TypeError); with fewer than ``shingle`` words the whole sequence is the only
 shingle; ties cannot arise, the smallest id represents a group; a repeated id is
 one document in links and a row each in the result; a row with a null id is kept
 and linked with nothing.
@@ -24,21 +32,20 @@ and linked with nothing.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, materialise
+from .common import arrow_batches, discard, integer_ids, materialise, spread_join
 from .components import components
 from .hashing import Segments, U, Words, blocks, mix
 
 SHINGLE, TABLES, ROWS = 5, 16, 3
-#: Standard deviations below the mean at which a pair's equal minhashes rule a link out (a probability of 0.00001).
-SIGMAS = 4.2
+#: Bits of the filter of wanted ids.
+BLOOM = 1 << 24
 
 
 def _shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,18 +76,15 @@ def _signatures(k: int, tables: int, rows: int):
                     k1[j] = mix(own).sum(dtype=U).view(np.int64)
                     k2[j] = mix(own ^ U(0x5851F42D4C957F2D)).sum(dtype=U).view(np.int64)
                 half = np.zeros((len(texts), 2 * tables), np.int64)
-                sig = np.zeros((len(texts), 2 * tables * rows), np.int32)
                 if len(full):
                     for t in range(2 * tables):
                         key = np.full(len(full), t, U)
                         for r in range(t * rows, t * rows + rows):
                             least = mix(np.minimum.reduceat((grams ^ flip[r]) * times[r], bounds[full]))
-                            sig[full, r] = (least & U(0xFFFF)).astype(np.int32)
                             key = mix(key * U(31) + least)
                         half[full, t] = key.view(np.int64)
                 flat = pa.FixedSizeListArray.from_arrays(pa.array(half.ravel()), 2 * tables).cast(pa.list_(pa.int64()))
-                marks = pa.FixedSizeListArray.from_arrays(pa.array(sig.ravel()), 2 * tables * rows).cast(pa.list_(pa.int32()))
-                yield pa.record_batch([ids.slice(i, len(texts)), pa.array(n), pa.array(k1), pa.array(k2), flat, marks], ["d", "n", "k1", "k2", "half", "sig"])
+                yield pa.record_batch([ids.slice(i, len(texts)), pa.array(n), pa.array(k1), pa.array(k2), flat], ["d", "n", "k1", "k2", "half"])
 
     return run
 
@@ -97,26 +101,28 @@ def _sets(k: int):
     return run
 
 
+def _only(slim: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``slim`` whose ``d`` is in ``wanted`` (distinct), one a ``d``."""
+    bit = F.pmod(F.xxhash64("d"), F.lit(BLOOM))
+    one = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
+    # at most BLOOM / 64 rows of two numbers, whatever the input
+    filled = wanted.select(F.shiftright(bit, 6).alias("_w"), one(bit).alias("_x")).groupBy("_w").agg(F.bit_or("_x").alias("_x"))
+    passed = slim.withColumn("_w", F.shiftright(bit, 6)).join(F.broadcast(filled), "_w").where(F.col("_x").bitwiseAND(one(bit)) != 0).select(slim.columns)
+    # an inner join: a semi join would be pushed below the filter
+    return passed.join(wanted.hint("merge"), "d").dropDuplicates(["d"])
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough."""
-    left = sets.select(F.col("d").alias("u"), F.col("s").alias("su"))
-    right = sets.select(F.col("d").alias("v"), F.col("s").alias("sv"))
+    """The pairs (u, v) whose full sets are similar enough.  The set of a ``u`` of many pairs is copied to few tasks, not to each pair."""
+    known = pairs.join(sets.select(F.col("d").alias("v"), F.col("s").alias("sv")).hint("merge"), "v")
+    joined = spread_join(known, sets.select(F.col("d").alias("u"), F.col("s").alias("su")), "u", "v")
     both = F.size(F.array_intersect("su", "sv")).cast("long")
-    joined = pairs.join(left, "u").join(right, "v")
     total = F.size("su") + F.size("sv")
     return joined.where(100 * both >= percent * (total - both)).select("u", "v")
 
 
-def _possible(percent: int, count: int) -> Column:
-    """Whether sizes and signatures of u and v allow a link."""
-    share = percent / 100
-    least = math.floor(count * share - SIGMAS * math.sqrt(count * share * (1 - share)))
-    equal = F.size(F.filter(F.zip_with("u_sig", "v_sig", lambda a, b: a == b), lambda x: x))
-    return (100 * F.least("u_n", "v_n") >= percent * F.greatest("u_n", "v_n")) & (equal >= least)
-
-
-def _close(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of (d, c) rows of different components c whose sets may be similar enough.
+def _close(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of (d, c, s) rows of different components c whose sets s may be similar enough.
 
     Two similar sets share an element among the first few of each, in any common
     order; with the rarest elements first that leaves few pairs, and the places of
@@ -124,68 +130,103 @@ def _close(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     element's list, rows of its largest component are not paired with one another.
     """
     n = F.col("n")
-    items = apart.join(sets, "d").select("d", "c", F.size("s").alias("n"), F.explode("s").alias("w"))
+    items = sets.select("d", "c", F.size("s").alias("n"), F.explode("s").alias("w"))
     often = materialise(items.groupBy("w").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "often")
-    known = items.join(often, "w").groupBy("d", "c", "n").agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("r"))
+    known = items.join(often.hint("merge"), "w").groupBy("d", "c", "n").agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("r"))
     # Elements of one set only come first of all: they take places, but join with nothing.
     alone = n - F.size("r")
     longer, shorter = n - F.ceil(n * percent / 100) + 1, n - F.ceil(2 * n * percent / (100 + percent)) + 1
     first = known.select("d", "c", "n", alone.alias("alone"), shorter.cast("int").alias("most"), F.slice("r", 1, F.greatest(longer.cast("int") - alone, F.lit(0))).alias("r"))
     heads = materialise(first.select("d", "c", "n", "most", "alone", F.posexplode("r").alias("i", "r")).select("d", "c", "n", "most", (F.col("alone") + F.col("i")).alias("at"), "r.w"), "heads")
+    discard(often)
     sizes = heads.groupBy("w", "c").agg(F.count(F.lit(1)).alias("k"))
     lists = materialise(sizes.groupBy("w").agg(F.max(F.struct("k", "c")).alias("m"), F.count(F.lit(1)).alias("cs")).where("cs > 1").select("w", F.col("m.c").alias("main")), "lists")
-    heads = materialise(heads.join(lists, "w"), "heads")
-    u, v = (heads.select("w", *[F.col(x).alias(f"{side}_{x}") for x in ("d", "c", "n", "most", "at", "main")]) for side in "uv")
+    shared = materialise(heads.join(lists.hint("merge"), "w"), "heads")
+    discard(heads, lists)
+    u, v = (shared.select("w", *[F.col(x).alias(f"{side}_{x}") for x in ("d", "c", "n", "most", "at", "main")]) for side in "uv")
     before = (F.col("u_n") < F.col("v_n")) | ((F.col("u_n") == F.col("v_n")) & (F.col("u_d") < F.col("v_d")))
-    shared = F.least(F.col("u_n") - F.col("u_at"), F.col("v_n") - F.col("v_at"))
+    rest = F.least(F.col("u_n") - F.col("u_at"), F.col("v_n") - F.col("v_at"))
     fits = (
         (F.col("u_c") != F.col("v_c"))
         & F.when(before, F.col("u_at") < F.col("u_most")).otherwise(F.col("v_at") < F.col("v_most"))
         & (100 * F.least("u_n", "v_n") >= percent * F.greatest("u_n", "v_n"))
-        & ((100 + percent) * shared >= percent * (F.col("u_n") + F.col("v_n")))
+        & ((100 + percent) * rest >= percent * (F.col("u_n") + F.col("v_n")))
     )
-    return u.where("u_c != u_main").join(v, "w").where(fits).select(F.least("u_d", "v_d").alias("u"), F.greatest("u_d", "v_d").alias("v")).distinct()
+    pairs = materialise(u.where("u_c != u_main").join(v.hint("merge"), "w").where(fits).select(F.least("u_d", "v_d").alias("u"), F.greatest("u_d", "v_d").alias("v")).distinct(), "pairs")
+    discard(shared)
+    return pairs
+
+
+def _base(docs: DataFrame, id_col: str, text_col: str, shingle: int, tables: int, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id and text, a row per row with its set's size and hashes, a row per class of equal sets with its half keys)."""
+    arrow_batches(docs.sparkSession)
+    integer_ids(docs, id_col)
+    slim = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
+    every = materialise(slim.mapInArrow(_signatures(shingle, tables, rows), "d long, n long, k1 long, k2 long, half array<long>"), "minhash")
+    filled = every.where("n > 0 and d is not null")
+    classes = materialise(filled.groupBy("k1", "k2", "n").agg(F.min("d").alias("d"), F.first("half").alias("half")), "classes")
+    base = materialise(every.select("d", "n", "k1", "k2"), "base")
+    discard(every)
+    return slim, base, classes
+
+
+def exact_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, shingle: int = SHINGLE) -> DataFrame:
+    """(u, v): all links between the smallest ids of the classes of equal sets, without tables."""
+    slim, _, classes = _base(docs, id_col, text_col, shingle, 1, 1)
+    sets = materialise(_only(slim, classes.select("d")).mapInArrow(_sets(shingle), "d long, s array<long>"), "sets")
+    return _confirmed(_close(sets.withColumn("c", F.col("d")), percent), sets, percent)
 
 
 def near_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, shingle: int = SHINGLE, tables: int = TABLES, rows: int = ROWS
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row."""
-    arrow_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
-    slim = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
-    base = materialise(slim.mapInArrow(_signatures(shingle, tables, rows), "d long, n long, k1 long, k2 long, half array<long>, sig array<int>"), "minhash")
-    filled = base.where("n > 0 and d is not null")
-    classes = materialise(filled.groupBy("k1", "k2", "n").agg(F.min("d").alias("rep")), "classes")
-    reps = filled.join(classes.select(F.col("rep").alias("d"), "k1", "k2"), ["d", "k1", "k2"], "left_semi").dropDuplicates(["d"])
-    halves = reps.select("d", F.posexplode("half").alias("i", "h"))
+    slim, base, classes = _base(docs, id_col, text_col, shingle, tables, rows)
+    # a half key's table is hashed into it; its lowest bit tells the collection
+    second = lambda h, i: h.bitwiseAND(F.lit(-2)) + (i >= tables).cast("long")
+    halves = classes.select("d", "n", F.explode(F.transform("half", second)).alias("h"))
     # counts are written first: a join of two plain exchanges is one whose hot keys Spark can split
-    common = materialise(halves.groupBy("i", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "common")
-    shared = halves.join(common, ["i", "h"])
-    own = shared.groupBy("d").agg(
-        F.collect_list(F.when(F.col("i") < tables, F.col("h"))).alias("x"), F.collect_list(F.when(F.col("i") >= tables, F.col("h"))).alias("y"), F.sum("c").alias("w")
+    common = materialise(halves.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "common")
+    own = halves.join(common.hint("merge"), "h").groupBy("d", "n").agg(
+        F.collect_list(F.when(F.col("h") % 2 == 0, F.col("h"))).alias("x"), F.collect_list(F.when(F.col("h") % 2 != 0, F.col("h"))).alias("y"), F.sum("c").alias("w")
+    )
+    keyed = materialise(
+        own.select("d", "n", "w", "y", F.explode("x").alias("a")).select("d", "n", "w", "a", F.explode("y").alias("b")).select("d", "n", "w", F.xxhash64("a", "b").alias("key")), "tables"
     )
-    keyed = materialise(own.select("d", "w", "y", F.explode("x").alias("a")).select("d", "w", "a", F.explode("y").alias("b")).select("d", "w", F.xxhash64("a", "b").alias("key")), "tables")
-    leaders = materialise(keyed.groupBy("key").agg(F.max(F.struct("w", (-F.col("d")).alias("d"))).alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", (-F.col("m.d")).alias("u")), "leaders")
-    members = materialise(keyed.join(leaders, "key").select("key", "d", "u"), "buckets")
-    star = materialise(members.where("d != u").select(F.least("d", "u").alias("u"), F.greatest("d", "u").alias("v")).distinct(), "stars")
-    marks = lambda x: reps.select(F.col("d").alias(x), F.col("n").alias(f"{x}_n"), F.col("sig").alias(f"{x}_sig"))
-    possible = materialise(star.join(marks("u"), "u").join(marks("v"), "v").where(_possible(percent, 2 * tables * rows)).select("u", "v"), "possible")
-    wanted = star.select(F.col("u").alias("d")).union(star.select(F.col("v").alias("d"))).distinct()
-    texts = slim.join(wanted, "d", "left_semi").dropDuplicates(["d"])
-    sets = materialise(texts.mapInArrow(_sets(shingle), "d long, s array<long>"), "sets")
-    links = materialise(_confirmed(possible, sets, percent), "links")
+    discard(common)
+    named = classes.select("k1", "k2", "n", "d")
+    leader = F.max(F.struct("w", (-F.col("d")).alias("d"), "n"))
+    leaders = materialise(keyed.groupBy("key").agg(leader.alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", (-F.col("m.d")).alias("u"), F.col("m.n").alias("u_n")), "leaders")
+    members = materialise(keyed.join(leaders.hint("merge"), "key").where("d != u").select("key", "d", "n", "u", "u_n"), "buckets")
+    discard(keyed, leaders)
+    alike = 100 * F.least("n", "u_n") >= percent * F.greatest("n", "u_n")
+    star = materialise(members.where(alike).select(F.least("d", "u").alias("u"), F.greatest("d", "u").alias("v")).distinct(), "stars")
+    # a set is wanted if a star needs it, or a bucket of more than two that may stay apart
+    several = members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    wanted = star.select(F.col("u").alias("d")).unionByName(star.select(F.col("v").alias("d"))).unionByName(members.join(several.hint("merge"), "key", "left_semi").select("d"))
+    wanted = materialise(wanted.distinct(), "wanted")
+    sets = materialise(_only(slim, wanted).mapInArrow(_sets(shingle), "d long, s array<long>"), "sets")
+    discard(wanted)
+    links = materialise(_confirmed(star, sets, percent), "links")
     found = components(links, "u", "v")
-    # What the stars left apart: members of one bucket in different components.
-    apart = members.select("key", "d").join(found.withColumnRenamed("node", "d"), "d", "left").select("key", "d", F.coalesce("component", "d").alias("c"))
-    split = materialise(apart.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key"), "split")
-    apart = materialise(apart.join(split, "key").select("d", "c").distinct(), "apart")
-    pairs = materialise(_close(apart, sets, percent).join(star, ["u", "v"], "left_anti"), "pairs")
-    more = materialise(_confirmed(pairs, sets, percent), "links")
+    # What the stars left apart: members of one bucket in different components, the star's centre aside, whose pairs are all settled.
+    apart = members.select("key", "d").join(found.withColumnRenamed("node", "d").hint("merge"), "d", "left").select("key", "d", F.coalesce("component", "d").alias("c"))
+    apart = materialise(apart, "apart")
+    split = apart.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
+    open_ = apart.join(split.hint("merge"), "key", "left_semi").select("d", "c").distinct()
+    open_ = materialise(sets.join(open_.hint("merge"), "d"), "open")
+    discard(apart, members, sets)
+    pairs = _close(open_, percent).join(star.hint("merge"), ["u", "v"], "left_anti")
+    more = materialise(_confirmed(pairs, open_, percent), "links")
     if not more.isEmpty():
-        found = components(links.unionByName(more), "u", "v")
-    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("c"))
-    out = base.select("d", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left").withColumn("c", F.when(F.col("d").isNotNull() & (F.col("n") > 0), F.coalesce("c", "d")).otherwise(F.col("d")))
+        both = materialise(links.unionByName(more), "links")
+        found = components(both, "u", "v")
+    discard(star, open_, links, more)
+    of = named.join(found.withColumnRenamed("node", "d").hint("merge"), "d", "left").select("k1", "k2", "n", F.coalesce("component", "d").alias("c"))
+    of = materialise(of, "named")
+    discard(classes)
+    out = base.join(of.hint("merge"), ["k1", "k2", "n"], "left").withColumn("c", F.when(F.col("d").isNotNull() & (F.col("n") > 0), F.coalesce("c", "d")).otherwise(F.col("d")))
     return out.select(
         F.col("d").cast(id_type).alias(id_col), F.col("n").alias("n_shingles"), F.col("c").cast(id_type).alias("component_id"), F.coalesce(F.col("d") == F.col("c"), F.lit(True)).alias("kept")
     )

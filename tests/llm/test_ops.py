@@ -121,13 +121,25 @@ def test_close_misses_no_similar_pair(spark):
     sets |= {200: {1}, 201: {1}, 202: {1, 2, 3, 4}, 203: {1, 2, 3}, 204: set(range(40)), 205: set(range(30))}
     part = {i: 0 if i % 3 else i for i in sets}
     table = spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], "d long, s array<long>")
-    got = {(r["u"], r["v"]) for r in minhash_dedup._close(spark.createDataFrame(list(part.items()), "d long, c long"), table, 75).collect()}
+    got = {(r["u"], r["v"]) for r in minhash_dedup._close(spark.createDataFrame(list(part.items()), "d long, c long").join(table, "d"), 75).collect()}
     alike = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
     want = {(i, j) for i in sets for j in sets if i < j and part[i] != part[j] and alike(sets[i], sets[j])}
     assert {(200, 201), (202, 203), (204, 205)} & want and len(want) > 100 and want <= got
     assert all(part[i] != part[j] and i < j for i, j in got)
 
 
+def test_exact_links(docs, spark):
+    """The way without tables gives the same components."""
+    rows = texts()
+    links = minhash_dedup.exact_links(docs).collect()
+    found = {r["node"]: r["component"] for r in components(spark.createDataFrame([tuple(r) for r in links], "u long, v long"), "u", "v").collect()}
+    fold = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x).split()
+    least = {i: min(j for j in rows if fold(rows[j]) == fold(rows[i])) if rows[i].strip() else i for i in rows}
+    assert {i: found.get(least[i], least[i]) for i in rows} == {i: c for i, (_, c, _) in groups(rows).items()}
+    with pytest.raises(TypeError):
+        minhash_dedup.near_groups(docs.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
 def test_near_groups_around_one_text(spark):
     """Edits of one text, of which some pairs are links and most are just below."""
     base, rows = prose(150, 21).split(), {}
