@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, ranked, spread
+from .common import materialise, ranked, spread, spread_join
 
 
 def turns(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -41,7 +41,7 @@ def neighbours(numbered: DataFrame) -> DataFrame:
     firsts = numbered.where("p = 0").select("c", F.md5(F.concat_ws("\n", "role", "text")).alias("first"), spread(F.col("c")).alias("h"))
     placed = materialise(ranked(firsts, ["first"], "h", ["c"]), "firsts")
     counts = placed.groupBy("first").agg(F.count(F.lit(1)).alias("n"))
-    placed = placed.join(counts, "first").withColumn("alone", (F.col("rank") == F.col("n") - 1) & (F.col("n") % 2 == 1))
+    placed = spread_join(placed, counts, "first", "c").withColumn("alone", (F.col("rank") == F.col("n") - 1) & (F.col("n") % 2 == 1))
     inside = placed.where("not alone").select("first", F.floor(F.col("rank") / 2).alias("k"), "rank", "c")
     single = placed.where("alone").select("c", (F.conv(F.substring("first", 1, 15), 16, 10).cast("long") * 8).alias("h"))
     outside = ranked(materialise(single, "single"), [], "h", ["c"]).select(F.lit("").alias("first"), F.floor(F.col("rank") / 2).alias("k"), "rank", "c")
@@ -84,7 +84,7 @@ def preferences(numbered: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def format_pairs(conversations: DataFrame) -> DataFrame:
-    numbered = turns(conversations)
+    numbered = materialise(turns(conversations), "turns")  # read for the ranks and for both sides
     pairs = materialise(neighbours(numbered), "pairs")
     out = preferences(numbered, pairs)
     return out.withColumnsRenamed({"chosen": "chosen_id", "rejected": "rejected_id"})

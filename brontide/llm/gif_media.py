@@ -5,9 +5,14 @@ transparency and disposal, and yields timed frames; ``encode`` stores bytes as
 8-bit samples of grey frames (palette entry i is the grey i), ``WIDTH`` wide and
 ``ROWS`` high, so that any payload comes back unchanged.
 
-Defined cases: null counts as empty; the payload is padded with zero bytes to a
+``frames`` turns a column of GIFs into a table of timed frames with colour histograms;
+``store`` writes texts as GIFs, reads them back and sums the same histograms up.
+
+Defined cases: null counts as empty; in ``frames`` a null GIF has no row and one that
+cannot be read has one row with its error (frames before the fault are kept); the payload is padded with zero bytes to a
 positive multiple of 64; equal texts give equal files; a truncated or unknown
-stream raises ValueError; repeated rows and extra columns do not matter.
+stream raises ValueError in ``decode``; repeated rows are stored once each; extra columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +26,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import arrow_batches
 
@@ -228,24 +235,63 @@ def encode(payload: bytes, width: int = WIDTH, rows: int = ROWS, delay: int = DE
     return b"".join(out) + b";"
 
 
-def histogram(frames: list[Frame]) -> tuple[int, list[int]]:
-    """(duration in hundredths, samples in 8 shades of red, green and blue) over the frames' own areas."""
-    counts = np.zeros(24, np.int64)
-    for f in frames:
-        for c in range(3):
-            counts[8 * c : 8 * c + 8] += np.bincount(f.area()[..., c].ravel() >> 5, minlength=8)
-    return sum(f.delay for f in frames), counts.tolist()
+def histogram(frame: Frame) -> np.ndarray:
+    """Samples of a frame's own area in 8 shades each of red, green and blue (3 x 8)."""
+    area = frame.area()
+    return np.stack([np.bincount(area[..., c].ravel() >> 5, minlength=8) for c in range(3)])
+
+
+_FRAME = (
+    "frame int, left int, top int, width int, height int, delay int, disposal int, samples binary, red array<long>, green array<long>, blue array<long>, error string"
+)
+
+
+def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int32()] * 7 + [pa.binary()] + [pa.list_(pa.int64())] * 3 + [pa.string()]
+    names = ["own", *(x.split()[0] for x in _FRAME.split(", "))]
+
+    def made(own: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([own.take(pa.array([0] * len(rows))), *(pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True))], names)
+
+    for batch in batches:
+        for i, media in enumerate(batch.column(1).to_pylist()):
+            if media is None:
+                continue
+            own, rows, n = batch.column(0).slice(i, 1), [], 0
+            try:
+                for f in decode(media):
+                    rows.append((n, f.left, f.top, f.width, f.height, f.delay, f.disposal, f.area().tobytes(), *histogram(f).tolist(), None))
+                    n += 1
+                    if sum(len(r[7]) for r in rows) > 1 << 24:  # the canvases of one GIF can be many
+                        yield made(own, rows)
+                        rows = []
+            except (ValueError, IndexError, struct.error) as e:
+                rows.append((*[None] * 11, str(e) or type(e).__name__))
+            if rows:
+                yield made(own, rows)
+
+
+def frames(gifs: DataFrame, media_col: str = "media", more: tuple[str, ...] = ()) -> DataFrame:
+    """A row per frame: the columns ``more`` of its GIF, number, place, delay (hundredths), disposal, the RGB samples of its
+    area as shown, and how many of them fall into 8 shades of red, green and blue."""
+    arrow_batches(gifs.sparkSession)
+    slim = gifs.select(F.struct(*more).alias("own") if more else F.struct(F.lit(0).alias("none")).alias("own"), F.col(media_col).alias("media"))
+    schema = StructType([slim.schema["own"], *StructType.fromDDL(_FRAME).fields])
+    return slim.mapInArrow(_frames, schema).select(*["own.*"] * bool(more), *schema.names[1:])
 
 
 def _one(text: bytes | None) -> tuple:
     raw = text or b""
     payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
     media = encode(payload)
-    frames = list(decode(media))
-    back = b"".join(f.area()[..., 0].tobytes() for f in frames)
-    duration, counts = histogram(frames)
-    feature = f"frames={len(frames)};hundredths={duration};red={','.join(map(str, counts[:8]))}"
-    return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature
+    digest, n, count, duration, last, shades = hashlib.sha256(), 0, 0, 0, b"", np.zeros((3, 8), np.int64)
+    for f in decode(media):
+        back = f.area()[..., 0].tobytes()
+        digest.update(back)
+        n, count, duration, last, shades = n + len(back), count + 1, duration + f.delay, (last + back)[-64:], shades + histogram(f)
+    shown = ";".join(f"{name}={','.join(map(str, x))}" for name, x in zip(("red", "green", "blue"), shades.tolist(), strict=True))
+    feature = f"frames={count};hundredths={duration};{shown}"
+    return len(raw), n, digest.hexdigest(), zlib.crc32(last), len(media), hashlib.sha256(media).hexdigest(), feature, media
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = False) -> DataFrame:
@@ -256,11 +302,11 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             done = [_one(x) for x in texts]
-            cols = list(zip(*done, strict=True)) or [()] * 7
+            cols = list(zip(*done, strict=True)) or [()] * 8
             types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            arrays = [pa.array(x, t) for x, t in zip(cols, types, strict=True)]
+            arrays = [pa.array(x, t) for x, t in zip(cols, types, strict=False)]
             if keep_media:
-                arrays.append(pa.array([encode((x or b"") + bytes(max(64, -(-len(x or b"") // 64) * 64) - len(x or b""))) for x in texts], pa.binary()))
+                arrays.append(pa.array(cols[7], pa.binary()))
             yield pa.record_batch([batch.column(0), *arrays], names)
 
     names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] + ["media"] * keep_media

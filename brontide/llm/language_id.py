@@ -5,14 +5,17 @@ text.  A text is cut greedily into the longest phrases that occur in a
 language's sample; phrases times ``log2`` of the sample's length is the number
 of bits that the language needs, and the language needing fewest wins.
 
-Case is folded, every run of non-letters is one space, letters outside the
-learned alphabet share a symbol.  Pieces of ``PIECE`` symbols are parsed side by
-side (numpy), so a long text starts a phrase anew at each piece; all of every
-text is parsed.
-
-Sample (documented bound): per language at most ``DOCS`` documents, chosen by a
-hash of their id, ``CHARS`` characters from the second quarter of each, and at most
-``SAMPLE`` symbols over all languages.
+Case is folded and every run of non-letters is one space; the symbols are the UTF-8
+bytes of what is left, so letters of all scripts keep apart, and a byte that no sample
+has is a phrase of its own.  Every text is parsed from its first symbol to its last in
+one greedy parse.  For speed, pieces of ``PIECE`` symbols are parsed side by side (numpy)
+as if a phrase began with each; then each is parsed again from the state in which the
+piece before really ended, until both parses are in one state, from where they agree.
+
+Sample (documented bound): per language whole texts in the order of a hash of their
+id, until they have ``SAMPLE`` symbols or are ``DOCS`` rows, however many languages
+there are.  A language's automaton takes at most ``2 * symbols`` states of four bytes
+for each distinct byte.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0;
 equal counts go to the first language in code-point order; without any labelled
@@ -25,36 +28,41 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import arrow_batches
 
-DOCS, CHARS, SAMPLE, PIECE, SYMBOLS = 96, 800, 160_000, 1024, 64
+DOCS, SAMPLE, PIECE = 96, 40_000, 1024
+#: Symbols that are parsed side by side.
+GRID = 1 << 20
 
 
-def symbols(alphabet: list[str]) -> np.ndarray:
-    """Code point -> symbol: 0 no letter, 1.. the alphabet, 63 any other letter."""
-    known = {c: i + 1 for i, c in enumerate(alphabet)}
-    out = np.zeros(0x110000, np.uint8)
+@cache
+def _folded() -> np.ndarray:
+    """Code point -> lower-cased letter, or 32."""
+    out = np.full(0x110000, 32, np.uint32)
     for i in range(0x110000):
-        c = chr(i)
-        if c.isalpha():
-            out[i] = known.get(c.lower()[:1], SYMBOLS - 1)
+        if (c := chr(i)).isalpha():
+            out[i] = ord(c.lower()[:1])
     return out
 
 
-def encoded(text: str, lut: np.ndarray) -> np.ndarray:
-    codes = lut[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
-    gap = codes == 0
-    return codes[~(gap & np.concatenate([[True], gap[:-1]]))]
+def encoded(text: str) -> np.ndarray:
+    """The bytes of a text's lower-cased letters, each run of anything else as one blank."""
+    codes = _folded()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+    gap = codes == 32
+    kept = codes[~(gap & np.concatenate([[True], gap[:-1]]))]
+    return np.frombuffer(kept.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)
 
 
-def automaton(codes: list[int]) -> np.ndarray:
-    """Transitions [state, symbol] -> 64 * next state, plus 1 where the symbol begins a new phrase."""
+def automaton(codes: list[int], width: int) -> np.ndarray:
+    """Transitions [state, symbol] -> width * next state, plus 1 where the symbol begins a new phrase; ``width`` is even."""
     link, length, nexts, last = [-1], [0], [{}], 0
     for c in codes:
         cur = len(link)
@@ -79,12 +87,12 @@ def automaton(codes: list[int]) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    root = np.zeros(SYMBOLS, np.int64)
+    root = np.zeros(width, np.int64)
     for c, to in nexts[0].items():
-        root[c] = to * SYMBOLS
+        root[c] = to * width
     table = np.tile((root + 1).astype(np.int32), (len(link), 1))
     at = np.array([(s, c, to) for s, own in enumerate(nexts) for c, to in own.items()], np.int64).reshape(-1, 3)
-    table[at[:, 0], at[:, 1]] = at[:, 2] * SYMBOLS
+    table[at[:, 0], at[:, 1]] = at[:, 2] * width
     table[0] = root + 1  # whatever leaves the root begins a phrase; an unknown symbol is one of its own
     return table
 
@@ -92,53 +100,94 @@ def automaton(codes: list[int]) -> np.ndarray:
 class Parser:
     def __init__(self, samples: dict[str, str]) -> None:
         self.names = sorted(samples)
-        letters = Counter(c for x in samples.values() for c in x.lower() if c.isalpha())
-        self.lut = symbols([c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - 2]])
+        learned = {name: encoded(samples[name]) for name in self.names}
+        seen = sorted({int(b) for x in learned.values() for b in np.unique(x)})
+        # one symbol more for bytes that no sample has, and one to make the width even
+        width = (len(seen) + 2) // 2 * 2
+        self.symbol = np.full(256, len(seen), np.uint8)
+        self.symbol[seen] = np.arange(len(seen))
         tables, self.base, self.bits, at = [], [], [], 0
-        share = SAMPLE // max(1, len(self.names))
         for name in self.names:
-            codes = encoded(samples[name], self.lut)[:share]
-            tables.append(automaton(codes.tolist()) + np.int32(at * SYMBOLS))
-            self.base.append(at * SYMBOLS)
+            codes = self.symbol[learned[name]]
+            tables.append(automaton(codes.tolist(), width) + np.int32(at * width))
+            self.base.append(at * width)
             self.bits.append(math.log2(len(codes) + 2))
             at += len(tables[-1])
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
 
-    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(phrases [language, text], symbols, letters) of each text."""
-        codes = [encoded(x, self.lut) for x in texts]
+    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(phrases [language, text], symbols) of each text."""
+        codes = [self.symbol[encoded(x)] for x in texts]
         size = np.array([len(x) for x in codes], np.int64)
-        letters = np.array([int((x > 0).sum()) for x in codes], np.int64)
-        own = np.repeat(np.arange(len(texts)), -(-size // PIECE))
-        flat = [x[i : i + PIECE] for x in codes for i in range(0, len(x), PIECE)]
-        lengths = np.array([len(x) for x in flat], np.int64)
-        order = np.argsort(-lengths, kind="stable")
-        counts = np.zeros((len(self.names), len(flat)), np.int32)
-        if len(flat):
-            grid = np.zeros((lengths[order[0]], len(flat)), np.int32)
-            for k, i in enumerate(order):
-                grid[: lengths[i], k] = flat[i]
-            state = np.repeat(np.array(self.base, np.int32)[:, None], len(flat), 1)
-            alive = np.searchsorted(-lengths[order], -np.arange(len(grid)), side="left")
-            for row, k in zip(grid, alive, strict=True):
-                step = self.table[state[:, :k] + row[:k]]
-                counts[:, :k] += step & 1
-                state[:, :k] = step & ~1
+        state = np.repeat(np.array(self.base, np.int32)[:, None], len(texts), 1)
         total = np.zeros((len(self.names), len(texts)), np.int64)
+        held: list[tuple[int, np.ndarray]] = []
+        for i, x in enumerate(codes):
+            for at in range(0, len(x), GRID):  # a longer text goes on where it stopped
+                held.append((i, x[at : at + GRID]))
+                if len(x) > at + GRID or sum(len(y) for _, y in held) >= GRID:
+                    self._parse(held, state, total)
+                    held = []
+        if held:
+            self._parse(held, state, total)
+        return total, size
+
+    def _parse(self, parts: list[tuple[int, np.ndarray]], state: np.ndarray, total: np.ndarray) -> None:
+        """Adds the phrases of (text, symbols) to ``total``, from the texts' states, which are moved on."""
+        own = np.concatenate([np.full(-(-len(x) // PIECE), i) for i, x in parts])
+        flat = [x[k : k + PIECE] for _, x in parts for k in range(0, len(x), PIECE)]
+        begins = np.concatenate([[True], own[1:] != own[:-1]])
+        size = np.array([len(x) for x in flat])
+        order = np.argsort(-size, kind="stable")
+        place = np.argsort(order)
+        grid = np.zeros((size.max(), len(flat)), np.uint8)
+        for k, j in enumerate(order):
+            grid[: size[j], k] = flat[j]
+        entry = np.where(begins, state[:, own], np.array(self.base, np.int32)[:, None])
+        now = entry[:, order]
+        steps = np.zeros((len(grid), *now.shape), np.int32)
+        for at, (row, k) in enumerate(zip(grid, np.searchsorted(-size[order], -np.arange(len(grid)), side="left"), strict=True)):
+            steps[at, :, :k] = self.table[now[:, :k] + row[:k]]
+            now[:, :k] = steps[at, :, :k] & ~1
+        upto = np.cumsum(steps & 1, axis=0, dtype=np.int32)
+        guessed, count = now[:, place], upto[size - 1, :, place].T.copy()
+        whole, end, used = count.copy(), guessed.copy(), entry
+        while True:  # pieces whose predecessor ended in another state than they were parsed from
+            lang, piece = np.nonzero((used != np.roll(end, 1, axis=1)) & ~begins)
+            if not len(lang):
+                break
+            now = used[lang, piece] = end[lang, piece - 1]
+            made = np.zeros(len(lang), np.int64)
+            for at in range(len(grid)):
+                k = place[piece]
+                step = self.table[now + grid[at, k]]
+                made += step & 1
+                now = step & ~1
+                same = now == steps[at, lang, k] & ~1
+                last = ~same & (size[piece] == at + 1)
+                x, y = lang[same], piece[same]
+                count[x, y] = made[same] + whole[x, y] - upto[at, x, place[y]]
+                end[x, y] = guessed[x, y]
+                count[lang[last], piece[last]], end[lang[last], piece[last]] = made[last], now[last]
+                left = ~same & ~last
+                lang, piece, now, made = lang[left], piece[left], now[left], made[left]
+                if not len(lang):
+                    break
         for k in range(len(self.names)):
-            total[k] = np.bincount(own[order], counts[k], len(texts))
-        return total, size, letters
+            total[k] += np.bincount(own, count[k], total.shape[1]).astype(np.int64)
+        closes = np.concatenate([begins[1:], [True]])
+        state[:, own[closes]] = end[:, closes]
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if not self.names:
             return ["und"] * len(texts), [0.0] * len(texts)
-        count, size, letters = self.phrases([x or "" for x in texts])
+        count, size = self.phrases([x or "" for x in texts])
         bits = count * np.array(self.bits)[:, None]
         best = bits.argmin(axis=0)
         # a probability from at most 64 symbols' worth of bits: more would always round to 1
         gap = (bits - bits.min(axis=0)) * np.minimum(1, 64 / np.maximum(size, 1))
         score = 1 / np.exp2(-gap).sum(axis=0)
-        named = letters > 0
+        named = size > 0  # what has no letter has no symbol
         return [self.names[k] if ok else "und" for k, ok in zip(best, named, strict=True)], np.where(named, score, 0.0).tolist()
 
 
@@ -152,14 +201,16 @@ def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> di
     if not counts:
         return {}
     hashed = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 40))
-    limit = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, 3 * DOCS / n) * (1 << 40)))])
-    start = F.floor(F.length(text_col) / 4).cast("int") + 1
-    picked = rows.select(F.col(lang_col).alias("l"), hashed.alias("h"), F.substr(F.col(text_col), start, F.lit(CHARS)).alias("t")).where(F.col("h") <= limit[F.col("l")])
+    limit = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, 2 * DOCS / n) * (1 << 40)))])
+    picked = rows.select(F.col(lang_col).alias("l"), hashed.alias("h"), F.col(text_col).alias("t")).where(F.col("h") <= limit[F.col("l")])
+    # at most DOCS rows a language reach the driver, though one id may have many rows
+    place = F.row_number().over(Window.partitionBy("l").orderBy("h", F.xxhash64("t")))
     out: dict[str, list[str]] = {}
-    for r in sorted(picked.collect(), key=lambda r: (r["h"], r["t"])):
-        own = out.setdefault(r["l"], [])
-        if len(own) < DOCS:
-            own.append(r["t"])
+    held: Counter = Counter()
+    for r in sorted(picked.withColumn("k", place).where(F.col("k") <= DOCS).collect(), key=lambda r: (r["l"], r["k"])):
+        if held[r["l"]] < SAMPLE:
+            out.setdefault(r["l"], []).append(r["t"])
+            held[r["l"]] += len(encoded(r["t"]))
     return {k: " ".join(x) for k, x in out.items()}
 
 
@@ -174,10 +225,10 @@ def identify(docs: DataFrame, samples: dict[str, str], id_col: str = "doc_id", t
             _parsers[key] = Parser(samples)
         parser = _parsers[key]
         for batch in batches:
-            last = batch.num_columns - 1
-            names, scores = parser(batch.column(last).to_pylist())
-            yield pa.record_batch([*batch.columns[:last], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[:last], "lang_pred", "score"])
+            names, scores = parser(batch.column(1).to_pylist())
+            yield pa.record_batch([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["own", "lang_pred", "score"])
 
-    slim = docs.select(id_col, *more, F.col(text_col).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != "_text")
-    return slim.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    # one struct, whose fields cannot be taken for columns of this module
+    slim = docs.select(F.struct(F.col(id_col), *more).alias("own"), F.col(text_col).alias("text"))
+    made = [StructField("lang_pred", StringType()), StructField("score", DoubleType())]
+    return slim.mapInArrow(run, StructType([slim.schema["own"], *made])).select("own.*", *[f.name for f in made])

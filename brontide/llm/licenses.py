@@ -12,15 +12,17 @@ Base phrases are counted apart, word by word, and never suppressed.
 
 Defined cases: null counts as empty; texts without words give 0 and null;
 overlapping places that do not contain each other both stay; equal places of
-equal priority both stay; repeated rows are scanned once each; extra columns are
+equal priority both stay; a rule's places in one chunk of a long stretch do not overlap
+one another; repeated rows are scanned once each; extra columns are
 ignored.
 """
 
 from __future__ import annotations
 
 import json
-from functools import reduce
+from functools import cache, reduce
 from operator import or_
+from re import _parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,11 +69,11 @@ FAMILIES = [
     ("unlicense", "unlicense", r"(?:the )?unlicense"),
     ("wtfpl", "wtfpl", r"(?:the )?wtfpl"),
     ("cc0-1", "cc0|commons zero", r"(?:the )?(?:cc0|creative commons zero)(?: 1 0)?"),
-    ("cc-by-nc-nd", "cc by|cc attribution|creative commons", r"(?:a |the )?(?:cc|creative commons)(?: by| attribution)(?: nc| non ?commercial)(?: nd| no ?deriv\w*)(?: [1-4] [05])?"),
+    ("cc-by-nc-nd", "cc by|cc attribution|creative commons", r"(?:a |the )?(?:cc|creative commons)(?: by| attribution)(?: nc| non ?commercial)(?: nd| no ?deriv(?:s|atives?)?)(?: [1-4] [05])?"),
     ("cc-by-nc-sa", "cc by|cc attribution|creative commons", r"(?:a |the )?(?:cc|creative commons)(?: by| attribution)(?: nc| non ?commercial)(?: sa| share ?alike)(?: [1-4] [05])?"),
     ("cc-by-nc", "cc by nc", r"(?:a |the )?cc by nc(?: [1-4] [05])?"),
     ("cc-by-nc", "commercial", r"(?:a |the )?creative commons attribution non ?commercial(?: [1-4] [05])?"),
-    ("cc-by-nd", "cc by|cc attribution|creative commons", r"(?:a |the )?(?:cc|creative commons)(?: by| attribution)(?: nd| no ?deriv\w*)(?: [1-4] [05])?"),
+    ("cc-by-nd", "cc by|cc attribution|creative commons", r"(?:a |the )?(?:cc|creative commons)(?: by| attribution)(?: nd| no ?deriv(?:s|atives?)?)(?: [1-4] [05])?"),
     ("cc-by-sa", "cc by|cc attribution|creative commons", r"(?:a |the )?(?:cc|creative commons)(?: by| attribution)(?: sa| share ?alike)(?: [1-4] [05])?"),
     ("cc-by", "cc by|cc attribution|creative commons", r"(?:a |the )?(?:cc|creative commons)(?: by| attribution)(?: [1-4] [05])?"),
     ("public-domain", "public domain", r"(?:the )?public domain"),
@@ -126,8 +128,8 @@ KEYWORDS = [
     "distributed under", "terms of", "conditions of", "terms and conditions",
 ]
 PREFILTER = "(?i)" + "|".join(KEYWORDS)
-#: Characters read around a prefilter word; the longest statement has about half as many.
-BEFORE, AFTER = 160, 200
+#: Characters of a stretch that are scanned together; what is scanned around them lets no place be cut.
+CHUNK = 4096
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -142,6 +144,12 @@ def rules() -> list[tuple[str, int, str, str, str, float]]:
     return made + [(label, priority, key, key, rx, sure) for label, key, rx, priority, sure in GENERAL]
 
 
+@cache
+def longest() -> int:
+    """Characters of the longest place that any rule can match, with the blanks around it: every rule is bounded."""
+    return max(_parser.parse(rx).getwidth()[1] for *_, rx, _ in rules()) + 2
+
+
 def _literal() -> Column:
     """All rules as one constant (an array of structs)."""
     rows = [{"label": a, "prio": b, "key": c, "word": d, "rx": f"(?<= )(?:{e})(?= )", "sure": f} for a, b, c, d, e, f in rules()]
@@ -149,11 +157,15 @@ def _literal() -> Column:
 
 
 def _surroundings(line: Column) -> Column:
-    """The stretches of a text around its prefilter words, between bars; near ones are one stretch."""
+    """The stretches of a text around its prefilter words, between bars; near ones are one stretch.
+
+    A place holds a prefilter word, so it reaches no further than ``longest`` from it.
+    """
+    most = longest()
     gaps, hits = F.split(line, PREFILTER, -1), F.regexp_extract_all(line, F.lit(PREFILTER), F.lit(0))
-    before = lambda x: F.regexp_replace(F.right(x, F.lit(BEFORE)), r"^\S+", "")
-    after = lambda x: F.regexp_replace(F.left(x, F.lit(AFTER)), r"\S+$", "")
-    between = lambda x: F.when(F.length(x) <= BEFORE + AFTER, x).otherwise(F.concat(after(x), F.lit(" | "), before(x)))
+    before = lambda x: F.regexp_replace(F.right(x, F.lit(most)), r"^\S+", "")
+    after = lambda x: F.regexp_replace(F.left(x, F.lit(most)), r"\S+$", "")
+    between = lambda x: F.when(F.length(x) <= 2 * most, x).otherwise(F.concat(after(x), F.lit(" | "), before(x)))
     inner = F.zip_with(F.slice(gaps, 2, F.size(hits) - 1), F.slice(hits, 2, F.size(hits) - 1), lambda gap, hit: F.concat(between(gap), hit))
     return F.concat(before(F.element_at(gaps, 1)), F.element_at(hits, 1), F.array_join(inner, ""), after(F.element_at(gaps, -1)), F.lit(" "))
 
@@ -179,14 +191,25 @@ def _within(p: Column, q: Column) -> Column:
 
 
 def detections(lined: DataFrame, line: str) -> DataFrame:
-    """Adds ``kept``: the surviving places of the column ``line`` (blank-joined words between blanks)."""
-    text = F.col(line)
+    """Adds ``kept``: the surviving places of the column ``line`` (blank-joined words between blanks).
+
+    A line is scanned in chunks of ``CHUNK`` characters, each with ``longest`` more on
+    either side: these hold whatever can contain a place that begins in the chunk, so
+    the work grows with a line's length, not with its square.
+    """
+    text, most = F.col(line), longest()
+    whole = F.array(F.struct(F.lit(0).alias("skip"), text.alias("part")))
+    cut = lambda i: F.struct(
+        F.when(i > 0, most).otherwise(0).alias("skip"), F.substring(text, F.greatest(i * CHUNK - most, F.lit(0)) + 1, F.lit(CHUNK + 2 * most) - F.when(i > 0, 0).otherwise(most)).alias("part")
+    )
+    parts = F.when(F.length(text) <= CHUNK, whole).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / CHUNK).cast("int")), cut))
     # a text that the prefilter left out is null and costs nothing more
-    hits = F.when(text.isNotNull(), F.filter(_literal(), lambda r: F.contains(text, r["key"]) & F.contains(text, r["word"]) & F.rlike(text, r["rx"])))
-    found = lined.withColumn("_hits", hits)
-    found = found.withColumn("_places", F.flatten(F.transform("_hits", lambda r: _places(text, r))))
-    kept = F.filter("_places", lambda p: ~F.exists(F.col("_places"), lambda q: _within(p, q)))
-    return found.withColumn("kept", kept).drop("_hits", "_places")
+    hits = lambda c: F.filter(_literal(), lambda r: F.contains(c["part"], r["key"]) & F.contains(c["part"], r["word"]) & F.rlike(c["part"], r["rx"]))
+    placed = lambda c: F.struct(c["skip"].alias("skip"), F.flatten(F.transform(hits(c), lambda r: _places(c["part"], r))).alias("places"))
+    own = lambda c, p: (p["start"] >= c["skip"]) & (p["start"] < c["skip"] + CHUNK)
+    left = lambda c: F.filter(c["places"], lambda p: own(c, p) & ~F.exists(c["places"], lambda q: _within(p, q)))
+    found = lined.withColumn("_found", F.when(text.isNotNull(), F.transform(parts, placed)))
+    return found.withColumn("kept", F.flatten(F.transform("_found", left))).drop("_found")
 
 
 def _words(text: Column) -> Column:

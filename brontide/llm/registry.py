@@ -39,7 +39,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+    return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept_text", "factors")
 
 
 def tokenizer_path() -> str:

@@ -8,11 +8,15 @@ before anything is shuffled; bit k is set if more than half of the votes are.
 
 ``within`` finds all fingerprints within a Hamming radius by permuted block
 tables: the 64 bits are cut into ``radius + 2`` blocks, of which two always agree;
-every pair of blocks keys one table.
-
-Defined cases: null counts as empty, whose fingerprint is 0; equal texts have
-equal fingerprints; fewer than two words make one term; an empty table gives no
-rows; rows with a null id are not fingerprinted; repeated ids are undefined.
+every pair of blocks keys one table.  A table's bucket is never paired with itself: the
+queries, one row in ``EVERY``, meet all fingerprints.
+
+Defined cases: null counts as empty, and the empty text is one empty term; equal texts
+have equal fingerprints; fewer than two words make one term; an empty table gives no
+rows; rows are ordered by id (null last), then by the text's hash, so rows of one id are
+rows of their own, each followed by the next, and rows of one id and one text are
+followed by one another; ids are integers (any other type raises TypeError); extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +27,10 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import integer_ids, materialise
 
+#: The search takes the documents whose id this divides as queries, and counts neighbours at most RADIUS bits away.
+EVERY, RADIUS = 50, 3
 _LANES = 0x0000000100000001
 
 
@@ -54,47 +60,70 @@ def hex64(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def following(ids: DataFrame, buckets: int = 4096) -> DataFrame:
-    """(d, next): the next id in ascending order for each distinct id; the first follows the last.
+_KEY = ["z", "d", "x"]
+
 
-    Ids are dealt to ranges of equal width; the ends of the ranges (at most
-    ``buckets`` rows) are linked in one small window.
+def following(rows: DataFrame) -> DataFrame:
+    """Adds the key (n_z, n_d, n_x) of the next row by (z, d, x) to distinct keys; the first follows the last.
+
+    Rows are dealt to ranges of about equal size; the ends of the ranges (one row a
+    partition) are linked in one small window.
     """
-    ends = ids.agg(F.min("d").alias("lo"), F.max("d").alias("hi")).first()
-    if ends is None or ends["lo"] is None:
-        return ids.select("d", F.col("d").alias("next")).limit(0)
-    width = max(1, -(-(ends["hi"] - ends["lo"] + 1) // buckets))
-    part = ids.distinct().withColumn("b", F.floor((F.col("d") - F.lit(ends["lo"])) / width))
-    inside = part.withColumn("next", F.lead("d").over(Window.partitionBy("b").orderBy("d")))
-    heads = part.groupBy("b").agg(F.min("d").alias("head"))
-    after = heads.select("b", F.coalesce(F.lead("head").over(Window.orderBy("b")), F.lit(ends["lo"])).alias("head"))
-    return inside.join(after, "b").select("d", F.coalesce("next", "head").alias("next"))
+    part = materialise(rows.repartitionByRange(*_KEY).withColumn("_b", F.spark_partition_id()), "ranges")
+    key = F.struct(*_KEY)
+    heads = part.groupBy("_b").agg(F.min(key).alias("head"))
+    whole = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = heads.select("_b", F.coalesce(F.lead("head").over(Window.orderBy("_b")), F.first("head").over(whole)).alias("head"))
+    inside = part.withColumn("_n", F.lead(key).over(Window.partitionBy("_b").orderBy(*_KEY)))
+    linked = inside.join(after, "_b").withColumn("_n", F.coalesce("_n", "head"))
+    return linked.select(*rows.columns, *[F.col(f"_n.{k}").alias(f"n_{k}") for k in _KEY])
 
 
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of every text and its edited text (see the query's contract), next to the following document's."""
-    slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    lengths = materialise(slim.select("d", F.length("t").cast("long").alias("n")), "lengths")
-    order = materialise(lengths.join(following(lengths.select("d")), "d"), "order")
-    quarter = F.floor(F.col("n") / 4).cast("int")
+    """Fingerprints of every text and its edited text (see the query's contract), next to the following document's.
+
+    ``n_near``: for ids that ``EVERY`` divides, how many other fingerprints of the table lie within ``RADIUS`` bits; else null.
+    """
+    integer_ids(docs, id_col)
+    kind = docs.schema[id_col].dataType
+    d, t = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
+    slim = docs.select(d.isNull().cast("int").alias("z"), F.coalesce(d, F.lit(0)).alias("d"), F.xxhash64(t).alias("x"), t.alias("t"))
+    counts = slim.groupBy(*_KEY).agg(F.first(F.length("t")).cast("long").alias("n"), F.count(F.lit(1)).alias("m"))
+    order = materialise(following(counts), "order")
+    texts = slim if order.where("m > 1").isEmpty() else slim.dropDuplicates(_KEY)
     # at the following document: the part of it that the edited text takes
-    heads = slim.join(order.select(F.col("d").alias("for"), "n", F.col("next").alias("d")), "d").select(F.col("for").alias("d"), F.substr("t", F.lit(1), quarter).alias("head"))
-    changed = slim.join(heads, "d").select("d", "t", F.concat(F.substr("t", F.lit(1), (F.length("t") - F.floor(F.length("t") / 4)).cast("int")), "head").alias("e"))
-    both = changed.select(
-        "d", F.length("t").cast("long").alias("n_chars"), F.sha2("e", 256).alias("edited_sha256"), F.posexplode(F.array("t", "e")).alias("which", "text")
-    )
-    prints = fingerprints(both, ["d", "n_chars", "edited_sha256", "which"])
-    rows = prints.groupBy("d", "n_chars", "edited_sha256").agg(F.max(F.when(F.col("which") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("which") == 1, F.col("fp"))).alias("efp"))
+    at_next = order.select(*[F.col(k).alias(f"for_{k}") for k in _KEY], "n", *[F.col(f"n_{k}").alias(k) for k in _KEY])
+    heads = texts.join(at_next, _KEY).select(*[F.col(f"for_{k}").alias(k) for k in _KEY], F.substr("t", F.lit(1), F.floor(F.col("n") / 4).cast("int")).alias("head"))
+    known = texts.join(heads, _KEY).join(order.select(*_KEY, "n", "m"), _KEY)
+    quarter = F.floor(F.col("n") / 4).cast("int")
+    begin = F.substr("t", F.lit(1), (F.col("n") - quarter).cast("int"))
+    # of rows that are alike the last one is followed by another document, the others by themselves
+    edits = F.array(F.col("t"), F.concat(begin, "head"), F.when(F.col("m") > 1, F.concat(begin, F.substr("t", F.lit(1), quarter))))
+    each = known.select(*_KEY, F.posexplode(edits).alias("which", "text")).where("text is not null")
+    prints = fingerprints(each.select(*_KEY, "which", "text", F.sha2("text", 256).alias("sha")), [*_KEY, "which", "sha"])
+    pick = lambda k, c: F.max(F.when(F.col("which") == k, F.col(c)))
+    rows = prints.groupBy(*_KEY).agg(pick(0, "fp").alias("fp"), pick(1, "fp").alias("efp"), pick(1, "sha").alias("esha"), pick(2, "fp").alias("sfp"), pick(2, "sha").alias("ssha"))
     rows = materialise(rows, "prints")
-    other = rows.select(F.col("d").alias("next"), F.col("fp").alias("nfp"))
-    return rows.join(order.select("d", "next"), "d").join(other, "next").select(
-        F.col("d").alias(id_col),
-        "n_chars",
-        "edited_sha256",
+    found = within(rows, rows.where((F.col("z") == 0) & (F.col("d") % EVERY == 0)), RADIUS)
+    near = materialise(found.groupBy("q").agg((F.count(F.lit(1)) - 1).alias("n_near")), "near")
+    rows = rows.join(order, _KEY).join(near, F.col("fp") == F.col("q"), "left").drop("q")
+    other = materialise(rows.select(*_KEY, "fp"), "fps").select(*[F.col(k).alias(f"n_{k}") for k in _KEY], F.col("fp").alias("nfp"))
+    joined = rows.join(other, [f"n_{k}" for k in _KEY])
+    last = F.struct(F.col("esha").alias("sha"), F.col("efp").alias("e"), F.col("nfp").alias("o"))
+    alike = F.struct(F.col("ssha").alias("sha"), F.col("sfp").alias("e"), F.col("fp").alias("o"))
+    # copies in blocks, so that no array grows with their number
+    many = joined.where("m > 1").withColumn("_k", F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 2) / 65536))))
+    many = many.withColumn("_j", F.explode(F.sequence(F.lit(1), F.least(F.col("m") - 1 - F.col("_k") * 65536, F.lit(65536))))).withColumn("y", alike)
+    every = joined.withColumn("y", last).unionByName(many.drop("_k", "_j"))
+    return every.select(
+        F.when(F.col("z") == 0, F.col("d")).cast(kind).alias(id_col),
+        F.col("n").alias("n_chars"),
+        F.col("y.sha").alias("edited_sha256"),
         hex64(F.col("fp")).alias("fingerprint"),
-        hex64(F.col("efp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("efp")).alias("near_edited"),
-        likeness(F.col("fp"), F.col("nfp")).alias("near_next"),
+        hex64(F.col("y.e")).alias("edited_fingerprint"),
+        likeness(F.col("fp"), F.col("y.e")).alias("near_edited"),
+        likeness(F.col("fp"), F.col("y.o")).alias("near_next"),
+        F.when((F.col("z") == 0) & (F.col("d") % EVERY == 0), F.col("n_near")).alias("n_near"),
     )
 
 

@@ -1,20 +1,24 @@
 """Toxicity by weak supervision.
 
-Voters are mined from a bounded sample of labelled rows: words and word
-beginnings that are much more frequent in toxic texts, and a few patterns
-(shouting, repeated marks).  A generative label model -- one rate per voter and
-class, fitted by EM, votes of correlated voters counted down by their
-correlations within a class -- turns the votes into posterior labels, and a
-logistic regression over the voters' features is trained on these posteriors.
-Scoring needs one look-up per distinct word and reads whole texts.
-
-Sample (documented bound): at most about ``SAMPLE`` rows of each label, chosen by a
-hash of their id, of texts up to ``LONGEST`` characters.
+Voters are many weak ones, for either label: a lexicon of words and word beginnings that
+are at least three times as frequent in the texts of one label as in the other's (at most
+``FEATURES`` for label 1 and ``FEATURES // 4`` for label 0), the hand-written patterns of
+``PATTERNS``, and the hand label itself, which is one voter among them.  A generative
+label model estimates how often each voter speaks in either class (its accuracy), by EM
+that starts from the hand labels; votes of voters that agree beyond chance inside the
+classes are counted down by these correlations.  Its posterior labels train a logistic
+regression over the lexicon and pattern voters, which alone can be seen at scoring time;
+held-out folds of the sample calibrate its two parameters of scale.  Scoring needs one
+look-up per distinct word and reads whole texts.
+
+Sample (documented bound): about ``SAMPLE`` label rows of each label, chosen by a hash of
+their id, ``4 * SAMPLE`` at most, with whole texts; near copies in the sample are left out
+(``unlike``).
 
 Defined cases: null counts as the empty text, which gets the score of a text
 that no voter marks; without labelled rows of both kinds every score is 0;
 repeated rows are scored once each; a document with several labels is learned
-from once per label row; extra columns are ignored.
+from once per label row; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,10 +32,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import arrow_batches
 
-SAMPLE, LONGEST, FEATURES = 1500, 20_000, 400
+SAMPLE, FEATURES = 1500, 400
 RIDGE = 0.1
 _WORD = re.compile(r"[^\W\d_]+")
 _CUTS = (4, 5, 6, 7, 8)
@@ -40,6 +45,9 @@ PATTERNS = {
     "shouting": re.compile(r"\b[A-Z]{4,}\W+[A-Z]{4,}\b"),
     "marks": re.compile(r"[!?]{2,}"),
     "starred": re.compile(r"\w[*@#$]\w"),
+    "address": re.compile(r"(?i)\b(?:you|vous|ihr) (?:are|re|all|êtes|seid)\b"),
+    "numbers": re.compile(r"\d+[.,:]\d+"),
+    "list": re.compile(r"(?m)^\s*(?:[-*]|\d+\.)\s"),
 }
 
 
@@ -56,18 +64,22 @@ def features(text: str) -> set[str]:
 
 
 def mine(rows: list[tuple[str, int]]) -> list[str]:
-    """The features that speak for label 1, at most ``FEATURES``, and all patterns."""
-    n1 = sum(y for _, y in rows)
+    """The features that speak for one label, those for label 1 first, and all patterns."""
+    return _telling(rows, 1, FEATURES) + _telling(rows, 0, FEATURES // 4) + sorted(":" + k for k in PATTERNS)
+
+
+def _telling(rows: list[tuple[str, int]], label: int, most: int) -> list[str]:
+    """The features that speak for ``label``, the most telling first."""
+    n1 = sum(y == label for _, y in rows)
     n0 = len(rows) - n1
     ones: Counter = Counter()
     for text, y in rows:
-        if y:
+        if y == label:
             ones.update(features(text))
-    least = 2 if n1 < 100 else 3
-    pool = {k for k, n in ones.items() if n >= least}
+    pool = {k for k, n in ones.items() if n >= 3}
     zeros: Counter = Counter()
     for text, y in rows:
-        if not y:
+        if y != label:
             zeros.update(pool & features(text))
     rate = lambda k: ((ones[k] + 0.1) / (n1 + 1)) / ((zeros[k] + 0.1 * n0 / max(n1, 1)) / (n0 + 1))
     # at least three times as frequent, and more than chance would make it
@@ -81,7 +93,7 @@ def mine(rows: list[tuple[str, int]]) -> list[str]:
         for x in shorter:
             if k in good and x in good:
                 good.discard(x if ones[k] >= 0.9 * ones[x] and rate(k) > rate(x) else k if rate(x) >= 0.5 * rate(k) else "")
-    return sorted(good, key=lambda k: (-ones[k] * np.log(rate(k)), k))[:FEATURES] + sorted(":" + k for k in PATTERNS)
+    return sorted(good, key=lambda k: (-ones[k] * np.log(rate(k)), k))[:most]
 
 
 def unlike(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
@@ -97,16 +109,19 @@ def unlike(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
     return out
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 8) -> np.ndarray:
-    """Posterior of label 1 per row, from 0/1 votes [row, voter].
+def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """(posterior of label 1 per row, rate of every voter in either class), from 0/1 votes [row, voter].
 
-    Starts from the given labels; then each voter's rate of voting in either
-    class and the class of each row are estimated in turn.  A voter's evidence
-    is divided by one plus its summed positive correlations with other voters
-    inside the classes, so that a word and its beginning are not counted twice.
+    The hand label is the last voter.  EM starts from it; then each voter's rate in
+    either class and the class of each row are estimated in turn.  A voter's evidence
+    is divided by one plus its summed positive correlations with other voters inside the
+    classes, so that a word and its beginning are not counted twice; the hand label's by
+    its largest one beyond chance only.
     """
+    votes = np.c_[votes, labels > 0].astype(float)
     post = np.where(labels > 0, 0.95, 0.05)
     prior = float(np.clip(labels.mean(), 0.02, 0.98))
+    rate = np.zeros((2, votes.shape[1]))
     for _ in range(rounds):
         weight = np.stack([1 - post, post])
         rate = (weight @ votes + 0.5 * np.array([[0.02], [0.1]])) / (weight.sum(axis=1, keepdims=True) + 0.5)
@@ -115,13 +130,12 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 8) -> np.nd
         together = centred.T @ centred / len(votes) / np.outer(spread, spread)
         np.fill_diagonal(together, 0)
         discount = 1 / (1 + np.clip(together, 0, 1).sum(axis=1))
-        rate = np.clip(rate, 1e-4, 1 - 1e-4)
+        discount[-1] = 1 / (1 + np.where(together[-1] > 3 / np.sqrt(len(votes)), together[-1], 0).max())
+        rate = np.clip(rate, 1e-3, 1 - 1e-3)
         yes, no = np.log(rate[1] / rate[0]) * discount, np.log((1 - rate[1]) / (1 - rate[0])) * discount
         logit = np.log(prior / (1 - prior)) + votes @ yes + (1 - votes) @ no
-        # the voters refine the labels they were mined from; they do not replace them
-        logit = np.clip(logit, -8, 8) + np.where(labels > 0, 3.0, -3.0)
-        post = 1 / (1 + np.exp(-logit))
-    return post
+        post = 1 / (1 + np.exp(-np.clip(logit, -8, 8)))
+    return post, rate
 
 
 def _fit(rows: list[tuple[str, int]]) -> dict[str, float]:
@@ -132,7 +146,7 @@ def _fit(rows: list[tuple[str, int]]) -> dict[str, float]:
         for k in features(text) & place.keys():
             votes[i, place[k]] = 1
     labels = np.array([y for _, y in rows], float)
-    target = label_model(votes, labels)
+    target, _ = label_model(votes, labels)
     x = np.hstack([votes, np.ones((len(rows), 1))])
     # both labels weigh the same, whatever the sample holds
     importance = np.where(labels > 0, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
@@ -205,25 +219,22 @@ def training_rows(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col:
         return []
     hashed = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 40))
     limit = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, SAMPLE / n) * (1 << 40)))])
-    # expected 2 * SAMPLE rows of two numbers, whatever the table holds
-    few = known.withColumn("h", hashed).where(F.col("h") <= limit[F.col("y")])
-    rows = (
-        docs.select(F.col(id_col), F.col(text_col).alias("t")).where(F.length("t") <= LONGEST).join(F.broadcast(few), id_col).select("h", "t", "y").collect()
-    )
+    # expected 2 * SAMPLE rows of two numbers; an id with very many label rows cannot make them more than 4 * SAMPLE
+    few = known.withColumn("h", hashed).where(F.col("h") <= limit[F.col("y")]).orderBy("h", "y").limit(4 * SAMPLE)
+    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(few), id_col).select("h", "t", "y").collect()
     return [(r["t"], int(r["y"])) for r in sorted(rows, key=lambda r: (r["h"], r["y"], r["t"]))]
 
 
 def score(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", more: tuple[Column, ...] = ()) -> DataFrame:
     """(id, more ..., score) for every row; only the text decides."""
     arrow_batches(docs.sparkSession)
-    slim = docs.select(id_col, *more, F.col(text_col).alias("_text"))
+    # one struct, whose fields cannot be taken for columns of this module
+    slim = docs.select(F.struct(F.col(id_col), *more).alias("own"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Scorer(weights)
         for batch in batches:
-            last = batch.num_columns - 1
-            got = [of(x) for x in batch.column(last).to_pylist()]
-            yield pa.record_batch([*batch.columns[:last], pa.array(got, pa.float64())], [*batch.schema.names[:last], "score"])
+            yield pa.record_batch([batch.column(0), pa.array([of(x) for x in batch.column(1).to_pylist()], pa.float64())], ["own", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != "_text")
-    return slim.mapInArrow(run, f"{schema}, score double")
+    scored = slim.mapInArrow(run, StructType([slim.schema["own"], StructField("score", DoubleType())]))
+    return scored.select("own.*", "score")

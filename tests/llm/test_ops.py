@@ -75,6 +75,25 @@ def test_substring_dedup_many(spark):
     assert got == removed(rows)
 
 
+def test_factors(spark):
+    """Factors are true copies of earlier words, in order, and cover exactly what goes."""
+    base = [prose(25, k) for k in range(12)]
+    r = np.random.default_rng(3)
+    rows = {i: (" ".join(base[j] for j in r.integers(0, 12, 4)) + " " + prose(7, 300 + i)).split() for i in range(40)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string")
+    for got in substring_dedup.dedup(df).collect():
+        w, at = rows[got["doc_id"]], 0
+        for f in got["factors"]:
+            other = rows[f["ref_id"]]
+            assert f["start"] >= at and f["length"] > 0 and (f["ref_id"], f["ref_start"]) < (got["doc_id"], f["start"])
+            assert w[f["start"] : f["start"] + f["length"]] == other[f["ref_start"] : f["ref_start"] + f["length"]]
+            at = f["start"] + f["length"]
+        assert sum(f["length"] for f in got["factors"]) == got["n_removed"]
+    pick = lambda *m: substring_dedup.factored(*(np.array(x, np.int64) for x in zip(*m, strict=True)))
+    assert pick((0, 30, 1, 100), (10, 60, 2, 0), (20, 50, 1, 120)) == [(0, 50, 1, 100), (50, 10, 2, 40)]
+    assert pick((0, 20, 1, 0), (0, 40, 2, 5), (50, 70, 1, 9)) == [(0, 40, 2, 5), (50, 20, 1, 9)]
+
+
 def groups(rows):
     sets = {}
     for i, t in rows.items():
@@ -265,6 +284,31 @@ def test_licenses(docs, empty, spark):
     assert [r["labels"] for r in licenses.scan(df).orderBy("doc_id").collect()] == list(cases.values())
 
 
+def naive_labels(text):
+    """Every rule over the whole text, without any gate, chunk or surroundings."""
+    line = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))) + " "
+    places = [(m.start(), m.end(), prio, label) for label, prio, _, _, rx, _ in licenses.rules() for m in re.finditer(f"(?<= )(?:{rx})(?= )", line)]
+    within = lambda p, q: q[0] <= p[0] and q[1] >= p[1] and (q[2] > p[2] or (q[2] == p[2] and q[1] - q[0] > p[1] - p[0]))
+    base = base_scan(text)[4]
+    return ",".join(sorted({p[3] for p in places if not any(within(p, q) for q in places)} | set(base.split(",") if base else [])))
+
+
+def test_license_rules_against_a_plain_engine(spark):
+    """A statement of every rule, alone between other words; and a text of many chunks."""
+    from re import _parser
+
+    r = np.random.default_rng(8)
+    cases = []
+    for *_, rx, _ in licenses.rules():
+        made = alternatives(_parser.parse(rx.split("{")[0])) if "{" in rx and "{2}" not in rx else alternatives(_parser.parse(rx.replace("[0-9]{2}", "07")))
+        cases.append("lorem ipsum " * int(r.integers(0, 60)) + made[int(r.integers(0, len(made)))] + " dolor" * int(r.integers(0, 60)))
+    cases.append(" ".join(f"{c} and" for c in cases[::3]))
+    cases.append("released only under the gpl 2 " * 400)
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(df).collect()}
+    assert [(c[-200:], got[i], naive_labels(c)) for i, c in enumerate(cases) if got[i] != naive_labels(c)] == []
+
+
 def test_chat(spark):
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (2, 0, "user", "hi"), (2, 1, "assistant", "no"), (2, 2, "user", None), (3, 0, "user", "alone"), (4, 0, None, "odd"), (None, 0, "user", "x")]
     df = spark.createDataFrame([(*x, "p") for x in turns], "conv_id long, turn long, role string, text string, p string")
@@ -286,7 +330,7 @@ def test_gif(docs, empty):
     assert gif_media.store(empty).count() == 0
 
 
-def test_gif_rules():
+def test_gif_rules(spark):
     """Hand-made: two colours, local palettes, transparency and each disposal."""
     import struct
 
@@ -300,6 +344,11 @@ def test_gif_rules():
     gif = b"GIF89a" + struct.pack("<HHBBB", 2, 1, 0x80, 0, 0) + palette + image(0, [1, 1], 1) + image(0, [0, 1], 3, clear=1) + image(1, [1], 2, local=bytes([9, 9, 9, 8, 8, 8])) + image(0, [0], 0) + b";"
     shown = [[tuple(x) for x in f.canvas[0].tolist()] for f in gif_media.decode(gif)]
     red, black = (255, 0, 0), (0, 0, 0)
+    table = spark.createDataFrame([(1, bytearray(gif)), (2, None), (3, bytearray(gif[:-20])), (4, bytearray(b"x"))], "k int, media binary")
+    rows = sorted(gif_media.frames(table, more=("k",)).collect(), key=lambda r: (r["k"], r["frame"] is None, r["frame"]))
+    assert [(r["k"], r["frame"], r["delay"], r["disposal"], r["error"] is None) for r in rows if r["k"] != 3] == [(1, 0, 7, 1, True), (1, 1, 7, 3, True), (1, 2, 7, 2, True), (1, 3, 7, 0, True), (4, None, None, None, False)]
+    assert bytes(rows[0]["samples"]) == bytes(red * 2) and rows[0]["red"] == [0] * 7 + [2] and rows[0]["green"] == [2] + [0] * 7 == rows[0]["blue"]
+    assert any(r["k"] == 3 and r["error"] for r in rows) and any(r["k"] == 3 and r["frame"] == 0 for r in rows)
     assert shown == [[red, red], [black, red], [red, (8, 8, 8)], [black, black]]
     assert [f.delay for f in gif_media.decode(gif)] == [7] * 4
     for bad in (b"", b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0, 0, 0) + b"?"):
@@ -310,21 +359,49 @@ def test_gif_rules():
         assert b"".join(f.area()[..., 0].tobytes() for f in gif_media.decode(gif_media.encode(noise))) == noise
 
 
-def test_simhash(docs, empty):
-    rows = sorted(texts().items())
-    got = {r["doc_id"]: r for r in simhash.edited_pairs(docs).collect()}
-    assert sorted(got) == [i for i, _ in rows]
+def naive_print(spark, texts_):
+    """Fingerprints by counting votes in Python; only the term hash is Spark's."""
+    terms = {}
+    for x in texts_:
+        w = re.split(r"[\x20\x09-\x0D]+", x.lower())
+        terms[x] = list(zip(w, [*w[1:], None], strict=True))[: max(1, len(w) - 1)] if len(w) > 1 else [(w[0], None)]
+        terms[x] = [(p, q if q is not None else "") for p, q in (zip(w, [*w[1:], ""], strict=True))]
+    every = sorted({p for x in terms.values() for p in x})
+    hashed = {(r["a"], r["b"]): r["h"] for r in spark.createDataFrame(every, "a string, b string").select("a", "b", F.xxhash64("a", "b").alias("h")).collect()}
+    out = {}
+    for x, pairs in terms.items():
+        votes = [sum((hashed[p] >> k) & 1 for p in pairs) for k in range(64)]
+        out[x] = f"{sum(1 << k for k in range(64) if 2 * votes[k] > len(pairs)):016x}"
+    return out
+
+
+def check_prints(spark, rows, got):
+    """rows: (id or None, text) in order; got: rows of edited_pairs."""
+    near = lambda a, b: 1 - bin(int(a, 16) ^ int(b, 16)).count("1") / 64
+    edits = [t[: len(t) - len(t) // 4] + rows[(k + 1) % len(rows)][1][: len(t) // 4] for k, (_, t) in enumerate(rows)]
+    fp = naive_print(spark, {t for _, t in rows} | set(edits))
+    every = {fp[t] for _, t in rows}
+    want = Counter()
     for k, (i, t) in enumerate(rows):
-        nxt = rows[(k + 1) % len(rows)]
-        q = len(t) // 4
-        r = got[i]
-        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256((t[: len(t) - q] + nxt[1][:q]).encode()).hexdigest()
-        near = lambda a, b: 1 - bin(int(a, 16) ^ int(b, 16)).count("1") / 64
-        assert r["near_edited"] == near(r["fingerprint"], r["edited_fingerprint"]) and r["near_next"] == near(r["fingerprint"], got[nxt[0]]["fingerprint"])
-    assert got[8]["fingerprint"] == got[9]["fingerprint"] and got[0]["fingerprint"] == got[1]["fingerprint"]
+        nxt = rows[(k + 1) % len(rows)][1]
+        close = None if i is None or i % 50 else sum(near(fp[t], o) >= 1 - 3 / 64 for o in every) - 1
+        want[i, len(t), hashlib.sha256(edits[k].encode()).hexdigest(), fp[t], fp[edits[k]], near(fp[t], fp[edits[k]]), near(fp[t], fp[nxt]), close] += 1
+    assert Counter(map(tuple, got)) == want
+
+
+def test_simhash(spark, docs, empty):
+    check_prints(spark, sorted(texts().items()), simhash.edited_pairs(docs).collect())
     assert simhash.edited_pairs(empty).count() == 0
 
 
+def test_simhash_odd_rows(spark):
+    """Null and repeated ids: each row has its own place, by the text's hash within an id, null last."""
+    docs = odd_rows(spark)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("x", F.xxhash64("text")).collect()
+    rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["x"]))
+    check_prints(spark, [(r["doc_id"], r["text"]) for r in rows], simhash.edited_pairs(docs).collect())
+
+
 def test_within_radius(spark):
     base = [int(x) for x in rng.integers(-(2**62), 2**62, 30)]
     prints = base + [b ^ sum(1 << int(k) for k in rng.choice(63, 3, replace=False)) for b in base] + [b ^ 0b11111 for b in base]
@@ -343,12 +420,19 @@ def naive_phrases(text, known):
     return count
 
 
-def test_cross_parsing():
-    p = language_id.Parser({"x": "abracadabra banana bandana", "y": "the cat sat on the mat"})
-    for t in ("banana cadabra", "the mat sat", "zzz", "a"):
-        got, _, _ = p.phrases([t])
-        shown = lambda s: "".join(chr(97 + c) for c in language_id.encoded(s, p.lut))
-        assert got[:, 0].tolist() == [naive_phrases(shown(t), shown(s)) for s in ("abracadabra banana bandana", "the cat sat on the mat")]
+def test_cross_parsing(monkeypatch):
+    """One greedy parse of the whole text, however it is cut for speed; letters of all scripts keep apart."""
+    samples = ["abracadabra banana bandana", "the cat sat on the mat", "漢字かな漢字"]
+    p = language_id.Parser(dict(zip("xyz", samples, strict=True)))
+    r = np.random.default_rng(4)
+    cases = ["banana cadabra", "the mat sat", "zzz", "a", "漢か 字字", ""] + ["".join(r.choice(list("abrcdnthes "), n)) for n in (40, 100, 333)]
+    for piece, grid in ((1024, 1 << 20), (7, 1 << 20), (3, 50)):
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        monkeypatch.setattr(language_id, "GRID", grid)
+        got, size = p.phrases(cases)
+        for k, t in enumerate(cases):
+            shown = lambda s: p.symbol[language_id.encoded(s)].tobytes()
+            assert got[:, k].tolist() == [naive_phrases(shown(t), shown(s)) for s in samples] and size[k] == len(language_id.encoded(t))
 
 
 def test_language_held_out(spark, sf):
@@ -430,6 +514,27 @@ def test_pipeline_cuts_each_row(spark):
     assert Counter(map(tuple, got.collect())) == Counter((*x, len(x[1])) for x in left)
 
 
+def test_pipeline_stages_keep_odd_columns(spark):
+    """Columns named like those the stages make come back unchanged, as do null ids; an empty table gives no rows."""
+    import corpus_pipeline
+
+    names = ("score", "row", "own", "size", "taken", "words", "cut", "kept_text", "factors", "more", "d", "t", "x", "h", "component_id", "kept", "z")
+    docs = odd_rows(spark).withColumns({n: F.lit(f"<{n}>") for n in names})
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(10)], "doc_id long, quality int, toxic int")
+    import tempfile
+
+    folder = tempfile.mkdtemp()
+    labels.write.parquet(f"{folder}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got and all(r[n] == f"<{n}>" for r in got for n in names), name
+        assert name == "mixing" or sum(r["doc_id"] is None for r in got) == 3, name
+        assert stage(spark, docs.limit(0), folder).count() == 0, name
+    assert corpus_pipeline.pack(spark, docs, folder).count() >= docs.count()
+
+
 def test_pipeline_mixes_each_row(spark):
     """Null and repeated ids are taken for what their own place on the tape gives: whole passes of all, then a prefix."""
     import corpus_pipeline
