@@ -18,8 +18,9 @@ from brontide.llm.registry import fold, tokenizer_path
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier rejects (score 0.7 and more) go."""
     weights = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1))
-    others = tuple(F.col(c) for c in docs.columns if c != "doc_id")
-    return toxicity.score(docs, weights, more=others).where("score < 0.7").select(docs.columns)
+    # one struct, whose fields cannot be taken for the score
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return toxicity.score(rows, weights, "row").where("score < 0.7").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,23 +31,23 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in windows of 20 that appear earlier go; every document stays, with what is left of it."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    kept = substring_dedup.dedup(docs, more=others)
-    return kept.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return substring_dedup.cleaned(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: whole copies, and the first words of one at the end of a source's target."""
-    # numbered in a written table: ids may be null or repeated
-    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    taken = mixing.mix(numbered, more=("_row",)).where("taken > 0").select("_row", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    full = F.floor(F.col("_taken") / F.col("_size"))
-    rest = F.col("_taken") - full * F.col("_size")
-    shares = F.array(*[F.when(full >= k, F.col("_size")) for k in range(1, mixing.MOST + 1)], F.when(rest > 0, rest))
-    copies = taken.select("_row", "_size", F.explode(F.filter(shares, lambda x: x.isNotNull())).alias("_words"))
+    # numbered in a written table: ids may be null or repeated; one struct, whose fields cannot be taken for columns of this stage
+    numbered = materialise(docs.select(F.struct(*docs.columns).alias("own"), "doc_id", "text", "source", F.monotonically_increasing_id().alias("row")), "rows")
+    taken = mixing.mix(numbered, more=("row",)).where("taken > 0").select("row", "size", "taken")
+    full = F.floor(F.col("taken") / F.col("size"))
+    rest = F.col("taken") - full * F.col("size")
+    shares = F.array(*[F.when(full >= k, F.col("size")) for k in range(1, mixing.MOST + 1)], F.when(rest > 0, rest))
+    copies = taken.select("row", "size", F.explode(F.filter(shares, lambda x: x.isNotNull())).alias("words"))
     words = F.regexp_extract_all("text", F.lit(mixing.WORD), F.lit(0))
-    cut = F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.col("_words").cast("int")), " "))
-    return numbered.join(copies, "_row").withColumn("text", cut).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    cut = F.when(F.col("words") == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.col("words").cast("int")), " "))
+    given = numbered.join(copies.hint("merge"), "row").withColumn("cut", cut)
+    new = {"text": F.col("cut"), "n_chars": F.length("cut").cast("long")}
+    return given.select([new[c].alias(c) if c in new else F.col("own")[c].alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
