@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..model import NS
 
 
-def nearest_rank(v: Column, p: float) -> Column:
-    """``sorted[round(p / 100 * (n - 1))]``; p outside (0, 100] counts as 95.  Exact."""
-    p = p if 0 < p <= 100 else 95.0
-    rank = F.round(F.lit(p / 100.0) * (F.count(v) - 1)).cast("int") + 1
-    return F.element_at(F.array_sort(F.collect_list(v)), rank)
-
-
 def first(v: Column, order: Column) -> Column:
     return F.min_by(v, order)
 
@@ -35,57 +30,70 @@ def sample_stddev(v: Column) -> Column:
 
 
 def samples(v: Column, ts: Column) -> Column:
-    """The window's samples in time order, as structs (t, v); NaN values are no samples."""
+    """The window's samples in time order, as structs (t, v); NaN values are no samples.  For what cannot be done in one pass."""
     return F.array_sort(F.collect_list(F.when(~F.isnan(v), F.struct(ts.alias("t"), v.alias("v")))))
 
 
-def _pairs(s: Column) -> Column:
-    """(previous, next) of neighbouring samples."""
-    n = F.greatest(F.size(s) - 1, F.lit(0))
-    return F.zip_with(F.slice(s, 1, n), F.slice(s, 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-
-
-def counter_delta(s: Column) -> Column:
-    """last - first plus what each reset dropped, never below 0."""
-    dropped = F.aggregate(_pairs(s), F.lit(0.0), lambda acc, x: acc + F.when(x["b"]["v"] < x["a"]["v"], x["a"]["v"]).otherwise(0.0))
-    return F.greatest(F.element_at(s, -1)["v"] - F.element_at(s, 1)["v"] + dropped, F.lit(0.0))
-
-
-def _span(s: Column) -> Column:
-    return (F.element_at(s, -1)["t"] - F.element_at(s, 1)["t"]) / F.lit(float(NS))
+@dataclass(frozen=True)
+class Steps:
+    """Aggregates over samples that know the sample before them (``operators.series.neighbours``), in plain sums, minima and maxima.
 
+    ``low``: the sample before counts only if it is later than this (the window's open start).
+    """
 
-def rate(s: Column) -> Column:
-    """Counter-aware increase per second; null with fewer than two samples."""
-    return F.when((F.size(s) >= 2) & (_span(s) > 0), counter_delta(s) / _span(s))
+    v: Column
+    ts: Column
+    before: Column
+    """The value of the sample before, null at a series' start."""
+    before_ts: Column
+    low: Column | None = None
+    tie: Column | None = None
 
+    @property
+    def _known(self) -> Column:
+        known = self.before_ts.isNotNull()
+        return known if self.low is None else known & (self.before_ts > self.low)
 
-def increase(s: Column, window: int) -> Column:
-    """The increase extrapolated to the edges: by one mean step, at most to 1.1 times the window."""
-    grown = F.least(_span(s) + _span(s) / (F.size(s) - 1), F.lit(1.1 * window / NS))
-    return F.when((F.size(s) >= 2) & (_span(s) > 0), counter_delta(s) * grown / _span(s))
+    @property
+    def _at(self) -> Column:
+        return self.ts if self.tie is None else F.struct(self.ts, self.tie)
 
+    @property
+    def _span(self) -> Column:
+        return (F.max(self.ts) - F.min(self.ts)) / F.lit(float(NS))
 
-def irate(s: Column) -> Column:
-    a, b = F.element_at(s, -2), F.element_at(s, -1)
-    step = F.when(b["v"] >= a["v"], b["v"] - a["v"]).otherwise(b["v"])
-    return F.when(F.size(s) >= 2, step / ((b["t"] - a["t"]) / F.lit(float(NS))))
+    def delta(self) -> Column:
+        return F.when(F.count(self.v) >= 2, F.max_by(self.v, self._at) - F.min_by(self.v, self._at))
 
+    def counter_delta(self) -> Column:
+        """last - first plus what each reset dropped, never below 0."""
+        dropped = F.sum(F.when(self._known & (self.v < self.before), self.before).otherwise(0.0))
+        return F.greatest(F.max_by(self.v, self._at) - F.min_by(self.v, self._at) + dropped, F.lit(0.0))
 
-def idelta(s: Column) -> Column:
-    return F.when(F.size(s) >= 2, F.element_at(s, -1)["v"] - F.element_at(s, -2)["v"])
+    def rate(self) -> Column:
+        """Counter-aware increase per second; null with fewer than two samples."""
+        return F.when((F.count(self.v) >= 2) & (self._span > 0), self.counter_delta() / self._span)
 
+    def increase(self, window: int) -> Column:
+        """The increase extrapolated to the edges: by one mean step, at most to 1.1 times the window."""
+        grown = F.least(self._span + self._span / (F.count(self.v) - 1), F.lit(1.1 * window / NS))
+        return F.when((F.count(self.v) >= 2) & (self._span > 0), self.counter_delta() * grown / self._span)
 
-def delta(s: Column) -> Column:
-    return F.when(F.size(s) >= 2, F.element_at(s, -1)["v"] - F.element_at(s, 1)["v"])
+    def _last(self, c: Column) -> Column:
+        return F.max_by(F.when(self._known, c), self._at)
 
+    def irate(self) -> Column:
+        step = F.when(self.v >= self.before, self.v - self.before).otherwise(self.v)
+        return self._last(step / ((self.ts - self.before_ts) / F.lit(float(NS))))
 
-def changes(s: Column) -> Column:
-    return F.size(F.filter(_pairs(s), lambda x: x["a"]["v"] != x["b"]["v"])).cast("double")
+    def idelta(self) -> Column:
+        return self._last(self.v - self.before)
 
+    def changes(self) -> Column:
+        return F.count_if(self._known & (self.v != self.before)).cast("double")
 
-def resets(s: Column) -> Column:
-    return F.size(F.filter(_pairs(s), lambda x: x["b"]["v"] < x["a"]["v"])).cast("double")
+    def resets(self) -> Column:
+        return F.count_if(self._known & (self.v < self.before)).cast("double")
 
 
 def slope(v: Column, ts: Column, origin: Column | int) -> Column:
@@ -114,16 +122,6 @@ def holt_winters(s: Column, sf: float, tf: float) -> Column:
     return F.when(F.size(s) >= 2, end["level"] + end["trend"])
 
 
-def ema(values: Column, alpha: float) -> Column:
-    """Exponential moving averages of an array, from its first value."""
-    out = F.aggregate(
-        F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))),
-        F.slice(values, 1, 1),
-        lambda acc, x: F.concat(acc, F.array(F.lit(alpha) * x + F.lit(1 - alpha) * F.element_at(acc, -1))),
-    )
-    return F.when(F.size(values) > 0, out).otherwise(values)
-
-
 def bucket_quantile(q: float, buckets: Column) -> Column:
     """Quantile of classic cumulative buckets, an array of structs (le, cnt) in ``le`` order with +Inf last.
 

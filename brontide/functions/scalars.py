@@ -36,10 +36,17 @@ def log_or_nan(f, v: Column) -> Column:
 MATH = {
     "abs": F.abs, "ceil": lambda v: F.ceil(v).cast("double"), "floor": lambda v: F.floor(v).cast("double"), "round": lambda v: F.round(v), "exp": F.exp,
     "sqrt": lambda v: F.when(v >= 0, F.sqrt(v)).otherwise(F.lit(float("nan"))), "sgn": F.signum, "ln": lambda v: log_or_nan(F.ln, v),
+    "deg": F.degrees, "rad": F.radians, "sin": F.sin, "cos": F.cos, "tan": F.tan, "asin": F.asin, "acos": F.acos, "atan": F.atan, "sinh": F.sinh, "cosh": F.cosh, "tanh": F.tanh,
     "log2": lambda v: log_or_nan(F.log2, v), "log10": lambda v: log_or_nan(F.log10, v),
 }
 
 
+def plain_number(v: Column) -> Column:
+    """A number as label text: the shortest form, whole numbers without a point."""
+    whole = (v == F.floor(v)) & (F.abs(v) < 1e15)
+    return F.when(F.isnan(v), "NaN").when(v == float("inf"), "+Inf").when(v == float("-inf"), "-Inf").when(whole, v.cast("decimal(20,0)").cast("string")).otherwise(v.cast("string"))
+
+
 def time_part(name: str, ts: Column) -> Column:
     """UTC parts of nanosecond times, as doubles."""
     t = F.timestamp_micros(F.floor(ts / 1000).cast("long"))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 import re
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..model import Points
+from ..operators.filters import tag_matches
 from ..plans.query import Agg, TSQuery, plan
 from . import promql, sql
 from .durations import UNITS
@@ -82,9 +85,26 @@ def correlate(text: str) -> dict:
 
 
 def to_promql(q: TSQuery) -> str:
-    """The PromQL text of a one-aggregate query."""
-    labels = ",".join(f'{x["field"]}{x["op"]}"{x["value"]}"' for x in (q.where or {}).get("and", [q.where] if q.where else []))
-    metric = f"{q.metric}{{{labels}}}" if labels else q.metric
+    """The PromQL text of a one-aggregate query; ValueError for what PromQL cannot say."""
+    if q.where and "or" in q.where:  # series of either side
+        return " or ".join(to_promql(replace(q, where=x)) for x in q.where["or"])
+    matchers, tests = [], []
+    for x in (q.where or {}).get("and", [q.where] if q.where else []):
+        if "field" not in x:
+            raise ValueError("PromQL has no nested conditions on labels")
+        name, op, value = x["field"], x["op"], x["value"]
+        if name == "value":
+            tests.append(f" {'==' if op == '=' else op} {float(value):g}")
+        elif op in ("in", "not_in"):
+            matchers.append(f'{name}{"=~" if op == "in" else "!~"}"{"|".join(re.escape(str(v)) for v in value)}"')
+        elif op in ("=", "!=", "<>", "=~", "!~"):
+            matchers.append(f'{name}{"!=" if op == "<>" else op}"{value}"')
+        else:
+            raise ValueError(f"PromQL has no {op} on labels")
+    metric = f"{q.metric}{{{','.join(matchers)}}}" if matchers else q.metric
+    if tests and q.window:
+        raise ValueError("PromQL cannot filter the samples of a range by value")
+    metric += "".join(tests)
     if not q.aggs:
         return metric
     fn = {"mean": "avg"}.get(q.aggs[0].fn, q.aggs[0].fn)
@@ -118,6 +138,26 @@ class Engine:
         for name, p in tables.items():
             p.df.createOrReplaceTempView(name)
 
+    def correlated(self, spec: dict) -> DataFrame:
+        """Rows of two signals that share trace, service or every common tag, and lie within a time if one is given; ordered by time."""
+        from ..operators.joins import correlate as joined
+        from .durations import duration
+
+        sides = []
+        for name in (spec["left"], spec["right"]):
+            p = self.tables[name]
+            for c in spec["where"]:
+                field = c["field"].split(".")
+                if len(field) == 1 or field[0] == name:
+                    p = p.where(tag_matches(p, field[-1], c["op"], c["value"]))
+            sides.append(p)
+        left, right = sides
+        shared = [k for k in ("trace_id", "service") if k in left.tags and k in right.tags][:1] or sorted(set(left.tags) & set(right.tags))
+        if not shared:
+            raise ValueError("the signals share no tag")
+        rows = [p.df.select(*[p.tag(k).alias(k) for k in sorted(p.tags)], F.col(p.ts).alias("ts"), F.col(p.value).alias("value")) for p in sides]
+        return joined(rows[0], rows[1], shared, duration(spec["within"]) if spec["within"] else None, spec["limit"])
+
     def query(self, text: str, lang: str | None = None, start: int | None = None, end: int | None = None, step: int = 60 * 10**9) -> DataFrame:
         lang = lang or detect(text)
         if lang == "promql":
@@ -127,6 +167,6 @@ class Engine:
         if lang == "spark":
             return self.spark.sql(text)
         if lang == "correlate":
-            raise ValueError("correlate() needs the signal tables; see operators.joins.correlate")
+            return self.correlated(correlate(text))
         q = clickhouse(text, self.now) if lang == "clickhouse" else builder(json.loads(text)) if lang == "builder" else sql.parse(text, self.now)
         return plan(q, self.tables, self.tie)

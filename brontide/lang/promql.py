@@ -9,8 +9,10 @@ does not need it.
 
 from __future__ import annotations
 
+import math
 import re
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 from ..functions import aggregates as A
 from ..functions import scalars as S
 from ..model import NS, Points
+from ..operators import histograms as H
+from ..operators.series import neighbours
 from .durations import duration
 
 LOOKBACK = 300 * NS
@@ -46,6 +50,11 @@ class Binary:
     left: object
     right: object
     is_bool: bool = False
+    on: list[str] | None = None
+    ignoring: list[str] | None = None
+    #: left or right: the side of which many series may match one of the other's.
+    many: str = ""
+    include: list[str] = field(default_factory=list)
 
 
 @dataclass
@@ -58,14 +67,14 @@ class Subquery:
 
 AGGREGATES = ("sum", "avg", "min", "max", "count", "stddev", "stdvar", "topk", "bottomk", "quantile", "count_values", "group")
 RANGE = (
-    "rate", "increase", "irate", "idelta", "delta", "deriv", "predict_linear", "changes", "resets", "holt_winters", "avg_over_time", "min_over_time", "max_over_time",
+    "rate", "increase", "irate", "idelta", "delta", "deriv", "predict_linear", "changes", "resets", "holt_winters", "double_exponential_smoothing", "avg_over_time", "min_over_time", "max_over_time",
     "sum_over_time", "count_over_time", "stddev_over_time", "stdvar_over_time", "quantile_over_time", "last_over_time", "present_over_time", "absent_over_time",
 )
 TIMES = ("hour", "minute", "month", "year", "day_of_month", "day_of_week", "days_in_month", "day_of_year", "timestamp")
 _TOKEN = re.compile(
     r"\s*(?:(\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*')|((?:\d+(?:ms|[smhdwy]))+(?![\w.]))|(\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+|[Ii]nf|NaN)(?![\w:])|(=~|!~|!=|==|>=|<=|[-+*/%^=<>(){}\[\],:@])|([A-Za-z_:][\w:]*))"
 )
-_LEVELS = [("or",), ("and", "unless"), ("==", "!=", ">", "<", ">=", "<="), ("+", "-"), ("*", "/", "%"), ("^",)]
+_LEVELS = [("or",), ("and", "unless"), ("==", "!=", ">", "<", ">=", "<="), ("+", "-"), ("*", "/", "%")]
 
 
 class Parser:
@@ -106,16 +115,26 @@ class Parser:
             return self.unary()
         left = self.level(k + 1)
         while self.peek() in _LEVELS[k]:
-            op = self.take()
-            is_bool = self.peek() == "bool" and bool(self.take())
-            left = Binary(op, left, self.level(k if op == "^" else k + 1), is_bool)
+            left = self.joined(self.take(), left, lambda: self.level(k + 1))
         return left
 
+    def joined(self, op: str, left, right) -> Binary:
+        """A binary operator's modifiers and its right side."""
+        out = Binary(op, left, None, self.peek() == "bool" and bool(self.take()))
+        if self.peek() in ("on", "ignoring"):
+            setattr(out, self.take(), self.names())
+        if self.peek() in ("group_left", "group_right"):
+            out.many = self.take()[6:]
+            out.include = self.names() if self.peek() == "(" else []
+        out.right = right()
+        return out
+
     def unary(self):
-        if self.peek() == "-":
-            self.take()
-            return Binary("*", -1.0, self.unary())
-        return self.suffixes(self.atom())
+        """A sign binds more loosely than ^, which groups from the right: -a ^ b is -(a ^ b)."""
+        if self.peek() in ("-", "+"):
+            return Binary("*", -1.0, self.unary()) if self.take() == "-" else self.unary()
+        left = self.suffixes(self.atom())
+        return self.joined(self.take(), left, self.unary) if self.peek() == "^" else left
 
     def atom(self):
         kind, text = self.kind(), self.peek()
@@ -146,14 +165,18 @@ class Parser:
     def grouping(self) -> tuple[list[str] | None, list[str] | None]:
         if self.peek() not in ("by", "without"):
             return None, None
-        word, names = self.take(), []
+        word, names = self.take(), self.names()
+        return (names, None) if word == "by" else (None, names)
+
+    def names(self) -> list[str]:
+        out = []
         self.take("(")
         while self.peek() != ")":
-            names.append(self.take())
+            out.append(self.take())
             if self.peek() == ",":
                 self.take()
         self.take(")")
-        return (names, None) if word == "by" else (None, names)
+        return out
 
     def arguments(self) -> list:
         self.take("(")
@@ -253,8 +276,14 @@ class Evaluator:
             return self.call(node, grid)
         raise ValueError(f"cannot evaluate {node!r}")
 
-    def windowed(self, node, width: int, grid: Grid) -> tuple[DataFrame, list[str]]:
-        """The samples of every (series, step), as rows (labels ..., t, ts, value)."""
+    def windowed(self, node, width: int, grid: Grid, linked: bool = False, panes: bool = False) -> tuple[DataFrame, list[str]]:
+        """The samples of every (series, step), as rows (labels ..., t, ts, value).
+
+        ``linked``: with the sample before in the series (``_prev``), which may lie outside the window.
+        ``panes``: sums, counts, extremes and last values of panes in place of samples; a
+        pane is as long as the greatest common divisor of range and step, so each
+        window is made of whole panes and copies no longer grow with the samples.
+        """
         if isinstance(node, Subquery):
             step = node.step or grid.step
             first = -(-(grid.start - node.offset - width + 1) // step) * step
@@ -270,9 +299,7 @@ class Evaluator:
             high = (at if at is not None else grid.end) - offset
             p = p.between(low + 1, high + 1)
             for label, op, value in node.matchers:
-                text = F.coalesce(p.tag(label), F.lit(""))
-                match = text == value if op in ("=", "!=") else F.rlike(text, F.lit(f"^(?:{value})$"))
-                p = p.where(match if op in ("=", "=~") else ~match)
+                p = p.where(matched(p.tag(label), op, value))
             labels = sorted(p.tags)
             rows = p.df.where(~F.isnan(p.value)).select(*[p.tag(k).alias(k) for k in labels], F.col(p.ts).alias("ts"), F.col(p.value).alias("value"))
         s, e, d = F.lit(grid.start), grid.end, grid.step
@@ -284,6 +311,15 @@ class Evaluator:
             # t - range < ts: the last step before ts + range
             hi = F.least(F.floor((seen + (width - 1) - s) / F.lit(d)), F.lit((e - grid.start) // d)).cast("long")
             steps = F.when(lo <= hi, F.sequence(lo, hi))
+        if linked:
+            rows = neighbours(rows, labels, "ts", ["value"])
+        if panes:
+            size = math.gcd(width, d)
+            end = s + F.ceil((F.col("ts") + F.lit(offset) - s) / F.lit(size)).cast("long") * size - offset
+            v = F.col("value")
+            rows = rows.groupBy(*labels, (end if at is None else F.lit(high)).cast("long").alias("_end")).agg(
+                F.sum(v).alias("s"), F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.max_by(v, "ts").alias("last")
+            ).withColumnRenamed("_end", "ts")
         out = rows.withColumn("_k", F.explode(steps)).withColumn("t", s + F.col("_k") * d).drop("_k")
         return out, labels
 
@@ -300,16 +336,27 @@ class Evaluator:
             buckets = F.array_sort(F.collect_list(F.struct(le.alias("le"), F.col("value").alias("cnt"))))
             return Vector(inner.df.groupBy(*labels, "t").agg(A.bucket_quantile(q, buckets).alias("value")), labels)
         if fn == "vector":
-            n = args[0]
-            spark = next(iter(self.tables.values())).df.sparkSession
-            df = spark.range((grid.end - grid.start) // grid.step + 1).select((F.lit(grid.start) + F.col("id") * grid.step).alias("t"), F.lit(float(n)).alias("value"))
-            return Vector(df, [])
+            n = self.of(args[0], grid)
+            if n.number is None:
+                return Vector(n.df.select("t", "value"), [])
+            return Vector(self.steps(grid).withColumn("value", F.lit(float(n.number))), [])
+        if fn == "time":
+            return Vector(self.steps(grid).withColumn("value", F.col("t") / F.lit(1e9)), [])
+        if fn == "pi":
+            return Vector(None, [], math.pi)
         if fn == "absent":
-            inner = self.of(args[0], grid)
-            steps = self.call(Call("vector", [1.0]), grid).df
-            return Vector(steps.join(inner.df.select("t").distinct(), "t", "left_anti"), [])
+            return self.without_steps(self.of(args[0], grid).df, args[0], grid)
+        if fn in TIMES and not args:
+            args = [Call("time", [])]
+        if fn == "histogram_fraction":
+            low, high, inner = self.number(args[0], grid), self.number(args[1], grid), self.of(args[2], grid)
+            return self.native(inner, lambda h: H.native_fraction(h, low, high))
         inner = self.of(args[0], grid)
         v = F.col("value")
+        if fn in ("histogram_count", "histogram_sum", "histogram_avg"):
+            return self.native(inner, getattr(H, fn.replace("histogram", "native")))
+        if inner.number is not None:
+            inner = self.call(Call("vector", [inner.number]), grid)
         if fn == "scalar":
             return Vector(inner.df.groupBy("t").agg(F.when(F.count(F.lit(1)) == 1, F.max("value")).otherwise(F.lit(float("nan"))).alias("value")), [])
         if fn in ("sort", "sort_desc"):
@@ -323,47 +370,83 @@ class Evaluator:
                 to, separator, *sources = args[1:]
                 new = F.concat_ws(separator, *[F.col(x) for x in sources if x in inner.labels])
             return Vector(inner.df.withColumn(to, new), sorted({*inner.labels, to}))
-        if fn in S.MATH:
+        if fn == "round" and len(args) > 1:
+            to = self.number(args[1], grid)
+            new = F.floor(v / to + 0.5) * to
+        elif fn in S.MATH:
             new = S.MATH[fn](v)
         elif fn in TIMES:
             new = S.time_part(fn, F.col("t") if fn == "timestamp" else (v * NS).cast("long"))
         elif fn == "clamp":
-            new = S.clamp(v, args[1], args[2])
+            new = S.clamp(v, self.number(args[1], grid), self.number(args[2], grid))
         elif fn == "clamp_min":
-            new = F.greatest(v, F.lit(args[1]))
+            new = F.greatest(v, F.lit(self.number(args[1], grid)))
         elif fn == "clamp_max":
-            new = F.least(v, F.lit(args[1]))
+            new = F.least(v, F.lit(self.number(args[1], grid)))
         else:
             raise ValueError(f"unknown function {fn}")
         return Vector(inner.df.withColumn("value", new), inner.labels)
 
+    def steps(self, grid: Grid) -> DataFrame:
+        spark = next(iter(self.tables.values())).df.sparkSession
+        return spark.range((grid.end - grid.start) // grid.step + 1).select((F.lit(grid.start) + F.col("id") * grid.step).alias("t"))
+
+    def number(self, node, grid: Grid) -> float:
+        got = self.of(node, grid)
+        if got.number is None:
+            raise ValueError("a number is expected")
+        return got.number
+
+    def native(self, inner: Vector, read) -> Vector:
+        """A function of native histograms, given as series with a bucket index in the label ``idx``."""
+        labels = [k for k in inner.labels if k not in ("idx", "sign")]
+        sign = F.col("sign").cast("int") if "sign" in inner.labels else F.lit(1)
+        h = F.struct(F.collect_list(F.struct(sign.alias("sign"), F.col("idx").cast("int").alias("idx"), F.col("value").alias("cnt"))).alias("buckets"))
+        return Vector(inner.df.groupBy(*labels, "t").agg(h.alias("h")).select(*labels, "t", read(F.col("h.buckets")).alias("value")), labels)
+
     def over_range(self, fn: str, args: list, grid: Grid) -> Vector:
         node = next(a for a in args if isinstance(a, (Selector, Subquery)))
         if node.range is None:
             raise ValueError(f"{fn} needs a range")
-        numbers = [a for a in args if isinstance(a, float)]
-        rows, labels = self.windowed(node, node.range, grid)
-        v, ts, t = F.col("value"), F.col("ts"), F.first("t")
-        s = A.samples(v, ts)
+        numbers = [-1.0 * a.right if isinstance(a, Binary) else a for a in args if isinstance(a, float) or (isinstance(a, Binary) and isinstance(a.right, float))]
+        width = node.range
         if fn == "absent_over_time":
-            steps = self.call(Call("vector", [1.0]), grid).df
-            return Vector(steps.join(rows.select("t").distinct(), "t", "left_anti"), [])
+            rows, _ = self.windowed(node, width, grid)
+            return self.without_steps(rows, node, grid)
+        v, ts = F.col("value"), F.col("ts")
+        whole = {
+            "sum_over_time": F.sum("s"), "count_over_time": F.sum("n").cast("double"), "avg_over_time": F.sum("s") / F.sum("n"), "min_over_time": F.min("lo"), "max_over_time": F.max("hi"),
+            "last_over_time": F.max_by("last", "ts"), "present_over_time": F.lit(1.0),
+        }
         direct = {
-            "avg_over_time": F.avg(v), "min_over_time": F.min(v), "max_over_time": F.max(v), "sum_over_time": F.sum(v), "count_over_time": F.count(v).cast("double"),
-            "stddev_over_time": F.stddev_pop(v), "stdvar_over_time": F.var_pop(v), "last_over_time": F.max_by(v, ts), "present_over_time": F.lit(1.0),
-            "quantile_over_time": F.percentile(v, F.lit(numbers[0] if numbers else 0.5)), "deriv": A.slope(v, ts, F.col("t")),
-            "predict_linear": A.predict_linear(v, ts, F.col("t"), numbers[0] if numbers else 0.0),
+            "stddev_over_time": F.stddev_pop(v), "stdvar_over_time": F.var_pop(v), "quantile_over_time": F.percentile(v, F.lit(numbers[0] if numbers else 0.5)),
+            "deriv": A.slope(v, ts, F.col("t")), "predict_linear": A.predict_linear(v, ts, F.col("t"), numbers[0] if numbers else 0.0),
         }
-        if fn in direct:
+        if fn in whole:
+            rows, labels = self.windowed(node, width, grid, panes=True)
+            value = whole[fn]
+        elif fn in direct:
+            rows, labels = self.windowed(node, width, grid)
             value = direct[fn]
+        elif fn in ("holt_winters", "double_exponential_smoothing"):
+            rows, labels = self.windowed(node, width, grid)
+            value = A.holt_winters(A.samples(v, ts), *(numbers or [0.5, 0.5]))
         else:
-            value = {
-                "rate": lambda: A.rate(s), "increase": lambda: A.increase(s, node.range), "irate": lambda: A.irate(s), "idelta": lambda: A.idelta(s), "delta": lambda: A.delta(s),
-                "changes": lambda: A.changes(s), "resets": lambda: A.resets(s), "holt_winters": lambda: A.holt_winters(s, *(numbers or [0.5, 0.5])),
-            }[fn]()
+            rows, labels = self.windowed(node, width, grid, linked=True)
+            fixed = isinstance(node, Selector) and node.at is not None
+            low = F.lit(node.at - node.offset - width) if fixed else F.col("t") - F.lit(node.offset + width)
+            s = A.Steps(v, ts, F.col("_prev.value"), F.col("_prev.ts"), low)
+            value = s.increase(width) if fn == "increase" else getattr(s, fn)()
         out = rows.groupBy(*labels, "t").agg(value.alias("value"))
         return Vector(out.where(F.col("value").isNotNull()), labels)
 
+    def without_steps(self, rows: DataFrame, node, grid: Grid) -> Vector:
+        """1 at each step that ``rows`` lack, with the labels that the selector's equalities name."""
+        steps = self.call(Call("vector", [1.0]), grid).df
+        fixed = {k: v for k, op, v in node.matchers if op == "="} if isinstance(node, Selector) else {}
+        out = steps.join(rows.select("t").distinct(), "t", "left_anti")
+        return Vector(out.withColumns({k: F.lit(v) for k, v in fixed.items()}), sorted(fixed))
+
     def aggregate(self, node: Call, grid: Grid) -> Vector:
         inner = self.of(node.args[-1], grid)
         param = node.args[0] if len(node.args) > 1 else None
@@ -374,7 +457,7 @@ class Evaluator:
             rank = F.row_number().over(Window.partitionBy(*keys, "t").orderBy(order, *inner.labels))
             return Vector(inner.df.withColumn("_r", rank).where(F.col("_r") <= int(param)).drop("_r"), inner.labels)
         if node.fn == "count_values":
-            named = inner.df.withColumn(param, F.col("value").cast("string"))
+            named = inner.df.withColumn(param, S.plain_number(v))
             return Vector(named.groupBy(*keys, param, "t").agg(F.count(F.lit(1)).cast("double").alias("value")), sorted([*keys, param]))
         value = {
             "sum": F.sum(v), "avg": F.avg(v), "min": F.min(v), "max": F.max(v), "count": F.count(v).cast("double"), "stddev": F.stddev_pop(v), "stdvar": F.var_pop(v),
@@ -385,32 +468,55 @@ class Evaluator:
     def binary(self, node: Binary, grid: Grid) -> Vector:
         left, right, op = self.of(node.left, grid), self.of(node.right, grid), node.op
         if op in ("and", "or", "unless"):
-            keys = sorted({*left.labels} & {*right.labels}) + ["t"]
-            match = lambda a, b: [a[k].eqNullSafe(b[k]) for k in keys]
-            r = right.df.select(*keys).distinct()
-            if op == "and":
-                return Vector(left.df.join(r, match(left.df, r), "left_semi"), left.labels)
-            if op == "unless":
-                return Vector(left.df.join(r, match(left.df, r), "left_anti"), left.labels)
-            known = left.df.select(*keys).distinct()
-            return Vector(left.df.unionByName(right.df.join(known, match(right.df, known), "left_anti"), allowMissingColumns=True), sorted({*left.labels, *right.labels}))
+            keys = self.matching(node, left, right)
+            name = lambda k: f"_m_{k}"
+            marked = lambda x: x.df.withColumns({name(k): self.label(x, k) for k in keys} | {name("t"): F.col("t")})
+            on = [name(k) for k in (*keys, "t")]
+            l, r = marked(left), marked(right)
+            if op in ("and", "unless"):
+                return Vector(l.join(r.select(*on).distinct(), on, "left_semi" if op == "and" else "left_anti").drop(*on), left.labels)
+            new = r.join(l.select(*on).distinct(), on, "left_anti").drop(*on)
+            return Vector(left.df.unionByName(new, allowMissingColumns=True), sorted({*left.labels, *right.labels}))
         if left.number is not None and right.number is not None:
             a, b = left.number, right.number
-            return Vector(None, [], {"+": a + b, "-": a - b, "*": a * b, "/": a / b if b else float("nan"), "%": a % b if b else float("nan"), "^": a**b}[op])
+            return Vector(None, [], _numbers(op, a, b))
         if left.number is not None or right.number is not None:
             base = right if left.number is not None else left
             a = F.lit(left.number) if left.number is not None else F.col("value")
             b = F.lit(right.number) if right.number is not None else F.col("value")
             return self.applied(op, base.df, a, b, base.labels, node.is_bool)
-        if sorted(left.labels) != sorted(right.labels):
-            common = sorted({*left.labels} & {*right.labels})
+        keys = self.matching(node, left, right)
+        many, one = (right, left) if node.many == "right" else (left, right)
+        extra = [k for k in node.include if k in one.labels]
+        # one series a label set and step; a second one is an error where it meets a partner
+        single = one.df.groupBy(*[self.label(one, k).alias(f"_m_{k}") for k in keys], F.col("t").alias("_t")).agg(
+            F.max("value").alias("_b"), F.count(F.lit(1)).alias("_n"), *[F.max(k).alias(f"_x_{k}") for k in extra]
+        )
+        on = [self.label(many, k) == F.col(f"_m_{k}") for k in keys] + [F.col("t") == F.col("_t")]
+        joined = many.df.join(single, on)
+        twice = "several series of one side match, and no group_left or group_right says which side is many"
+        joined = joined.withColumn("_b", F.when(F.col("_n") > 1, F.raise_error(F.lit(twice)).cast("double")).otherwise(F.col("_b")))
+        if node.many:
+            labels = sorted({*many.labels, *extra})
+            joined = joined.select(*[F.col(f"_x_{k}").alias(k) if k in extra else F.col(k) for k in labels], "t", F.col("value").alias("_a"), "_b")
         else:
-            common = left.labels
-        l = left.df.select(*[F.col(k).alias(f"_l_{k}") for k in common], F.col("t").alias("_t"), F.col("value").alias("_a"))
-        r = right.df.select(*common, "t", F.col("value").alias("_b"))
-        on = [F.col(f"_l_{k}").eqNullSafe(F.col(k)) for k in common] + [F.col("_t") == F.col("t")]
-        joined = r.join(l, on).select(*common, "t", "_a", "_b")
-        return self.applied(op, joined, F.col("_a"), F.col("_b"), common, node.is_bool)
+            labels = sorted(k for k in keys if k in many.labels)
+            joined = joined.groupBy(*labels, "t").agg(F.max("value").alias("_a"), F.max("_b").alias("_b"), F.count(F.lit(1)).alias("_n"))
+            joined = joined.withColumn("_a", F.when(F.col("_n") > 1, F.raise_error(F.lit(twice)).cast("double")).otherwise(F.col("_a")))
+        a, b = (F.col("_b"), F.col("_a")) if node.many == "right" else (F.col("_a"), F.col("_b"))
+        return self.applied(op, joined, a, b, labels, node.is_bool)
+
+    @staticmethod
+    def matching(node: Binary, left: Vector, right: Vector) -> list[str]:
+        """The labels that both sides must share: all of them, those of ``on``, or all but those of ``ignoring``."""
+        if node.on is not None:
+            return sorted(node.on)
+        return sorted({*left.labels, *right.labels} - set(node.ignoring or ()))
+
+    @staticmethod
+    def label(side: Vector, k: str) -> Column:
+        """A label's text; one that is missing is empty."""
+        return F.coalesce(F.col(k).cast("string"), F.lit("")) if k in side.labels else F.lit("")
 
     @staticmethod
     def applied(op: str, df: DataFrame, a: Column, b: Column, labels: list[str], is_bool: bool) -> Vector:
@@ -423,9 +529,60 @@ class Evaluator:
         return Vector(df.where(test).select(*keep, (F.col("value") if "value" in df.columns else a).alias("value")), labels)
 
 
-def label_names(p: Points) -> list[str]:
-    return sorted(p.tags)
+def _numbers(op: str, a: float, b: float) -> float:
+    if op in ("==", "!=", ">", "<", ">=", "<="):
+        return float({"==": a == b, "!=": a != b, ">": a > b, "<": a < b, ">=": a >= b, "<=": a <= b}[op])
+    return {"+": a + b, "-": a - b, "*": a * b, "/": a / b if b else math.nan, "%": math.fmod(a, b) if b else math.nan, "^": a**b}[op]
+
+
+def label_names(tables: dict[str, Points]) -> list[str]:
+    """All labels of all metrics, the metric's name among them."""
+    return sorted({"__name__", *(k for p in tables.values() for k in p.tags)})
+
+
+def label_values(tables: dict[str, Points], label: str) -> DataFrame:
+    """(value): the distinct values of a label, as one column; metrics' names need no scan."""
+    found = [p.df.select(p.tag(label).alias("value")) for p in tables.values() if label in p.tags]
+    if label == "__name__":
+        spark = next(iter(tables.values())).df.sparkSession
+        return spark.createDataFrame([(k,) for k in sorted(tables)], "value string")
+    if not found:
+        raise ValueError(f"no metric has the label {label}")
+    return reduce(lambda a, b: a.unionByName(b), found).where("value is not null").distinct()
+
+
+def series(tables: dict[str, Points], selector: str, start: int | None = None, end: int | None = None) -> DataFrame:
+    """The distinct label sets that a selector matches, with ``__name__``."""
+    node = parse(selector)
+    p = tables[node.metric].between(start, end)
+    for label, op, value in node.matchers:
+        match = matched(p.tag(label), op, value)
+        p = p.where(match)
+    return p.df.select(F.lit(node.metric).alias("__name__"), *[p.tag(k).alias(k) for k in sorted(p.tags)]).distinct()
+
+
+def matched(tag: Column, op: str, value: str) -> Column:
+    """A label matcher; regexes match the whole value, a missing label is empty."""
+    text = F.coalesce(tag, F.lit(""))
+    match = text == value if op in ("=", "!=") else F.rlike(text, F.lit(f"^(?:{value})$"))
+    return match if op in ("=", "=~") else ~match
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A recording rule: the expression's result becomes points of the metric ``record``, with ``labels`` added."""
+
+    record: str
+    expr: str
+    labels: dict[str, str] = field(default_factory=dict)
 
 
-def with_offset(node: Selector, by: int) -> Selector:
-    return replace(node, offset=by)
+def recorded(tables: dict[str, Points], rules: list[Rule], at: int) -> dict[str, Points]:
+    """The rules evaluated at one time, in order, each over what the ones before recorded; (metric, labels ..., ts, value)."""
+    known, out = dict(tables), {}
+    for rule in rules:
+        df = Evaluator(known).instant_query(rule.expr, at)
+        df = df.withColumns({k: F.lit(v) for k, v in rule.labels.items()}).withColumn("metric", F.lit(rule.record)).withColumnRenamed("t", "ts")
+        made = Points(df, {k: k for k in df.columns if k not in ("metric", "ts", "value")})
+        known[rule.record] = out[rule.record] = made
+    return out

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 
 def neighbours(edges: DataFrame, start: DataFrame, direction: str = "out") -> DataFrame:
     """Distinct (node, neighbour) of the nodes in ``start``."""
@@ -17,14 +19,17 @@ def neighbours(edges: DataFrame, start: DataFrame, direction: str = "out") -> Da
 def reach(edges: DataFrame, start: list, depth: int, kind: str | None = None) -> DataFrame:
     """(node, hops): nodes within ``depth`` out-edges, each at its fewest hops.
 
-    A join and an anti-join per level; nothing but the level's count reaches the driver.
+    A join and an anti-join per level; each level is written once, so that no level is
+    computed again for the next, and nothing but whether it is empty reaches the driver.
     """
     spark = edges.sparkSession
     links = (edges.where(F.col("type") == kind) if kind else edges).select("src", "dst")
     seen = frontier = spark.createDataFrame([(x, 0) for x in start], "node long, hops int")
     for level in range(1, depth + 1):
         step = links.join(frontier, links["src"] == frontier["node"]).select(F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen, "node", "left_anti").withColumn("hops", F.lit(level))
+        frontier = written(step.join(seen, "node", "left_anti").withColumn("hops", F.lit(level)), "level")
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 

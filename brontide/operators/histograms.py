@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .series import placed
+
 
 def exponential_index(v: Column, schema: int) -> Column:
     """Bucket i holds base**(i - 1) < |v| <= base**i, base = 2 ** (2 ** -schema)."""
@@ -45,6 +47,59 @@ def fraction(histogram: DataFrame, keys: Sequence[str], low: float, high: float,
     return histogram.groupBy(*keys).agg((F.sum(F.when(inside, F.col("cnt")).otherwise(0)) / F.sum("cnt")).alias("fraction"))
 
 
+def native_count(buckets: Column) -> Column:
+    """Observations of a native histogram, an array of structs (sign, idx, cnt)."""
+    return F.aggregate(buckets, F.lit(0.0), lambda acc, b: acc + b["cnt"])
+
+
+def _middle(b: Column, schema: int) -> Column:
+    base = F.lit(2 ** (2.0**-schema))
+    return F.when(b["sign"] == 0, 0.0).otherwise(b["sign"] * (F.pow(base, b["idx"]) + F.pow(base, b["idx"] - 1)) / 2)
+
+
+def native_sum(buckets: Column, schema: int = 3) -> Column:
+    """The sum of a native histogram's observations, each taken at the middle of its bucket."""
+    return F.aggregate(buckets, F.lit(0.0), lambda acc, b: acc + b["cnt"] * _middle(b, schema))
+
+
+def native_avg(buckets: Column, schema: int = 3) -> Column:
+    n = native_count(buckets)
+    return F.when(n > 0, native_sum(buckets, schema) / n).otherwise(F.lit(float("nan")))
+
+
+def native_fraction(buckets: Column, low: float, high: float, schema: int = 3) -> Column:
+    """Share of the observations in positive buckets that lie whole within [low, high]."""
+    base, n = F.lit(2 ** (2.0**-schema)), native_count(buckets)
+    inside = lambda b: (b["sign"] == 1) & (F.pow(base, b["idx"] - 1) >= low) & (F.pow(base, b["idx"]) <= high)
+    hit = F.aggregate(buckets, F.lit(0.0), lambda acc, b: acc + F.when(inside(b), b["cnt"]).otherwise(0.0))
+    return F.when(n > 0, hit / n).otherwise(F.lit(float("nan")))
+
+
+def classic_to_native(classic_rows: DataFrame, keys: Sequence[str], schema: int = 3) -> DataFrame:
+    """(keys, sign, idx, cnt) from cumulative classic buckets (keys, le, cnt): each bucket's own count at its upper bound's index; +Inf is left out."""
+    up = Window.partitionBy(*keys).orderBy("le")
+    own = classic_rows.withColumn("_n", F.col("cnt") - F.coalesce(F.lag("cnt").over(up), F.lit(0)))
+    kept = own.where((F.col("_n") > 0) & (F.col("le") > 0) & (F.col("le") < float("inf")))
+    return kept.groupBy(*keys, F.lit(1).alias("sign"), exponential_index(F.col("le"), schema).alias("idx")).agg(F.sum("_n").alias("cnt"))
+
+
+def range_count(depth: DataFrame, low: float, high: float) -> DataFrame:
+    """(estimate): rows with a value in [low, high], from equi-depth buckets; a bucket counts by the share of its span."""
+    span = F.col("hi") - F.col("lo")
+    part = F.greatest(F.least(F.col("hi"), F.lit(high)) - F.greatest(F.col("lo"), F.lit(low)), F.lit(0.0))
+    share = F.when((F.col("hi") < low) | (F.col("lo") > high), 0.0).when(span > 0, part / span).otherwise(1.0)
+    return depth.agg(F.sum(F.col("cnt") * share).alias("estimate"))
+
+
+def merged_depth(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+    """(bucket, lo, hi, cnt) of two equi-depth histograms together: at most 2k buckets, grouped by their upper bounds into about equal counts."""
+    both = a.select("lo", "hi", "cnt").unionByName(b.select("lo", "hi", "cnt"))
+    up = Window.orderBy("hi", "lo").rowsBetween(Window.unboundedPreceding, -1)
+    before, total = F.coalesce(F.sum("cnt").over(up), F.lit(0)), F.sum("cnt").over(Window.partitionBy())
+    at = both.withColumn("bucket", F.least(F.floor(before * k / total), F.lit(k - 1)))
+    return at.groupBy("bucket").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("cnt").alias("cnt"))
+
+
 def bounds(idx: int, schema: int) -> tuple[float, float]:
     base = 2 ** (2.0**-schema)
     return base ** (idx - 1), base**idx
@@ -72,16 +127,14 @@ def classic(df: DataFrame, keys: Sequence[str], edges: Sequence[float], value: s
 def equi_depth(df: DataFrame, k: int, value: str = "value", tie: str | None = None) -> DataFrame:
     """(bucket, lo, hi, cnt, distinct_values): n div k rows a bucket, the last takes the rest.
 
-    Ranks come from counts of distinct values, so the one ordered window sees one
-    row per value, not per row.
+    Ranks come from counts of distinct values, placed range by range.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    total = Window.partitionBy()
-    up = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.withColumn("hi", F.sum("c").over(up)).withColumn("n", F.sum("c").over(total)).withColumn("lo", F.col("hi") - F.col("c"))
+    at_ = placed(counts.withColumn("_one", F.lit(0)), ["_one"], "v", "c")
+    at_ = at_.select("v", "c", F.col("_before").alias("lo"), (F.col("_before") + F.col("c")).alias("hi"), F.col("_all").alias("n"))
     depth = F.greatest(F.floor(F.col("n") / k), F.lit(1))
     at = lambda r: F.least(F.floor(r / depth), F.lit(k - 1))
-    parts = placed.withColumn("depth", depth).withColumn("bucket", F.explode(F.sequence(at(F.col("lo")), at(F.col("hi") - 1))))
+    parts = at_.withColumn("depth", depth).withColumn("bucket", F.explode(F.sequence(at(F.col("lo")), at(F.col("hi") - 1))))
     begin = F.col("bucket") * F.col("depth")
     end = F.when(F.col("bucket") == k - 1, F.col("n")).otherwise(begin + F.col("depth"))
     share = F.least(F.col("hi"), end) - F.greatest(F.col("lo"), begin)

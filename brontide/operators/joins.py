@@ -95,10 +95,12 @@ def training_set(spine: DataFrame, features: dict[str, DataFrame], entity: str =
     return out.where(F.coalesce(*[F.col(n) for n in features]).isNotNull())
 
 
-def correlate(metrics: DataFrame, traces: DataFrame, by: str, width: int | None = None, limit: int = 100) -> DataFrame:
-    """Metrics and traces that share ``by``, and lie within ``width`` if given."""
+def correlate(metrics: DataFrame, traces: DataFrame, by: list[str], width: int | None = None, limit: int = 100, ts: str = "ts") -> DataFrame:
+    """Rows of both signals that share ``by``, and lie within ``width`` if given; l_ and r_ columns, the first ``limit`` by time and all other columns."""
     if width is None:
-        out = metrics.alias("m").join(traces.alias("t"), by)
+        l = metrics.select([F.col(c).alias(f"l_{c}") for c in metrics.columns])
+        r = traces.select([F.col(c).alias(f"r_{c}") for c in traces.columns])
+        out = l.join(r, [F.col(f"l_{k}") == F.col(f"r_{k}") for k in by])
     else:
-        out = within(metrics, traces, [by], width)
-    return out.limit(limit) if limit else out
+        out = within(metrics, traces, by, width)
+    return out.orderBy(f"l_{ts}", f"r_{ts}", *out.columns).limit(limit) if limit else out

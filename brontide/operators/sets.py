@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .series import neighbours
+
 
 def either(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left rows and the right rows whose key is new."""
@@ -29,9 +31,8 @@ def distinct_points(df: DataFrame, keys: Sequence[str], tie: Sequence[str]) -> D
 
 def repeated_values(df: DataFrame, keys: Sequence[str], window: int, value: str = "value", ts: str = "ts") -> DataFrame:
     """Without rows that repeat the previous value of their series within ``window``."""
-    order = Window.partitionBy(*keys).orderBy(ts)
-    again = (F.lag(value).over(order) == F.col(value)) & (F.col(ts) - F.lag(ts).over(order) <= window)
-    return df.withColumn("_again", F.coalesce(again, F.lit(False))).where("not _again").drop("_again")
+    again = (F.col(f"_prev.{value}") == F.col(value)) & (F.col(ts) - F.col(f"_prev.{ts}") <= window)
+    return neighbours(df, keys, ts, take=(value,)).where(~F.coalesce(again, F.lit(False))).drop("_prev")
 
 
 def diff(old: DataFrame, new: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import bucket
+from .series import neighbours, running
 
 
 def tumbling(ts: Column, size: int) -> Column:
@@ -34,8 +35,8 @@ def gap_fill(df: DataFrame, keys: Sequence[str], width: int, value: str = "value
     linear, previous, zero or null; gaps longer than ``max_gap`` stay null.  The rows
     that are missing are made from each row and its successor, so no grid is joined.
     """
-    order = Window.partitionBy(*keys).orderBy(ts)
-    known = df.select(*keys, F.col(ts).alias("_t"), F.col(value).alias("_v"), F.lead(ts).over(order).alias("_n"), F.lead(value).over(order).alias("_w"))
+    linked = neighbours(df, keys, ts, take=(value,), back=None, ahead="_next")
+    known = linked.select(*keys, F.col(ts).alias("_t"), F.col(value).alias("_v"), F.col(f"_next.{ts}").alias("_n"), F.col(f"_next.{value}").alias("_w"))
     last = F.when(F.col("_n").isNull(), F.col("_t")).otherwise(F.col("_n") - width)
     rows = known.withColumn(ts, F.explode(F.sequence("_t", F.greatest(last, F.col("_t")), F.lit(width))))
     gap = F.col("_n") - F.col("_t")
@@ -53,15 +54,16 @@ def gap_fill(df: DataFrame, keys: Sequence[str], width: int, value: str = "value
 
 def sessions(df: DataFrame, keys: Sequence[str], gap: int, ts: str = "ts") -> DataFrame:
     """Adds ``session`` (numbered from 0 per key): a new one where more than ``gap`` passes."""
-    order = Window.partitionBy(*keys).orderBy(ts)
-    new = F.when(F.col(ts) - F.lag(ts).over(order) > gap, 1).otherwise(0)
-    return df.withColumn("_new", new).withColumn("session", F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))).drop("_new")
+    linked = neighbours(df, keys, ts, take=(), back="_prev")
+    new = F.when(F.col(ts) - F.col(f"_prev.{ts}") > gap, 1).otherwise(0)
+    # of rows of one time the one after the gap comes first
+    marked = linked.withColumn("_new", new).withColumn("_late", -F.col("_new"))
+    return running(marked, keys, F.col("_new"), "session", ts, ["_late"]).drop("_new", "_late", "_prev")
 
 
 def count_windows(df: DataFrame, keys: Sequence[str], size: int, order: Sequence[str]) -> DataFrame:
     """Adds ``window_no``: every ``size`` rows of a key are one window."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    return df.withColumn("window_no", F.floor(n / size))
+    return running(df, keys, F.lit(1), "_n", order[0], order[1:]).withColumn("window_no", F.floor((F.col("_n") - 1) / size)).drop("_n")
 
 
 def moving(function: Column, keys: Sequence[str], order: Sequence[str], rows: int) -> Column:

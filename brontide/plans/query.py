@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from ..model import Points, bucket
 from ..operators import windows
 from ..operators.filters import predicate
 from ..operators.joins import asof
+from ..operators.series import nearest_rank, neighbours
 
 
 @dataclass
@@ -53,11 +56,9 @@ def aggregate(agg: Agg, v: Column, ts: Column, order: Column) -> Column:
         return F.count(v).cast("double")
     if fn == "rate":
         return A.plain_rate(v, ts, order)
-    if fn == "percentile":
-        return A.nearest_rank(v, agg.param if agg.param is not None else 95.0)
     if fn in ("delta", "increase"):
-        s = A.samples(v, ts)
-        return A.delta(s) if fn == "delta" else F.when(F.size(s) >= 2, A.counter_delta(s))
+        s = A.Steps(v, ts, F.col("_prev._v"), F.col("_prev._t"))
+        return s.delta() if fn == "delta" else F.when(F.count(v) >= 2, s.counter_delta())
     simple = {
         "sum": F.sum, "mean": F.avg, "avg": F.avg, "min": F.min, "max": F.max, "stddev": A.sample_stddev, "median": F.median, "count_distinct": F.count_distinct,
         "first": lambda x: A.first(x, order), "last": lambda x: A.last(x, order),
@@ -67,6 +68,30 @@ def aggregate(agg: Agg, v: Column, ts: Column, order: Column) -> Column:
     return simple[fn](v)
 
 
+def grouped(df: DataFrame, keys: list[Column], aggs: list[Agg], value, ts: Column, order: Column, tie: str | None) -> DataFrame:
+    """One aggregate over the groups; exact percentiles, which need ranks, are joined to it."""
+    names = df.select(*keys).columns
+    ranked = [a for a in aggs if a.fn == "percentile"]
+    plain = [a for a in aggs if a.fn != "percentile"]
+    out = None
+    if plain or not ranked:
+        rows = df
+        if any(a.fn in ("delta", "increase") for a in plain):
+            rows = df.where(~F.isnan(value(plain[0]))).withColumns({n: k for n, k in zip(names, keys, strict=True)}).withColumns({"_t": ts, "_v": value(plain[0])})
+            rows, keys = neighbours(rows, names, "_t", [tie] if tie else [], ["_v"]), [F.col(n) for n in names]
+        out = rows.groupBy(*keys).agg(*[aggregate(a, value(a), ts, order).alias(a.alias) for a in plain])
+    for a in ranked:
+        own = nearest_rank(df.select(*keys, value(a).alias("_value")), names, "_value", a.param if a.param is not None else 95.0, a.alias)
+        if out is None:
+            out = own
+        elif names:
+            on = reduce(and_, [F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}")) for n in names])
+            out = out.alias("a").join(own.alias("b"), on, "left").select("a.*", f"b.{a.alias}")
+        else:
+            out = out.withColumn("_one", F.lit(1)).join(own.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
+    return out.select(*names, *[a.alias for a in aggs])
+
+
 def time_range(q: TSQuery, p: Points) -> Points:
     return p.between(q.start, q.end)
 
@@ -105,7 +130,7 @@ def plan(q: TSQuery, tables: dict[str, Points], tie: str | None = None) -> DataF
         keys = [start.alias("bucket"), *keys]
     order = F.struct(ts, *([F.col(tie)] if tie else []))
     value = lambda a: F.lit(1) if a.arg == "*" else v if a.arg == "value" else p.tag(a.arg)
-    out = df.groupBy(*keys).agg(*[aggregate(a, value(a), ts, order).alias(a.alias) for a in q.aggs])
+    out = grouped(df, keys, q.aggs, value, ts, order, tie)
     if q.fill and q.window:
         filled = [windows.gap_fill(out, q.group_by, q.window, a.alias, "bucket", q.fill, q.max_gap).drop("filled") for a in q.aggs]
         out = filled[0]

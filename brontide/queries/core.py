@@ -9,7 +9,7 @@ from ..functions import scalars as X
 from ..lang import sql as L
 from ..lang.others import builder, clickhouse
 from ..model import bucket, events, read, sales
-from ..operators import filters, histograms, relabel, sets
+from ..operators import filters, histograms, relabel, series, sets
 from ..plans.query import plan
 from .base import D, H, MIN, S, T0, query, rounded
 
@@ -220,20 +220,29 @@ def a21_count_values(spark, d):
     return events(spark, d).df.groupBy(F.floor(F.col("value") / 100).cast("double").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def linked(spark, d, tie="event_id"):
+    """The events of each user with the one before."""
+    return series.neighbours(events(spark, d).df.where(~F.isnan("value")), ["user_id"], "ts", [tie])
+
+
+def _steps(tie):
+    return A.Steps(F.col("value"), F.col("ts"), F.col("_prev.value"), F.col("_prev.ts"), tie=F.col(tie))
+
+
 @query("""WITH c AS (SELECT user_id, value, ts, event_id, lag(value) OVER w AS b FROM p WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 g AS (SELECT user_id, count(*) AS n, arg_max(value, (ts, event_id)) - arg_min(value, (ts, event_id)) + sum(CASE WHEN value < b THEN b ELSE 0 END) AS delta, (max(ts) - min(ts)) / 1e9 AS span FROM c GROUP BY 1)
 SELECT user_id, round(greatest(delta, 0) / span, 9) AS rate, round(greatest(delta, 0) * least(span + span / (n - 1), 1.1 * 2592000) / span, 4) AS increase FROM g WHERE n >= 2 AND span > 0""")
 def a24_counter_rate(spark, d):
-    s = A.samples(F.col("value"), F.col("ts"))
-    out = events(spark, d).df.groupBy("user_id").agg(F.round(A.rate(s), 9).alias("rate"), F.round(A.increase(s, 30 * D), 4).alias("increase"))
+    s = _steps("event_id")
+    out = linked(spark, d).groupBy("user_id").agg(F.round(s.rate(), 9).alias("rate"), F.round(s.increase(30 * D), 4).alias("increase"))
     return out.where("rate is not null")
 
 
 @query("""WITH c AS (SELECT user_id, ts, value, lead(value) OVER w AS b, lead(ts) OVER w AS bt, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, value DESC) AS k FROM p WINDOW w AS (PARTITION BY user_id ORDER BY ts, value))
 SELECT user_id, round((CASE WHEN b >= value THEN b - value ELSE b END) / ((bt - ts) / 1e9), 9) AS irate, round(b - value, 6) AS idelta FROM c WHERE k = 2""")
 def a25_irate_idelta(spark, d):
-    s = A.samples(F.col("value"), F.col("ts"))
-    return events(spark, d).df.groupBy("user_id").agg(F.round(A.irate(s), 9).alias("irate"), F.round(A.idelta(s), 6).alias("idelta")).where("irate is not null")
+    s = _steps("value")
+    return linked(spark, d, "value").groupBy("user_id").agg(F.round(s.irate(), 9).alias("irate"), F.round(s.idelta(), 6).alias("idelta")).where("irate is not null")
 
 
 @query("SELECT user_id, round(regr_slope(value, (ts - 1704067200000000000) / 1e9), 9) AS slope, round(regr_intercept(value, (ts - 1704067200000000000) / 1e9) + regr_slope(value, (ts - 1704067200000000000) / 1e9) * 3600.0, 6) AS soon FROM p GROUP BY 1 HAVING count(*) > 1")
@@ -245,8 +254,8 @@ def a27_deriv_predict(spark, d):
 @query("""WITH c AS (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, value) AS b FROM p)
 SELECT user_id, count(*) FILTER (WHERE value <> b)::DOUBLE AS changes, count(*) FILTER (WHERE value < b)::DOUBLE AS resets FROM c GROUP BY 1""")
 def a29_changes_resets(spark, d):
-    s = A.samples(F.col("value"), F.col("ts"))
-    return events(spark, d).df.groupBy("user_id").agg(A.changes(s).alias("changes"), A.resets(s).alias("resets"))
+    s = _steps("value")
+    return linked(spark, d, "value").groupBy("user_id").agg(s.changes().alias("changes"), s.resets().alias("resets"))
 
 
 @query()
@@ -461,16 +470,8 @@ def d2_udf_map_filter(spark, d):
     return events(spark, d).df.where(FILTERS["gte"](v, 2)).select("event_id", MAPS["clamp"](MAPS["multiply"](v, 2), 10.0, 50.0).alias("v"), FILTERS["gt"](v, 5).alias("fired"))
 
 
-@query("SELECT o_orderpriority, round(exp(sum(ln(1 + o_custkey % 2))), 0) AS prod FROM orders WHERE o_orderkey <= 40 GROUP BY 1")
-def d3_udf_reduce(spark, d):
-    from ..udf import REDUCES
-
-    rows = read(spark, d, "orders").where("o_orderkey <= 40")
-    return rows.groupBy("o_orderpriority").agg(F.round(REDUCES["product"](1 + F.col("o_custkey") % 2), 0).alias("prod"))
-
-
 @query("SELECT o_orderpriority, round(exp(sum(ln(1 + 1e-9 * o_totalprice))), 6) AS prod FROM orders GROUP BY 1")
-def d3_udf_reduce_all(spark, d):
+def d3_udf_reduce(spark, d):
     from ..udf import REDUCES
 
     return read(spark, d, "orders").groupBy("o_orderpriority").agg(F.round(REDUCES["product"](1 + 1e-9 * F.col("o_totalprice")), 6).alias("prod"))

@@ -6,10 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..analytics import forecast as N
-from ..functions import aggregates as A
 from ..lang import promql
 from ..model import bucket, events, read
-from ..operators import graph, joins, sets, windows
+from ..operators import graph, joins, series, sets, windows
 from ..plans import views
 from ..plans.query import Agg, TSQuery
 from ..streaming import engine as T
@@ -34,23 +33,11 @@ def w3_w4_lag_lead_nth(spark, d):
     return events(spark, d).df.select("event_id", F.lag("value").over(_order()).alias("before"), F.lead("value").over(_order()).alias("after"), F.first("value").over(_order()).alias("first"), F.nth_value("value", 2).over(whole).alias("second"))
 
 
-@query("""WITH b AS (SELECT (ts // 3600000000000) * 3600000000000 AS bucket, avg(value) AS value FROM p WHERE user_id = 7 GROUP BY 1), g AS (SELECT unnest(range(min(bucket), max(bucket) + 1, 3600000000000)) AS bucket FROM b),
-k AS (SELECT g.bucket, b.value, last_value(b.bucket IGNORE NULLS) OVER w AS pt FROM g LEFT JOIN b USING (bucket) WINDOW w AS (ORDER BY g.bucket)),
-n AS (SELECT k.*, first_value(CASE WHEN value IS NOT NULL THEN bucket END IGNORE NULLS) OVER (ORDER BY bucket ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nt FROM k)
-SELECT n.bucket, round(coalesce(n.value, x.value + (y.value - x.value) * ((n.bucket - x.bucket)::DOUBLE / (y.bucket - x.bucket))), 6) AS value
-FROM n LEFT JOIN b x ON x.bucket = n.pt LEFT JOIN b y ON y.bucket = n.nt""".replace("last_value(b.bucket IGNORE NULLS)", "last_value(b.bucket IGNORE NULLS)"))
-def w6_interpolate(spark, d):
-    p = events(spark, d)
-    b = p.where(F.col("user_id") == 7).df.groupBy(bucket(F.col("ts"), H).alias("bucket")).agg(F.avg("value").alias("value"))
-    grid = windows.gap_fill(b.withColumn("u", F.lit(7)), ["u"], H, method="null")
-    return grid.select("bucket", F.round(windows.interpolated("value", ["u"], "bucket"), 6).alias("value"))
-
-
 @query("""WITH b AS (SELECT user_id, (ts // 3600000000000) * 3600000000000 AS bucket, avg(value) AS v FROM p GROUP BY ALL),
 k AS (SELECT *, lead(bucket) OVER w AS n, lead(v) OVER w AS x FROM b WINDOW w AS (PARTITION BY user_id ORDER BY bucket)),
 g AS (SELECT user_id, bucket AS t, v, n, x, unnest(range(bucket, coalesce(n, bucket + 1), 3600000000000)) AS bucket FROM k)
 SELECT user_id, bucket, round(CASE WHEN bucket = t THEN v ELSE v + (x - v) * (bucket - t) / (n - t) END + 1e-9, 5) AS value FROM g""")
-def w6_interpolate_all(spark, d):
+def w6_interpolate(spark, d):
     b = events(spark, d).df.groupBy("user_id", bucket(F.col("ts"), H).alias("bucket")).agg(F.avg("value").alias("value"))
     grid = windows.gap_fill(b, ["user_id"], H, method="null")
     return grid.select("user_id", "bucket", F.round(windows.interpolated("value", ["user_id"], "bucket") + 1e-9, 5).alias("value"))
@@ -67,9 +54,8 @@ def w7_w8_change_moving_average(spark, d):
 r(user_id, k, e) AS (SELECT user_id, k, value FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.k, 0.3 * o.value + 0.7 * r.e FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1)
 SELECT user_id, k::INT AS k, round(e::DOUBLE, 6) AS ema FROM r""".replace("value FROM o WHERE k = 1", "value::DOUBLE FROM o WHERE k = 1"))
 def w9_exponential_moving_average(spark, d):
-    s = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"])
-    out = events(spark, d).df.groupBy("user_id").agg(A.ema(s, 0.3).alias("e"))
-    return out.select("user_id", F.posexplode("e").alias("k", "ema")).select("user_id", (F.col("k") + 1).alias("k"), F.round("ema", 6).alias("ema"))
+    out = series.exponential_average(events(spark, d).df, ["user_id"], 0.3, "value", "ts", ["event_id"])
+    return out.select("user_id", F.col("k").cast("int").alias("k"), F.round("ema", 6).alias("ema"))
 
 
 _FILLED = """WITH b AS (SELECT user_id::VARCHAR AS user_id, (ts // 21600000000000) * 21600000000000 AS bucket, avg(value) AS v FROM p GROUP BY ALL),
@@ -302,17 +288,9 @@ def m3_neighbours(spark, d):
     return graph.neighbours(edges, start)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey * 1000 AS src, l_suppkey AS dst FROM lineitem WHERE l_partkey <= 300 UNION SELECT DISTINCT l_suppkey, l_partkey * 1000 FROM lineitem WHERE l_partkey <= 300),
-r(node, hops) AS (SELECT 1000::BIGINT, 0 UNION SELECT e.dst, hops + 1 FROM r JOIN e ON e.src = r.node WHERE hops < 3) SELECT node, min(hops) AS hops FROM r GROUP BY 1""")
-def m4_bfs(spark, d):
-    l = read(spark, d, "lineitem").where("l_partkey <= 300").select((F.col("l_partkey") * 1000).alias("a"), F.col("l_suppkey").alias("b")).distinct()
-    edges = l.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(l.select(F.col("b").alias("src"), F.col("a").alias("dst")))
-    return graph.reach(edges, [1000], 3)
-
-
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS src, -l_suppkey AS dst FROM lineitem UNION SELECT DISTINCT -l_suppkey, l_partkey FROM lineitem),
 r(node, hops) AS (SELECT 1::BIGINT, 0 UNION SELECT e.dst, hops + 1 FROM r JOIN e ON e.src = r.node WHERE hops < 3) SELECT node, min(hops) AS hops FROM r GROUP BY 1""")
-def m4_bfs_all(spark, d):
+def m4_bfs(spark, d):
     """Parts are positive nodes, suppliers negative ones."""
     l = read(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), (-F.col("l_suppkey")).alias("b")).distinct()
     edges = l.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(l.select(F.col("b").alias("src"), F.col("a").alias("dst")))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -20,3 +21,13 @@ def shared_dir(spark: SparkSession) -> str:
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="brontide-")
     return _own[app]
+
+
+def written(df: DataFrame, name: str = "t") -> DataFrame:
+    """``df``, written as Parquet into the shared folder and read back: lineage is cut and nothing is computed twice."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/brontide-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return spark.read.schema(df.schema).parquet(path)

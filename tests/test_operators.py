@@ -9,6 +9,7 @@ from brontide.analytics import forecast as N
 from brontide.functions import aggregates as A
 from brontide.functions import scalars as X
 from brontide.lang import promql, sql
+from brontide.operators.series import exponential_average, nearest_rank, neighbours, running
 from brontide.lang.durations import duration, epoch, moment
 from brontide.lang.others import Engine, builder, clickhouse, correlate, detect, to_promql
 from brontide.model import Points, from_map
@@ -90,15 +91,16 @@ def test_aggregate_rules(spark):
 
 def test_counter_kernels(spark):
     df = spark.createDataFrame([(1 * S, 10.0), (2 * S, 14.0), (3 * S, 2.0), (4 * S, 5.0), (5 * S, float("nan"))], "ts long, v double")
-    s = A.samples(F.col("v"), F.col("ts"))
-    r = df.agg(A.rate(s).alias("rate"), A.increase(s, 10 * S).alias("inc"), A.irate(s).alias("irate"), A.resets(s).alias("resets"), A.changes(s).alias("changes"), A.delta(s).alias("delta"), A.holt_winters(s, 0.5, 0.5).alias("hw")).first()
+    s = A.Steps(F.col("v"), F.col("ts"), F.col("_prev.v"), F.col("_prev.ts"))
+    linked = neighbours(df.where(~F.isnan("v")), [], "ts", take=["v"], period=2 * S)
+    r = linked.agg(s.rate().alias("rate"), s.increase(10 * S).alias("inc"), s.irate().alias("irate"), s.resets().alias("resets"), s.changes().alias("changes"), s.delta().alias("delta")).first()
     assert (r["rate"], r["inc"], r["irate"], r["resets"], r["changes"], r["delta"]) == (3.0, 12.0, 3.0, 1.0, 3.0, -5.0)
     level, trend = 10.0, 4.0
     for v in (14.0, 2.0, 5.0):
         new = 0.5 * v + 0.5 * (level + trend)
         level, trend = new, 0.5 * (new - level) + 0.5 * trend
-    assert r["hw"] == pytest.approx(level + trend)
-    one = df.limit(1).agg(A.rate(s).alias("rate"), A.irate(s).alias("irate")).first()
+    assert df.agg(A.holt_winters(A.samples(F.col("v"), F.col("ts")), 0.5, 0.5)).first()[0] == pytest.approx(level + trend)
+    one = linked.limit(1).agg(s.rate().alias("rate"), s.irate().alias("irate")).first()
     assert one["rate"] is None and one["irate"] is None
 
 
@@ -251,7 +253,7 @@ def test_promql_forms(spark):
     assert at("m and m > 50") == [("b", 100.0)] and at('m or m{host="a"}') == [("a", 10.0), ("b", 100.0)]
     assert at('m{host="a"} offset 2m') == [("a", 8.0)]
     assert at('delta(m{host="a"}[5m])') == [("a", 4.0)] and at("2 ^ 3 ^ 0 * vector(1)") == [(None, 2.0)]
-    assert at('absent(m{host="zz"})') == [(None, 1.0)] and at("clamp(m, 20, 50)") == [("a", 20.0), ("b", 50.0)]
+    assert at('absent(m{host="zz"})') == [("zz", 1.0)] and at("clamp(m, 20, 50)") == [("a", 20.0), ("b", 50.0)]
     assert at('label_replace(m{host="a"}, "host", "x-$1", "host", "(.*)")') == [("x-a", 10.0)]
     assert at("quantile(0.5, m)") == [(None, 55.0)] and at("-m") == [("a", -10.0), ("b", -100.0)]
 
@@ -275,3 +277,70 @@ def test_time_range_property(spark):
         assert got == {i for i in range(200) if a <= i < b}
 
     check()
+
+
+def test_series_across_periods(spark):
+    """Neighbours, running sums, exact ranks and averages do not notice how a series is cut."""
+    import random
+
+    rnd = random.Random(4)
+    rows = [("ab"[i % 3 == 0], rnd.randrange(50), i, float(rnd.randrange(9))) for i in range(80)]
+    df = spark.createDataFrame(rows, "k string, ts long, i long, v double").repartition(3)
+    for period in (1, 7, 1000):
+        got = {r["i"]: r for r in running(neighbours(df, ["k"], "ts", ["i"], ["v"], period, "p", "n"), ["k"], F.col("v"), "s", "ts", ["i"], period).collect()}
+        for key in "ab":
+            own = sorted((t, i, v) for k, t, i, v in rows if k == key)
+            for j, (_, i, _) in enumerate(own):
+                near = lambda n: None if not 0 <= n < len(own) else (own[n][0], own[n][2])  # noqa: E731, B023
+                assert [None if got[i][c] is None else tuple(got[i][c]) for c in "pn"] == [near(j - 1), near(j + 1)] and got[i]["s"] == sum(x[2] for x in own[: j + 1])
+    for p in (1, 33, 50, 90, 100):
+        for key, v in values(nearest_rank(df, ["k"], "v", p), "k", "percentile"):
+            own = sorted(x[3] for x in rows if x[0] == key)
+            assert v == own[round(p / 100 * (len(own) - 1) + 1e-9)]
+    assert nearest_rank(df, [], "v", 50).count() == 1
+    out = exponential_average(df.withColumnRenamed("k", "key"), ["key"], 0.3, "v", "ts", ["i"], block=7)
+    got = {(r["key"], r["k"]): r["ema"] for r in out.collect()}
+    for key in "ab":
+        e = None
+        for n, (_, _, v) in enumerate(sorted((t, i, v) for k, t, i, v in rows if k == key), 1):
+            e = v if e is None else 0.3 * v + 0.7 * e
+            assert got[key, n] == pytest.approx(e)
+
+
+def test_promql_matching(spark):
+    rows = [("a", "x", 0, 8.0), ("a", "y", 0, 2.0), ("b", "x", 0, 4.0)]
+    m = Points(spark.createDataFrame(rows, "host string, dc string, ts long, value double"), {"host": "host", "dc": "dc"})
+    n = Points(spark.createDataFrame([("a", 0, 10.0), ("b", 0, 100.0)], "host string, ts long, value double"), {"host": "host"})
+    e = promql.Evaluator({"m": m, "n": n})
+    ask = lambda q: sorted(tuple(r[c] for c in sorted(x for x in r.__fields__ if x != "t")) for r in e.instant_query(q, 0).collect())
+    assert ask("m / sum(m)") == [] and ask("sum(m) / sum(m)") == [(1.0,)]
+    assert ask("sum by (host) (m) + n") == [("a", 20.0), ("b", 104.0)]
+    assert ask("m * on(host) group_left n") == [("x", "a", 80.0), ("x", "b", 400.0), ("y", "a", 20.0)]
+    assert ask("n - ignoring(dc) group_right m") == [("x", "a", 2.0), ("x", "b", 96.0), ("y", "a", 8.0)]
+    assert ask("m and on(host) (n > 50)") == [("x", "b", 4.0)]
+    assert ask("m unless on(host) (n > 50)") == [("x", "a", 8.0), ("y", "a", 2.0)]
+    with pytest.raises(Exception, match="several series"):
+        ask("m * on(host) n")
+    assert ask("-n ^ 2") == [("a", -100.0), ("b", -10000.0)] and ask("2 ^ 3 ^ 2 * sum(n) / sum(n)") == [(512.0,)]
+    assert ask("count_values(\"v\", m)") == [("2", 1.0), ("4", 1.0), ("8", 1.0)]
+    assert ask("vector(time())") == [(0.0,)] and ask("absent(m{host=\"z\"})") == [("z", 1.0)] and ask("scalar(n) * 2")[0][0] != ask("scalar(n) * 2")[0][0]
+    assert promql.label_names({"m": m, "n": n}) == ["__name__", "dc", "host"] and values(promql.label_values({"m": m}, "dc"), "value") == [("x",), ("y",)]
+    assert promql.series({"m": m}, 'm{dc="y"}').collect()[0].asDict() == {"__name__": "m", "dc": "y", "host": "a"}
+    made = promql.recorded({"m": m}, [promql.Rule("s", "sum by (host) (m)", {"job": "r"}), promql.Rule("t", "s * 2")], 0)
+    assert values(made["t"].df, "metric", "host", "job", "ts", "value") == [("t", "a", "r", 0, 20.0), ("t", "b", "r", 0, 8.0)]
+
+
+def test_to_promql_forms():
+    say = lambda q: to_promql(sql.parse(q))
+    assert say("SELECT sum(value) FROM m WHERE host = 'a' OR host = 'b'") == 'sum(m{host="a"}) or sum(m{host="b"})'
+    assert say("SELECT sum(value) FROM m WHERE host IN ('a', 'b.c')") == 'sum(m{host=~"a|b\\.c"})'
+    assert say("SELECT sum(value) FROM m WHERE value > 5") == "sum(m > 5)"
+    promql.parse(say("SELECT sum(value) FROM m WHERE value > 5 AND host = 'a'"))
+
+
+def test_correlate_runs(spark):
+    a = Points(spark.createDataFrame([("t1", "s", 10, 1.0), ("t2", "s", 20, 2.0)], "trace_id string, service string, ts long, value double"), {"trace_id": "trace_id", "service": "service"})
+    b = Points(spark.createDataFrame([("t1", "u", 10 + 2 * S, 5.0), ("t9", "u", 10, 6.0)], "trace_id string, service string, ts long, value double"), {"trace_id": "trace_id", "service": "service"})
+    e = Engine(spark, {"metrics": a, "traces": b})
+    assert values(e.query("CORRELATE metrics WITH traces WITHIN 5s"), "l_value", "r_value") == [(1.0, 5.0)]
+    assert e.query("CORRELATE metrics WITH traces WITHIN 1s").count() == 0 and e.query("CORRELATE metrics WITH traces WHERE metrics.service = 'x'").count() == 0
