@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import core, streams, temporal
+from .queries import core, more, streams, temporal
 from .queries.base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "flagship", "core", "streams", "temporal"]
+__all__ = ["QUERIES", "SQL", "flagship", "core", "more", "streams", "temporal"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

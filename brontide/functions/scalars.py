@@ -145,6 +145,39 @@ def geohash(lat: Column, lon: Column, length: int = 6) -> Column:
     return F.concat(*out)
 
 
+def geohash_box(code: Column, length: int) -> tuple[Column, Column, Column, Column]:
+    """(south, west, north, east) of a cell of ``length`` characters, as columns."""
+    nlon, nlat = (5 * length + 1) // 2, 5 * length // 2
+    x = y = F.lit(0).cast("long")
+    for k in range(length):
+        value = F.instr(F.lit(_BASE32), F.substring(code, k + 1, 1)) - 1
+        for j in range(5):
+            bit = F.shiftright(value, 4 - j).bitwiseAND(F.lit(1)).cast("long")
+            if (5 * k + j) % 2 == 0:
+                x = x * 2 + bit
+            else:
+                y = y * 2 + bit
+    w, h = 360.0 / (1 << nlon), 180.0 / (1 << nlat)
+    return y * h - 90.0, x * w - 180.0, (y + 1) * h - 90.0, (x + 1) * w - 180.0
+
+
+def geohash_neighbours(code: Column, length: int) -> Column:
+    """The eight cells around a cell, as an array; at a pole fewer (distinct) ones."""
+    h, w = 180.0 / (1 << (5 * length // 2)), 360.0 / (1 << ((5 * length + 1) // 2))
+    south, west, _, _ = geohash_box(code, length)
+    middle = F.struct((south + h / 2).alias("lat"), (west + w / 2).alias("lon"))
+    steps = F.array(*[F.struct(F.lit(i * h).alias("i"), F.lit(j * w).alias("j")) for i in (1, 0, -1) for j in (-1, 0, 1) if i or j])
+    # lambdas keep each expression once in the plan
+    around = lambda m: F.transform(steps, lambda o: F.struct((m["lat"] + o["i"]).alias("lat"), (F.pmod(m["lon"] + o["j"] + 540.0, F.lit(360.0)) - 180.0).alias("lon")))
+    points = F.filter(F.transform(F.array(middle), around)[0], lambda p: p["lat"].between(-90.0, 90.0))
+    return F.array_distinct(F.transform(points, lambda p: geohash(p["lat"], p["lon"], length)))
+
+
+def in_circle(lat: Column, lon: Column, centre_lat: float, centre_lon: float, metres: float) -> Column:
+    """Within ``metres`` of a point, the edge included."""
+    return haversine(lat, lon, F.lit(centre_lat), F.lit(centre_lon)) <= metres
+
+
 def geohash_center(code: str) -> tuple[float, float]:
     """(lat, lon) of the middle of a cell."""
     box = [[-180.0, 180.0], [-90.0, 90.0]]

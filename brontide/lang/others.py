@@ -70,6 +70,26 @@ def builder(spec: dict) -> TSQuery:
     )
 
 
+_JOINS = {"inner": "INNER", "left": "LEFT", "right": "RIGHT", "outer": "FULL OUTER", "full": "FULL OUTER"}
+
+
+def builder_sql(spec: dict) -> str:
+    """The SQL text of a builder's dict with joins: source, alias, select, joins [{type, source, alias, on}], filters, group_by, order_by, limit."""
+    item = lambda s: (f"{s['function']}({s.get('field', '*')})" if s.get("function") else s["field"]) + (f" AS {s['alias']}" if s.get("alias") else "")
+    named = lambda s: s["source"] + (f" {s['alias']}" if s.get("alias") else "")
+    text = lambda v: str(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else "'" + str(v).replace("'", "''") + "'"
+    out = f"SELECT {', '.join(map(item, spec.get('select') or [{'field': '*'}]))} FROM {named(spec)}"
+    for j in spec.get("joins", []):
+        out += f" {_JOINS[j.get('type', 'inner').lower()]} JOIN {named(j)} ON {j['on']}"
+    if spec.get("filters"):
+        out += " WHERE " + f" {spec.get('logic', 'and').upper()} ".join(f"{f['field']} {f['op']} {text(f['value'])}" for f in spec["filters"])
+    if spec.get("group_by"):
+        out += f" GROUP BY {', '.join(spec['group_by'])}"
+    if spec.get("order_by"):
+        out += " ORDER BY " + ", ".join(f"{o['field']} {o.get('direction', 'asc').upper()}" for o in spec["order_by"])
+    return out + (f" LIMIT {int(spec['limit'])}" if spec.get("limit") else "")
+
+
 def correlate(text: str) -> dict:
     """CORRELATE left WITH right [WHERE a op 'b' AND ...] [WITHIN d] [LIMIT n] as a dict."""
     m = re.fullmatch(r"\s*correlate\s+(\w+)\s+with\s+(\w+)(?:\s+where\s+(.+?))?(?:\s+within\s+(\w+))?(?:\s+limit\s+(\d+))?\s*", text, re.I | re.S)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import json_path
-from ..model import Points
+from ..model import Points, bucket
 
 LONGEST_PATTERN = 1024
 
@@ -95,6 +97,28 @@ def level_at_least(level: Column, least: str) -> Column:
     return rank >= LEVELS.index(least)
 
 
+def logs(df: DataFrame, start: int | None = None, end: int | None = None, least: str | None = None, contains: str | None = None, tags: dict | None = None, ts: str = "ts", level: str = "level", message: str = "message") -> DataFrame:
+    """Log rows with times in [start, end], both ends included, at least a level, holding a text (any case), and with equal tags."""
+    conditions = [F.col(ts) >= start] if start is not None else []
+    conditions += [F.col(ts) <= end] if end is not None else []
+    conditions += [level_at_least(F.col(level), least)] if least else []
+    conditions += [F.contains(F.lower(message), F.lit(contains.lower()))] if contains else []
+    conditions += [F.col(k) == F.lit(v) for k, v in (tags or {}).items()]
+    return df.where(reduce(lambda a, b: a & b, conditions, F.lit(True)))
+
+
+def sampled(key: Column, ts: Column, rate: float) -> Column:
+    """Like ``hash_sampled``, by MD5, which other systems can compute as well."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", key.cast("string"), ts.cast("string"))), 1, 8), 16, 10).cast("long") < int(rate * (1 << 32))
+
+
+def adaptive_rates(df: DataFrame, keys: Sequence[str], width: int, budget: int, ts: str = "ts") -> DataFrame:
+    """(keys, bucket, seen, rate): the rate that keeps about ``budget`` rows of each group and window, from how many were seen in the window before (1 at first)."""
+    counts = df.groupBy(*keys, bucket(F.col(ts), width).alias("bucket")).agg(F.count(F.lit(1)).alias("seen"))
+    last = F.lag("seen").over(Window.partitionBy(*keys).orderBy("bucket"))
+    return counts.withColumn("rate", F.coalesce(F.least(F.lit(1.0), budget / last), F.lit(1.0)))
+
+
 def hash_sampled(key: Column, ts: Column, rate: float) -> Column:
     """The same rows on every run: the hash of series and time within the rate."""
     return F.pmod(F.xxhash64(key, ts), F.lit(1_000_000)) < int(rate * 1_000_000)

@@ -66,6 +66,13 @@ def count_windows(df: DataFrame, keys: Sequence[str], size: int, order: Sequence
     return running(df, keys, F.lit(1), "_n", order[0], order[1:]).withColumn("window_no", F.floor((F.col("_n") - 1) / size)).drop("_n")
 
 
+def fence_events(df: DataFrame, keys: Sequence[str], inside: Column, ts: str = "ts", ties: Sequence[str] = ()) -> DataFrame:
+    """Rows where a key enters or leaves an area, with ``event``; before its first row a key is outside."""
+    linked = neighbours(df.withColumn("_in", inside), keys, ts, ties, ["_in"])
+    turned = linked.where(F.col("_in") != F.coalesce(F.col("_prev._in"), F.lit(False)))
+    return turned.withColumn("event", F.when(F.col("_in"), "enter").otherwise("exit")).drop("_in", "_prev")
+
+
 def moving(function: Column, keys: Sequence[str], order: Sequence[str], rows: int) -> Column:
     """An aggregate over the row and the ``rows - 1`` before it, fewer at a key's start."""
     return function.over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(rows - 1), 0))

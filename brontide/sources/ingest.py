@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,11 +86,69 @@ def select_metrics(points: DataFrame, include: list[str] = (), exclude: list[str
     return points.where(keep).withColumn("metric", F.concat(F.lit(prefix), m))
 
 
-def export(points: DataFrame, path: str, fmt: str = "parquet", day_from: str | None = "ts") -> None:
-    """csv, json or parquet; Parquet is laid out by day, so that time ranges prune folders."""
+def remote_write(requests: DataFrame, column: str = "timeseries") -> DataFrame:
+    """Points from decoded write requests: an array of (labels [(name, value)], samples [(value, timestamp in ms)]); series without a name are skipped."""
+    s = requests.select(F.explode(column).alias("s"))
+    name = F.filter("s.labels", lambda x: x["name"] == "__name__")[0]["value"]
+    tags = F.map_from_entries(F.transform(F.filter("s.labels", lambda x: x["name"] != "__name__"), lambda x: F.struct(x["name"], x["value"])))
+    named = s.where(F.coalesce(F.get(F.filter("s.labels", lambda x: x["name"] == "__name__"), F.lit(0))["value"], F.lit("")) != "")
+    return named.select(name.alias("metric"), tags.alias("tags"), F.explode("s.samples").alias("p")).select("metric", "tags", F.col("p.value").alias("value"), (F.col("p.timestamp") * 1_000_000).alias("ts"))
+
+
+def exposition(lines: DataFrame, column: str = "value", ts: Column | None = None) -> DataFrame:
+    """Points from scraped text, a line a row: ``name{k="v",...} value [ms]``; comments are skipped, other lines land in ``bad``."""
+    line = F.trim(F.col(column))
+    rx = r'^([a-zA-Z_:][\w:]*)(?:\{(.*)\})?\s+([-+]?(?:\d+\.?\d*(?:[eE][-+]?\d+)?|\.\d+|Inf|NaN))(?:\s+(-?\d+))?$'
+    part = lambda k: F.regexp_extract(line, rx, k)
+    pairs = F.regexp_extract_all(part(2), F.lit(r'(\w+="(?:[^"\\]|\\.)*")'), F.lit(1))
+    pair = lambda x: F.struct(F.regexp_extract(x, r"^(\w+)=", 1), F.regexp_replace(F.regexp_extract(x, r'="(.*)"$', 1), r"\\(.)", "$1"))
+    number = F.when(part(3).rlike("Inf"), F.when(part(3).startswith("-"), float("-inf")).otherwise(float("inf"))).when(part(3) == "NaN", float("nan")).otherwise(part(3).try_cast("double"))
+    ok = F.rlike(line, F.lit(rx))
+    at = F.when(part(4) != "", part(4).try_cast("long") * 1_000_000).otherwise(ts if ts is not None else F.lit(None).cast("long"))
+    return lines.where((line != "") & ~line.startswith("#")).select(
+        F.when(ok, part(1)).alias("metric"), F.when(ok, F.map_from_entries(F.transform(pairs, pair))).alias("tags"), F.when(ok, number).alias("value"), F.when(ok, at).alias("ts"), F.when(~ok, line).alias("bad")
+    )
+
+
+def typed(rows: DataFrame, kinds: dict[str, str], tags: Sequence[str] = (), ts: str = "ts") -> DataFrame:
+    """Points from wide rows: a column per metric; ``kinds`` says of each column whether it is a gauge or a counter (kept as the tag ``kind``). Nulls are no points."""
+    each = F.array(*[F.struct(F.lit(c).alias("metric"), F.lit(k).alias("kind"), F.col(c).cast("double").alias("value")) for c, k in kinds.items()])
+    labels = F.map_from_arrays(F.array(*[F.lit(t) for t in (*tags, "kind")]), F.array(*[F.col(t).cast("string") for t in tags], F.col("p.kind")))
+    return rows.select(ts, *tags, F.explode(each).alias("p")).where("p.value is not null").select("p.metric", labels.alias("tags"), "p.value", F.col(ts).alias("ts"))
+
+
+def changes(log: DataFrame, metrics: Sequence[str] = (), operations: Sequence[str] = (), tags: dict[str, str] | None = None) -> DataFrame:
+    """Change events (metric, op, tags, ...) that a subscriber wants; an empty list means all.  Works on a table or a stream of changes."""
+    out = log.where(F.col("metric").isin(*metrics)) if metrics else log
+    out = out.where(F.upper("op").isin(*[o.upper() for o in operations])) if operations else out
+    for k, v in (tags or {}).items():
+        out = out.where(F.col("tags")[k] == v)
+    return out
+
+
+def replay(df: DataFrame, start: int, end: int, speed: float, now: int, ts: str = "ts") -> DataFrame:
+    """Rows of [start, end) with ``emit_at``: when a replay that begins at ``now`` and runs ``speed`` times as fast shows them."""
+    return df.where((F.col(ts) >= start) & (F.col(ts) < end)).withColumn("emit_at", F.lit(now) + F.floor((F.col(ts) - start) / float(speed)).cast("long"))
+
+
+def archive(points: DataFrame, path: str, before: int, ts: str = "ts") -> DataFrame:
+    """Writes rows older than ``before`` by day, and gives the rows that stay."""
+    export(points.where(F.col(ts) < before), path, day_from=ts)
+    return points.where(F.col(ts) >= before)
+
+
+def export(points: DataFrame, path: str, fmt: str = "parquet", day_from: str | None = "ts", bloom: Sequence[str] = (), rows_a_file: int = 5_000_000) -> None:
+    """csv, json or parquet; Parquet is laid out by day, so that time ranges prune folders.
+
+    Days are dealt to tasks by ranges of (day, time), so one large day is spread over
+    many files; columns in ``bloom`` get Bloom filters, which skip row groups that lack a value.
+    """
     if fmt == "parquet" and day_from:
         day = F.to_date(F.timestamp_micros(F.floor(F.col(day_from) / 1000).cast("long")))
-        points.withColumn("date", day).repartition("date").write.partitionBy("date").mode("append").parquet(path)
+        writer = points.withColumn("date", day).repartitionByRange("date", day_from).write.partitionBy("date").option("maxRecordsPerFile", rows_a_file)
+        for c in bloom:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        writer.mode("append").parquet(path)
         return
     flat = points.withColumn("tags", F.to_json("tags")) if fmt == "csv" and "tags" in points.columns else points
     writer = flat.write.mode("append")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -142,6 +143,39 @@ def burn_rate(df: DataFrame, good: Column, target: float, factor: float, short:
     return out.withColumn("alert", (F.col("short_burn") >= factor) & (F.col("long_burn") >= factor))
 
 
+def last_values(df: DataFrame, keys: Sequence[str], value: str = "value", ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    return df.groupBy(*keys).agg(F.max_by(value, F.struct(ts, tie)).alias("value"))
+
+
+CONDITIONS = {
+    "above": lambda v, x: v > x, "below": lambda v, x: v < x, "eq": lambda v, x: v == x, "neq": lambda v, x: v != x, "absent": lambda v, _: v.isNull(),
+}
+
+
+def composite(latest: DataFrame, series: str, conditions: dict[str, tuple[str, str, float]], logic: str = "and") -> DataFrame:
+    """One row: every condition (series, above|below|eq|neq|absent, threshold) on the latest values, and ``alert``, all (and), any (or) or none (not) of them."""
+    value = lambda k: F.max(F.when(F.col(series) == k, F.col("value")))
+    row = latest.agg(*[F.coalesce(CONDITIONS[op](value(k), x), F.lit(False)).alias(name) for name, (k, op, x) in conditions.items()])
+    true = F.filter(F.array(*[F.col(n) for n in conditions]), lambda c: c)
+    alert = {"and": F.size(true) == len(conditions), "or": F.size(true) > 0, "not": F.size(true) == 0}[logic]
+    return row.withColumn("alert", alert)
+
+
+def declared(latest: DataFrame, series: str, specs: list[dict], silenced: Sequence[str] = ()) -> DataFrame:
+    """(name, severity, series, value, route) of declared alerts that fire: dicts with name, condition, threshold, and optionally match (a series),
+    severity and routes {severity: receiver}; silenced names are left out."""
+    fired = []
+    for s in specs:
+        if s["name"] not in silenced:
+            rows = latest.where(F.col(series) == s["match"]) if "match" in s else latest
+            level = s.get("severity", "warning")
+            hit = rows.where(F.coalesce(CONDITIONS[s["condition"]](F.col("value"), s.get("threshold", 0.0)), F.lit(False)))
+            fired.append(hit.select(F.lit(s["name"]).alias("name"), F.lit(level).alias("severity"), F.col(series).cast("string").alias("series"), "value", F.lit(s.get("routes", {}).get(level, "default")).alias("route")))
+    if not fired:
+        raise ValueError("no alert is left")
+    return reduce(DataFrame.unionByName, fired)
+
+
 class Pipeline:
     """From -> transform, filter, enrich, aggregate -> to; works on streams and tables alike."""
 
