@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.series import neighbours
+
 
 def smooth(values: np.ndarray, alpha: float) -> np.ndarray:
     out = np.empty(len(values))
@@ -127,17 +129,22 @@ def welch(df: DataFrame, side: str, value: str = "value") -> DataFrame:
     return stats.select("mean_a", "mean_b", t.alias("t"), ((F.col("mean_a") - F.col("mean_b")) / pooled).alias("cohens_d"), (F.abs(t) > 2).alias("differs"))
 
 
-def quality_issues(df: DataFrame, keys: Sequence[str], max_gap: int, value: str = "value", ts: str = "ts", sigma: float = 3.0, rows: int = 20) -> DataFrame:
-    """(keys, ts, issue): nan, infinite, gap, duplicate and outlier rows."""
-    order = Window.partitionBy(*keys).orderBy(ts)
-    before = order.rowsBetween(-rows, -1)
-    v, step = F.col(value), F.col(ts) - F.lag(ts).over(order)
-    mean, dev = F.avg(value).over(before), F.stddev_pop(value).over(before)
-    found = F.array(
-        F.when(F.isnan(v), "nan"), F.when(F.abs(v) == float("inf"), "infinite"), F.when(step > max_gap, "gap"), F.when(step == 0, "duplicate"),
-        F.when((dev > 0) & (F.abs(v - mean) > sigma * dev), "outlier"),
-    )
-    return df.select(*keys, ts, found.alias("_i")).select(*keys, ts, F.explode(F.filter("_i", lambda x: x.isNotNull())).alias("issue"))
+def quality_issues(df: DataFrame, keys: Sequence[str], max_gap: int, value: str = "value", ts: str = "ts", sigma: float = 3.0, rows: int = 20, ties: Sequence[str] = (), skew: float | None = None) -> DataFrame:
+    """(keys, ts, issue): nan, infinite, gap, duplicate and outlier rows; with ``skew`` also series (ts null) that are more skewed.
+
+    Outliers and skew are judged on finite values only, which NaN and infinity cannot hide.
+    """
+    v, step = F.col(value), F.col(ts) - F.col(f"_prev.{ts}")
+    linked = neighbours(df, keys, ts, ties, [])
+    found = F.array(F.when(F.isnan(v), "nan"), F.when(F.abs(v) == float("inf"), "infinite"), F.when(step > max_gap, "gap"), F.when(step == 0, "duplicate"))
+    out = linked.select(*keys, ts, found.alias("_i")).select(*keys, ts, F.explode(F.filter("_i", lambda x: x.isNotNull())).alias("issue"))
+    finite = df.where(~F.isnan(v) & (F.abs(v) < float("inf")))
+    far = residual_anomalies(finite, keys, rows, sigma, value, [ts, *ties]).select(*keys, ts, F.lit("outlier").alias("issue"))
+    out = out.unionByName(far)
+    if skew is not None:
+        lean = finite.groupBy(*keys).agg(F.skewness(value).alias("_s")).where(F.abs("_s") > skew)
+        out = out.unionByName(lean.select(*keys, F.lit(None).cast(df.schema[ts].dataType).alias(ts), F.lit("skewed").alias("issue")))
+    return out
 
 
 def correlations(df: DataFrame, bucket: str, series: str, value: str = "value") -> DataFrame:

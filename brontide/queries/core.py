@@ -164,12 +164,6 @@ def f22_masking(spark, d):
     return read(spark, d, "customer").select("c_custkey", X.masked(n, "redact").alias("redacted"), X.masked(n, "hash").alias("hashed"), X.masked(n, "truncate").alias("cut"))
 
 
-@query()
-def f23_hash_sampling(spark, d):
-    p = events(spark, d)
-    return p.where(filters.hash_sampled(p.series_key("events"), F.col("ts"), 0.25)).df.select("event_id")
-
-
 @query("SELECT c_custkey FROM customer WHERE regexp_matches(c_name, '^Customer.*1$') AND c_acctbal >= 100")
 def f26_catalogue_search(spark, d):
     c = read(spark, d, "customer")
@@ -215,11 +209,6 @@ def a14_a15_median_percentile(spark, d):
     return events(spark, d).df.groupBy("event_type").agg(F.median("value").alias("med"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"))
 
 
-@query("SELECT floor(value / 100) AS slot, count(*) AS n FROM p GROUP BY 1")
-def a21_count_values(spark, d):
-    return events(spark, d).df.groupBy(F.floor(F.col("value") / 100).cast("double").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-
-
 def linked(spark, d, tie="event_id"):
     """The events of each user with the one before."""
     return series.neighbours(events(spark, d).df.where(~F.isnan("value")), ["user_id"], "ts", [tie])
@@ -258,10 +247,14 @@ def a29_changes_resets(spark, d):
     return linked(spark, d, "value").groupBy("user_id").agg(s.changes().alias("changes"), s.resets().alias("resets"))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT user_id, value::DOUBLE AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, value) AS k FROM p WHERE ts < 1704672000000000000),
+r(user_id, k, l, b) AS (SELECT a.user_id, 1::BIGINT, a.v, c.v - a.v FROM o a JOIN o c ON a.user_id = c.user_id AND a.k = 1 AND c.k = 2
+UNION ALL SELECT o.user_id, o.k, 0.3::DOUBLE * o.v + 0.7::DOUBLE * (r.l + r.b), 0.1::DOUBLE * (0.3::DOUBLE * o.v + 0.7::DOUBLE * (r.l + r.b) - r.l) + 0.9::DOUBLE * r.b FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1),
+f AS (SELECT user_id, l + b AS s FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1)
+SELECT u.user_id, round(f.s, 5) AS smoothed FROM (SELECT DISTINCT user_id FROM o) u LEFT JOIN f USING (user_id)""")
 def a30_holt_winters(spark, d):
     s = A.samples(F.col("value"), F.col("ts"))
-    return events(spark, d).df.groupBy("user_id").agg(F.round(A.holt_winters(s, 0.3, 0.1), 6).alias("smoothed"))
+    return events(spark, d).between(None, T0 + 7 * D).df.groupBy("user_id").agg(F.round(A.holt_winters(s, 0.3, 0.1), 5).alias("smoothed"))
 
 
 @query("""WITH m AS (SELECT event_type, max(ts) AS newest FROM p GROUP BY 1)
@@ -300,10 +293,16 @@ def a35_merged_quantile(spark, d):
     return histograms.exponential_quantile(whole, ["g"], 0.5).select(F.round("quantile", 6).alias("quantile"))
 
 
-@query()
+@query("SELECT event_type, true AS close FROM p GROUP BY 1 UNION ALL SELECT 'all', true")
 def a37_distinct_sketch(spark, d):
-    per = histograms.distinct_sketch(events(spark, d).df, ["event_type"], "user_id")
-    return histograms.distinct_estimate(per)
+    """Sketches by event type, and their union, are within 5 % of the exact counts."""
+    df = events(spark, d).df
+    per = histograms.distinct_sketch(df, ["event_type"], "user_id")
+    near = lambda a, b: (F.abs(F.col(a) / F.col(b) - 1) < 0.05)
+    exact = df.groupBy("event_type").agg(F.count_distinct("user_id").alias("n"))
+    each = histograms.distinct_estimate(per, ["event_type"]).join(exact, "event_type").select("event_type", near("estimate", "n").alias("close"))
+    whole = histograms.distinct_estimate(per).join(df.agg(F.count_distinct("user_id").alias("n")))
+    return each.unionByName(whole.select(F.lit("all").alias("event_type"), near("estimate", "n").alias("close")))
 
 
 @query("""WITH o AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS r, count(*) OVER () AS n FROM p)
@@ -325,13 +324,6 @@ def a47_rollup(spark, d):
     return joined.rollup("n_regionkey", "n_name").agg(F.count(F.lit(1)).alias("n"), F.grouping("n_name").cast("int").alias("g"))
 
 
-@query("SELECT event_type AS service, count(*) AS requests, count(*) FILTER (WHERE value > 50) AS errors, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, count(*) FILTER (WHERE value <= 10) AS le_10 FROM p GROUP BY 1")
-def a48_red_metrics(spark, d):
-    v = F.col("value")
-    disc = lambda x: F.expr(f"percentile_disc({x}) WITHIN GROUP (ORDER BY value)")
-    return events(spark, d).df.groupBy(F.col("event_type").alias("service")).agg(F.count(F.lit(1)).alias("requests"), F.count_if(v > 50).alias("errors"), disc(0.5).alias("p50"), disc(0.95).alias("p95"), F.count_if(v <= 10).alias("le_10"))
-
-
 @query("""WITH s AS (SELECT event_id AS span, event_id - 1 AS parent, event_type AS service, value > 50 AS error FROM p)
 SELECT u.service AS caller, s.service AS callee, count(*) AS calls, sum(s.error::INT)::BIGINT AS errors FROM s JOIN s u ON s.parent = u.span WHERE u.service <> s.service GROUP BY ALL""")
 def a50_service_topology(spark, d):
@@ -372,10 +364,11 @@ def o8_knn(spark, d):
     return rows.select("vec_id", F.round(X.euclid(F.col("embedding"), q), 6).alias("dist")).orderBy("dist", "vec_id").limit(10)
 
 
-@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings")
+@query("WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM e) SELECT vec_id, round(n, 6) AS norm, round(v[1] / n, 9) AS first, 1.0::DOUBLE AS unit_norm FROM n")
 def x18_vector_norm(spark, d):
     e = F.col("embedding")
-    return read(spark, d, "embeddings").select("vec_id", F.round(F.sqrt(X.dot(e, e)), 6).alias("norm"))
+    rows = read(spark, d, "embeddings").select("vec_id", F.sqrt(X.dot(e, e)).alias("norm"), X.unit(e).alias("u"))
+    return rows.select("vec_id", F.round("norm", 6).alias("norm"), F.round(F.col("u")[0], 9).alias("first"), F.round(F.sqrt(X.dot(F.col("u"), F.col("u"))), 9).alias("unit_norm"))
 
 
 @query("SELECT event_id, abs(value - 10) AS a, ceil(value) AS c, floor(value) AS f, round(value) AS r, round(sqrt(value), 6) AS s, round(ln(value), 6) AS l, sign(value - 10)::DOUBLE AS g, least(greatest(value, 5), 20) AS k FROM p")
@@ -438,7 +431,10 @@ def x21_geo_polygon(spark, d):
     return geo(spark, d).where(inside & (F.col("lon") < F.col("lat")) & (F.col("lon") > -F.col("lat"))).select("k")
 
 
-@query()
+@query(f"""WITH {_GEO}, c AS (SELECT lat, lon, floor((lon + 180) / 360 * 32)::BIGINT AS x, floor((lat + 90) / 180 * 32)::BIGINT AS y FROM g),
+b AS (SELECT *, [(x >> 4) & 1, (y >> 4) & 1, (x >> 3) & 1, (y >> 3) & 1, (x >> 2) & 1, (y >> 2) & 1, (x >> 1) & 1, (y >> 1) & 1, x & 1, y & 1] AS z FROM c)
+SELECT substr('0123456789bcdefghjkmnpqrstuvwxyz', (16 * z[1] + 8 * z[2] + 4 * z[3] + 2 * z[4] + z[5] + 1)::INT, 1) || substr('0123456789bcdefghjkmnpqrstuvwxyz', (16 * z[6] + 8 * z[7] + 4 * z[8] + 2 * z[9] + z[10] + 1)::INT, 1) AS cell,
+count(*) AS n, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon FROM b GROUP BY 1""")
 def a43_geohash_cells(spark, d):
     g = geo(spark, d).withColumn("cell", X.geohash(F.col("lat"), F.col("lon"), 2))
     return g.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lon"), 6).alias("lon"))
@@ -449,9 +445,14 @@ def x23_token_search(spark, d):
     return read(spark, d, "part").select("p_partkey", F.array_contains(X.tokens(F.col("p_name")), "part").alias("hit"))
 
 
-@query("SELECT event_type, (event_type SIMILAR TO '[A-Za-z_][A-Za-z0-9_.:-]*') AS ok FROM p GROUP BY ALL")
+@query(r"""SELECT event_type, regexp_full_match(event_type, '[A-Za-z_][A-Za-z0-9_.:-]*') AND length(event_type) <= 256 AS ok, regexp_full_match(event_type || ' x', '[A-Za-z_][A-Za-z0-9_.:-]*') AS bad,
+regexp_full_match('k' || (user_id % 7), '[A-Za-z_][A-Za-z0-9_.-]*') AND length('k') <= 128 AS tag, regexp_full_match((user_id % 7)::VARCHAR, '[A-Za-z_][A-Za-z0-9_.-]*') AS bad_tag, count(*) AS n FROM p GROUP BY ALL""")
 def x24_validation(spark, d):
-    return events(spark, d).df.select("event_type").distinct().select("event_type", X.valid_metric(F.col("event_type")).alias("ok"))
+    e, u = F.col("event_type"), (F.col("user_id") % 7).cast("string")
+    checked = events(spark, d).df.select(
+        "event_type", X.valid_metric(e).alias("ok"), X.valid_metric(F.concat(e, F.lit(" x"))).alias("bad"), X.valid_tag_key(F.concat(F.lit("k"), u)).alias("tag"), X.valid_tag_key(u).alias("bad_tag")
+    )
+    return checked.groupBy(*checked.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT event_type, round(sum(value), 4) AS sum, count(value) AS count, round(avg(value), 6) AS avg, min(value) AS min, max(value) AS max, round(stddev_pop(value), 6) AS stddev, round(max(value) - min(value), 6) AS range FROM p GROUP BY 1")

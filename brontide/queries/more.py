@@ -185,7 +185,7 @@ def a46_private_sum(spark, d):
 
 
 @query("SELECT event_type, count(*) AS requests, count(*) FILTER (WHERE value > 90) AS errors, round(count(*) FILTER (WHERE value > 90) / count(*), 9) AS error_rate, round(sum(value), 4) AS duration_sum, min(value) AS duration_min, max(value) AS duration_max, count(*) FILTER (WHERE value <= 10) AS le_10, count(*) FILTER (WHERE value <= 50) AS le_50 FROM p GROUP BY 1")
-def a48_red_operator(spark, d):
+def a48_red_metrics(spark, d):
     return rounded(rounded(features.red(events(spark, d).df, ["event_type"], "value", F.col("value") > 90, [10, 50]), "duration_sum", digits=4), "error_rate", digits=9)
 
 
@@ -195,7 +195,7 @@ def f25_spans_kept(spark, d):
 
 
 @query("SELECT event_id FROM p WHERE ('0x' || substr(md5(user_id || '|' || ts), 1, 8))::BIGINT < 429496729")
-def f23_sampled(spark, d):
+def f23_hash_sampling(spark, d):
     return events(spark, d).df.where(filters.sampled(F.col("user_id"), F.col("ts"), 0.1)).select("event_id")
 
 
@@ -217,7 +217,7 @@ def m10_exemplars(spark, d):
 
 
 @query("SELECT event_id FROM p WHERE event_type = 'error' AND user_id = 3")
-def m11_by_trace(spark, d):
+def m11_trace_lookup(spark, d):
     df = events(spark, d).df.withColumn("trace_id", F.when(F.col("event_type") == "error", F.col("user_id").cast("string")))
     return features.exemplars(df, trace="3").select("event_id")
 
@@ -466,7 +466,7 @@ def x19_geohash_neighbours(spark, d):
 
 @query(f"""WITH x AS (SELECT event_id, ts, user_id, ((event_id * 37) % 170 - 85)::DOUBLE AS lat, ((event_id * 91) % 350 - 175)::DOUBLE AS lon FROM p), i AS (SELECT *, {_HAV.format('lat', 'lon', '0.0', '0.0')} <= 6000000.0 AS inside FROM x),
 q AS (SELECT *, lag(inside) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM i) SELECT event_id, CASE WHEN inside THEN 'enter' ELSE 'exit' END AS event FROM q WHERE inside <> coalesce(before, false)""")
-def m9_geofence(spark, d):
+def m9_geofence_events(spark, d):
     return windows.fence_events(geo(spark, d), ["user_id"], X.in_circle(F.col("lat"), F.col("lon"), 0.0, 0.0, 6_000_000.0), "ts", ["event_id"]).select("event_id", "event")
 
 
@@ -553,7 +553,7 @@ def t14_first_rows(spark, d):
 @query("""WITH l AS (SELECT event_type, arg_max(value, (ts, event_id)) AS v FROM p GROUP BY 1)
 SELECT coalesce(max(v) FILTER (WHERE event_type = 'click') > 1, false) AS high, max(v) FILTER (WHERE event_type = 'missing') IS NULL AS gone,
 coalesce(max(v) FILTER (WHERE event_type = 'click') > 1, false) AND max(v) FILTER (WHERE event_type = 'missing') IS NULL AS alert FROM l""")
-def t31_composite_operator(spark, d):
+def t31_composite_alert(spark, d):
     latest = T.last_values(events(spark, d).df, ["event_type"])
     return T.composite(latest, "event_type", {"high": ("click", "above", 1.0), "gone": ("missing", "absent", 0.0)})
 
@@ -601,7 +601,7 @@ def l3_cql_to_promql(spark, d):
 
 
 @query("SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
-def s16_s17_federated(spark, d):
+def j12_s17_federated_join(spark, d):
     """One side from files, the other from a second catalogue's table."""
     path = f"{shared_dir(spark)}/brontide-catalogue-{uuid.uuid4().hex}"
     read(spark, d, "nation").write.json(path)

@@ -15,12 +15,11 @@ def t2_stream_tumbling(spark, d):
     return out.select(F.unix_micros("window_start").alias("window_start"), "event_type", "n", "high")
 
 
-@query("SELECT user_id, min(event_id) AS event_id FROM events GROUP BY 1")
+@query("SELECT DISTINCT user_id, event_type, epoch_us(date_trunc('day', ts)) AS day FROM events")
 def t14_stream_dedup(spark, d):
-    s = T.source(spark, d, "events").withColumn("user_id", F.col("user_id"))
-    out = T.finish(T.distinct(s.select("ts", "user_id"), "ts", ["user_id"], "60 days"))
-    first = spark.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg(F.min("event_id").alias("event_id"))
-    return out.select("user_id").distinct().join(first, "user_id")
+    """The rows that the stream keeps: one of each user, type and day."""
+    s = T.source(spark, d, "events").select("user_id", "event_type", F.date_trunc("day", "ts").alias("ts"))
+    return T.finish(T.distinct(s, "ts", ["user_id", "event_type", "ts"], "60 days")).select("user_id", "event_type", F.unix_micros("ts").alias("day"))
 
 
 @query("SELECT l.event_id AS left_id, r.event_id AS right_id FROM events l JOIN events r ON l.user_id = r.user_id AND l.event_type = 'click' AND r.event_type = 'error' AND l.ts BETWEEN r.ts - INTERVAL 10 MINUTE AND r.ts + INTERVAL 10 MINUTE")
@@ -30,8 +29,11 @@ def j4_stream_join(spark, d):
     return out.select(F.col("left_event_id").alias("left_id"), F.col("right_event_id").alias("right_id"))
 
 
-@query()
+@query("""WITH l AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= 3600000000000 THEN 1 ELSE 0 END AS new FROM p),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM l)
+SELECT user_id, min(ts) // 1000 AS window_start, (max(ts) + 3600000000000) // 1000 AS window_end, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + 3600000000000 <= (SELECT max(ts) FROM p)""")
 def t5_stream_sessions(spark, d):
+    """Append mode: the sessions that the watermark has passed."""
     s = T.source(spark, d, "events")
     out = T.finish(T.session(s, "ts", "1 hour", ["user_id"], [F.count(F.lit(1)).alias("n")]))
     return out.select(F.unix_micros("window_start").alias("window_start"), F.unix_micros("window_end").alias("window_end"), "user_id", "n")

@@ -9,6 +9,7 @@ from ..analytics import forecast as N
 from ..lang import promql
 from ..model import bucket, events, read
 from ..operators import graph, joins, series, sets, windows
+from ..operators.filters import logs
 from ..plans import views
 from ..plans.query import Agg, TSQuery
 from ..streaming import engine as T
@@ -92,10 +93,17 @@ def w14_changepoints(spark, d):
     return windows.changepoints(df, ["user_id"], 10, 12.345, ts="at").select("event_id")
 
 
-@query("""WITH l AS (SELECT user_id, ts, value, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS step FROM p)
-SELECT user_id, ts, 'gap' AS issue FROM l WHERE step > 86400000000000 UNION ALL SELECT user_id, ts, 'duplicate' FROM l WHERE step = 0""")
+@query("""WITH v AS (SELECT event_id, user_id, ts, CASE WHEN event_id % 97 = 0 THEN 'nan'::DOUBLE WHEN event_id % 89 = 0 THEN 'inf'::DOUBLE ELSE value END AS value FROM p),
+l AS (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS step FROM v),
+f AS (SELECT * FROM l WHERE NOT isnan(value) AND NOT isinf(value)),
+o AS (SELECT event_id, user_id, ts, value, avg(value) OVER w AS m, stddev_pop(value) OVER w AS s FROM f WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+z AS (SELECT user_id, avg(value) AS m, stddev_pop(value) AS s, count(*) AS n FROM f GROUP BY 1), k AS (SELECT user_id, avg(pow((value - m) / s, 3)) AS skew FROM f JOIN z USING (user_id) WHERE s > 0 GROUP BY 1)
+SELECT user_id, ts, 'nan' AS issue FROM l WHERE isnan(value) UNION ALL SELECT user_id, ts, 'infinite' FROM l WHERE isinf(value) UNION ALL SELECT user_id, ts, 'gap' FROM l WHERE step > 86400000000000
+UNION ALL SELECT user_id, ts, 'duplicate' FROM l WHERE step = 0 UNION ALL SELECT user_id, ts, 'outlier' FROM o WHERE s > 0 AND abs(value - m) > 3.0123 * s UNION ALL SELECT user_id, NULL, 'skewed' FROM k WHERE abs(skew) > 2.0123""")
 def w15_n15_quality_issues(spark, d):
-    return N.quality_issues(events(spark, d).df, ["user_id"], D, sigma=1e12)
+    i = F.col("event_id")
+    spoilt = F.when(i % 97 == 0, F.lit(float("nan"))).when(i % 89 == 0, F.lit(float("inf"))).otherwise(F.col("value"))
+    return N.quality_issues(events(spark, d).df.withColumn("value", spoilt), ["user_id"], D, sigma=3.0123, ties=["event_id"], skew=2.0123)
 
 
 @query("SELECT l.event_id, l.value, r.value AS right_value, coalesce(l.ts - r.ts, -1) AS age FROM (SELECT * FROM p WHERE event_type = 'click') l ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM p WHERE event_type = 'view' GROUP BY ALL) r ON l.user_id = r.user_id AND l.ts >= r.ts")
@@ -147,21 +155,16 @@ def j8_lookup_enrichment(spark, d):
     return joins.enrich(df.where("event_type = 'click'").select("event_id", "user_id"), df.where("event_type = 'view'").select("user_id", "value", "ts"), ["user_id"]).select("event_id", "lookup")
 
 
-@query("SELECT n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
-def j12_federated_join(spark, d):
-    o, c, n = (read(spark, d, t) for t in ("orders", "customer", "nation"))
-    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
-
-
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
 def j15_semi_join(spark, d):
     big = read(spark, d, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
     return sets.both(read(spark, d, "customer"), big, ["c_custkey"]).select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)")
 def j16_anti_join(spark, d):
-    return sets.unless(read(spark, d, "customer"), read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]).select("c_custkey")
+    big = read(spark, d, "orders").where("o_totalprice > 250000").select(F.col("o_custkey").alias("c_custkey"))
+    return sets.unless(read(spark, d, "customer"), big, ["c_custkey"]).select("c_custkey")
 
 
 @query("""WITH a AS (SELECT event_type, user_id, ts FROM p WHERE value > 100) SELECT l.event_type AS a, r.event_type AS b, count(*) AS n FROM a l JOIN a r ON l.user_id = r.user_id AND l.event_type < r.event_type AND abs(l.ts - r.ts) <= 3600000000000 GROUP BY ALL""")
@@ -297,23 +300,10 @@ def m4_bfs(spark, d):
     return graph.reach(edges, [1], 3)
 
 
-@query(f"""WITH q AS (SELECT event_id, user_id, ts, value > 30 AS inside, lag(value > 30, 1, false) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM p)
-SELECT event_id, CASE WHEN inside THEN 'enter' ELSE 'exit' END AS event FROM q WHERE inside <> before""")
-def m9_geofence_events(spark, d):
-    inside = F.col("value") > 30
-    df = events(spark, d).df.withColumn("inside", inside).withColumn("before", F.lag(inside, 1, False).over(_order()))
-    return df.where("inside != before").select("event_id", F.when(F.col("inside"), "enter").otherwise("exit").alias("event"))
-
-
-@query("SELECT conv_id, min(turn) AS started, count(*) AS turns FROM conversations WHERE role <> 'system' GROUP BY 1 HAVING count(*) >= 3")
-def m11_trace_lookup(spark, d):
-    return read(spark, d, "conversations").where("role != 'system'").groupBy("conv_id").agg(F.min("turn").alias("started"), F.count(F.lit(1)).alias("turns")).where("turns >= 3")
-
-
 @query("SELECT conv_id, turn, length(text) AS n FROM conversations WHERE role = 'user' AND contains(lower(text), 'the') ORDER BY n DESC, conv_id, turn LIMIT 25")
 def m2_log_query(spark, d):
-    logs = read(spark, d, "conversations").where((F.col("role") == "user") & F.contains(F.lower("text"), F.lit("the")))
-    return logs.select("conv_id", "turn", F.length("text").cast("long").alias("n")).orderBy(F.col("n").desc(), "conv_id", "turn").limit(25)
+    found = logs(read(spark, d, "conversations"), contains="The", tags={"role": "user"}, ts="turn", message="text")
+    return found.select("conv_id", "turn", F.length("text").cast("long").alias("n")).orderBy(F.col("n").desc(), "conv_id", "turn").limit(25)
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k')::DOUBLE AS k FROM p WHERE json_extract_string(props, '$.k')::DOUBLE >= 90 ORDER BY k DESC, event_id LIMIT 30")
@@ -325,14 +315,29 @@ def m1_o11_documents(spark, d):
     return df.select("event_id", json_path(F.col("props"), "k").cast("double").alias("k")).orderBy(F.col("k").desc(), "event_id").limit(30)
 
 
-@query()
+@query("""WITH RECURSIVE b AS (SELECT event_type, (ts // 86400000000000) AS day, avg(value) AS v FROM p GROUP BY ALL), o AS (SELECT event_type, v::DOUBLE AS v, row_number() OVER (PARTITION BY event_type ORDER BY day) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM b),
+s(event_type, k, l) AS (SELECT event_type, k, v FROM o WHERE k = 1 UNION ALL SELECT o.event_type, o.k, 0.3::DOUBLE * o.v + 0.7::DOUBLE * s.l FROM s JOIN o ON o.event_type = s.event_type AND o.k = s.k + 1),
+h(event_type, k, l, t) AS (SELECT a.event_type, 1::BIGINT, a.v, c.v - a.v FROM o a JOIN o c ON a.event_type = c.event_type AND a.k = 1 AND c.k = 2
+UNION ALL SELECT o.event_type, o.k, 0.3::DOUBLE * o.v + 0.7::DOUBLE * (h.l + h.t), 0.1::DOUBLE * (0.3::DOUBLE * o.v + 0.7::DOUBLE * (h.l + h.t) - h.l) + 0.9::DOUBLE * h.t FROM h JOIN o ON o.event_type = h.event_type AND o.k = h.k + 1),
+m AS (SELECT event_type, avg(v) AS a FROM o WHERE k > n - 5 GROUP BY 1), g AS (SELECT unnest([1, 2, 3])::BIGINT AS step)
+SELECT o.event_type, step, 'simple' AS method, round(l, 5) AS forecast FROM s JOIN o USING (event_type, k), g WHERE k = n
+UNION ALL SELECT o.event_type, step, 'holt', round(l + step * t, 5) FROM h JOIN o USING (event_type, k), g WHERE k = n
+UNION ALL SELECT event_type, step, 'moving_average', round(a, 5) FROM m, g""")
 def n1_n4_smoothing_forecasts(spark, d):
     daily = events(spark, d).df.groupBy("event_type", bucket(F.col("ts"), D).alias("ts")).agg(F.avg("value").alias("value"))
-    out = None
-    for m in ("simple", "holt", "holt_winters", "moving_average"):
-        part = N.forecast(daily, ["event_type"], m, 3, period=7).withColumn("method", F.lit(m))
-        out = part if out is None else out.unionByName(part)
-    return rounded(out, "forecast")
+    parts = [N.forecast(daily, ["event_type"], m, 3).withColumn("method", F.lit(m)) for m in ("simple", "holt", "moving_average")]
+    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]), "forecast", digits=5)
+
+
+@query("""WITH RECURSIVE b AS (SELECT event_type, (ts // 86400000000000) AS day, avg(value) AS v FROM p GROUP BY ALL), o AS (SELECT event_type, v::DOUBLE AS v, row_number() OVER (PARTITION BY event_type ORDER BY day) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM b),
+i AS (SELECT event_type, avg(v) FILTER (WHERE k <= 7) AS l, (avg(v) FILTER (WHERE k > 7 AND k <= 14) - avg(v) FILTER (WHERE k <= 7)) / 7 AS t, list(v ORDER BY k) FILTER (WHERE k <= 7) AS f FROM o GROUP BY 1),
+r(event_type, k, l, t, s) AS (SELECT event_type, 7::BIGINT, l, t, list_transform(f, lambda x: x / l) FROM i
+UNION ALL SELECT o.event_type, o.k, 0.3::DOUBLE * o.v / r.s[1] + 0.7::DOUBLE * (r.l + r.t), 0.1::DOUBLE * (0.3::DOUBLE * o.v / r.s[1] + 0.7::DOUBLE * (r.l + r.t) - r.l) + 0.9::DOUBLE * r.t,
+list_append(r.s[2:7], 0.1::DOUBLE * o.v / (0.3::DOUBLE * o.v / r.s[1] + 0.7::DOUBLE * (r.l + r.t)) + 0.9::DOUBLE * r.s[1]) FROM r JOIN o ON o.event_type = r.event_type AND o.k = r.k + 1),
+g AS (SELECT unnest([1, 2, 3])::BIGINT AS step) SELECT o.event_type, step, round((l + step * t) * s[step], 5) AS forecast FROM r JOIN o USING (event_type, k), g WHERE k = n""")
+def n3_holt_winters(spark, d):
+    daily = events(spark, d).df.groupBy("event_type", bucket(F.col("ts"), D).alias("ts")).agg(F.avg("value").alias("value"))
+    return rounded(N.forecast(daily, ["event_type"], "holt_winters", 3, period=7), "forecast", digits=5)
 
 
 @query()
@@ -431,14 +436,6 @@ def t30_slo_status(spark, d):
     return rounded(T.slo(events(spark, d).df, ["event_type"], F.col("value") < 100, 0.99).select("event_type", "total", "good", "sli", "violated"), "sli", digits=9)
 
 
-@query("""WITH l AS (SELECT event_type, arg_max(value, (ts, event_id)) AS v FROM p GROUP BY 1)
-SELECT coalesce(max(v) FILTER (WHERE event_type = 'click') > 1, false) AS click_high, coalesce(max(v) FILTER (WHERE event_type = 'missing') > 1, false) AS absent, coalesce(max(v) FILTER (WHERE event_type = 'click') > 1 OR max(v) FILTER (WHERE event_type = 'error') > 500, false) AS any_high FROM l""")
-def t31_composite_alert(spark, d):
-    latest = events(spark, d).df.groupBy("event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("v"))
-    above = lambda k, x: F.coalesce(F.max(F.when(F.col("event_type") == k, F.col("v"))) > x, F.lit(False))
-    return latest.agg(above("click", 1).alias("click_high"), above("missing", 1).alias("absent"), (above("click", 1) | above("error", 500)).alias("any_high"))
-
-
 @query("""WITH w AS (SELECT 1 - count(*) FILTER (WHERE value < 60 AND ts >= 1706655600000000000) / greatest(count(*) FILTER (WHERE ts >= 1706655600000000000), 1) AS s, 1 - count(*) FILTER (WHERE value < 60) / count(*) AS l FROM p WHERE ts >= 1706572800000000000 AND ts < 1706659200000000000)
 SELECT round(s / 0.05, 6) AS short_burn, round(l / 0.05, 6) AS long_burn, s / 0.05 >= 1.5 AND l / 0.05 >= 1.5 AS alert FROM w""")
 def t32_burn_rate(spark, d):
