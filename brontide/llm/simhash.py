@@ -93,8 +93,8 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = slim if order.where("m > 1").isEmpty() else slim.dropDuplicates(_KEY)
     # at the following document: the part of it that the edited text takes
     at_next = order.select(*[F.col(k).alias(f"for_{k}") for k in _KEY], "n", *[F.col(f"n_{k}").alias(k) for k in _KEY])
-    heads = texts.join(at_next, _KEY).select(*[F.col(f"for_{k}").alias(k) for k in _KEY], F.substr("t", F.lit(1), F.floor(F.col("n") / 4).cast("int")).alias("head"))
-    known = texts.join(heads, _KEY).join(order.select(*_KEY, "n", "m"), _KEY)
+    heads = texts.join(at_next.hint("merge"), _KEY).select(*[F.col(f"for_{k}").alias(k) for k in _KEY], F.substr("t", F.lit(1), F.floor(F.col("n") / 4).cast("int")).alias("head"))
+    known = texts.join(heads.hint("merge"), _KEY).join(order.select(*_KEY, "n", "m").hint("merge"), _KEY)
     quarter = F.floor(F.col("n") / 4).cast("int")
     begin = F.substr("t", F.lit(1), (F.col("n") - quarter).cast("int"))
     # of rows that are alike the last one is followed by another document, the others by themselves
@@ -106,9 +106,9 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = materialise(rows, "prints")
     found = within(rows, rows.where((F.col("z") == 0) & (F.col("d") % EVERY == 0)), RADIUS)
     near = materialise(found.groupBy("q").agg((F.count(F.lit(1)) - 1).alias("n_near")), "near")
-    rows = rows.join(order, _KEY).join(near, F.col("fp") == F.col("q"), "left").drop("q")
+    rows = rows.join(order.hint("merge"), _KEY).join(near.hint("merge"), F.col("fp") == F.col("q"), "left").drop("q")
     other = materialise(rows.select(*_KEY, "fp"), "fps").select(*[F.col(k).alias(f"n_{k}") for k in _KEY], F.col("fp").alias("nfp"))
-    joined = rows.join(other, [f"n_{k}" for k in _KEY])
+    joined = rows.join(other.hint("merge"), [f"n_{k}" for k in _KEY])
     last = F.struct(F.col("esha").alias("sha"), F.col("efp").alias("e"), F.col("nfp").alias("o"))
     alike = F.struct(F.col("ssha").alias("sha"), F.col("sfp").alias("e"), F.col("fp").alias("o"))
     # copies in blocks, so that no array grows with their number
@@ -134,4 +134,4 @@ def within(prints: DataFrame, queries: DataFrame, radius: int = 3) -> DataFrame:
     block = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:], strict=False)]
     keys = F.array(*[F.struct(F.lit(k).alias("table"), block[i].alias("x"), block[j].alias("y")) for k, (i, j) in enumerate(combinations(range(n), 2))])
     table = lambda df, name: df.select("fp").distinct().select(F.col("fp").alias(name), F.explode(keys).alias("key"))
-    return table(queries, "q").join(table(prints, "p"), "key").where(F.bit_count(F.col("q").bitwiseXOR(F.col("p"))) <= radius).select("q", F.col("p").alias("fp")).distinct()
+    return table(queries, "q").join(table(prints, "p").hint("merge"), "key").where(F.bit_count(F.col("q").bitwiseXOR(F.col("p"))) <= radius).select("q", F.col("p").alias("fp")).distinct()
