@@ -77,6 +77,28 @@ def private_sum(df: DataFrame, keys: Sequence[str], value: str, epsilon: float,
     return out.select(*keys, (F.col("_s") + noise).alias("noisy"))
 
 
+def cardinality(df: DataFrame, keys: Sequence[str], series: Sequence[str], limit: int) -> DataFrame:
+    """(keys, series, points, over): distinct series and rows, and whether the series exceed a limit."""
+    n = F.count_distinct(*[F.col(c) for c in series])
+    return df.groupBy(*keys).agg(n.alias("series"), F.count(F.lit(1)).alias("points"), (n > limit).alias("over"))
+
+
+def inverted_index(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(token, id, places): a row per token and document, to be written partitioned or bucketed by token."""
+    from ..functions.scalars import tokens
+
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: F.length(x) >= 2)
+    each = df.select(F.col(id_col).alias("id"), words.alias("w"), F.explode(tokens(F.col(text))).alias("token"))
+    return each.select("token", "id", F.size(F.filter("w", lambda x: x == F.col("token"))).alias("places"))
+
+
+def search_all(index: DataFrame, words: Sequence[str]) -> DataFrame:
+    """(id, places): documents that hold every word."""
+    wanted = sorted({w.lower() for w in words})
+    hits = index.where(F.col("token").isin(*wanted)).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("places").alias("places"))
+    return hits.where(F.col("n") == len(wanted)).select("id", "places")
+
+
 def find_nodes(nodes: DataFrame, type_: str | None = None, **labels) -> DataFrame:
     """Nodes of a type whose columns hold the given labels."""
     wanted = [F.col(k) == F.lit(v) for k, v in labels.items()] + ([F.col("type") == type_] if type_ else [])

@@ -66,6 +66,24 @@ def count_windows(df: DataFrame, keys: Sequence[str], size: int, order: Sequence
     return running(df, keys, F.lit(1), "_n", order[0], order[1:]).withColumn("window_no", F.floor((F.col("_n") - 1) / size)).drop("_n")
 
 
+def centred(function: Column, keys: Sequence[str], half: int, ts: str = "ts") -> Column:
+    """An aggregate over the rows of the key at most ``half`` before or after in time."""
+    return function.over(Window.partitionBy(*keys).orderBy(ts).rangeBetween(-half, half))
+
+
+def cumulative(df: DataFrame, keys: Sequence[str], value: str, ts: str = "ts", ties: Sequence[str] = ()) -> DataFrame:
+    """Adds ``total`` and ``n``: the sum and count of the key's rows so far, in periods (see ``series``)."""
+    return running(running(df, keys, F.col(value), "total", ts, ties), keys, F.lit(1), "n", ts, ties)
+
+
+def fresh(df: DataFrame, keys: Sequence[str], lookback: int, at: int | None = None, ts: str = "ts") -> DataFrame:
+    """Rows at most ``lookback`` older than ``at``, or than the key's newest row: what is not stale."""
+    if at is not None:
+        return df.where((F.col(ts) > at - lookback) & (F.col(ts) <= at))
+    newest = df.groupBy(*keys).agg(F.max(ts).alias("_newest"))
+    return df.join(newest, list(keys)).where(F.col(ts) >= F.col("_newest") - lookback).drop("_newest")
+
+
 def fence_events(df: DataFrame, keys: Sequence[str], inside: Column, ts: str = "ts", ties: Sequence[str] = ()) -> DataFrame:
     """Rows where a key enters or leaves an area, with ``event``; before its first row a key is outside."""
     linked = neighbours(df.withColumn("_in", inside), keys, ts, ties, ["_in"])

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+import time
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,6 +84,70 @@ def parse(text: str) -> tuple[str, View | str]:
     return verb, View(m[2], q.metric, q.window or 60 * 10**9, q.group_by, q.where)
 
 
+class Catalogue:
+    """Continuous aggregates by name, kept as Parquet folders; statements create, drop, alter and refresh them, queries use what fits."""
+
+    def __init__(self, spark: SparkSession, tables: dict[str, Points], folder: str) -> None:
+        self.spark, self.tables, self.folder = spark, tables, folder
+        self.views: dict[str, View] = {}
+
+    def path(self, name: str) -> str:
+        return f"{self.folder}/{name}"
+
+    def execute(self, text: str) -> None:
+        verb, what = parse(text)
+        name = what if isinstance(what, str) else what.name
+        if verb == "create":
+            if name in self.views:
+                raise ValueError(f"{name} exists")
+            self.views[name] = what
+        elif name not in self.views:
+            raise ValueError(f"no aggregate {name}")
+        elif verb == "drop":
+            del self.views[name]
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            return
+        else:
+            self.views[name] = replace(self.views[name], window=what.window)
+        refresh(self.spark, self.views[name], self.tables[self.views[name].source], self.path(name))
+
+    def stored(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(self.path(name)).drop("date")
+
+    def query(self, q: TSQuery) -> DataFrame:
+        """Answered from the coarsest view that fits, else from the source."""
+        fitting = [v for v in self.views.values() if answers(v, q)]
+        if not fitting:
+            return plan(q, self.tables)
+        best = max(fitting, key=lambda v: v.window)
+        return answer(best, self.stored(best.name), q)
+
+
+class Cache:
+    """Results of queries by text, kept for a time and dropped when their metric is written; at most ``size`` of them."""
+
+    def __init__(self, size: int = 100, seconds: float = 60.0, clock=time.monotonic) -> None:
+        self.size, self.seconds, self.clock = size, seconds, clock
+        self.kept: dict[str, tuple[float, str, DataFrame]] = {}
+
+    def get(self, text: str, metric: str, make) -> DataFrame:
+        found = self.kept.pop(text, None)
+        if found and self.clock() - found[0] <= self.seconds:
+            self.kept[text] = found  # used last
+            return found[2]
+        if found:
+            found[2].unpersist()
+        self.kept[text] = (self.clock(), metric, make().persist())
+        while len(self.kept) > self.size:
+            self.kept.pop(next(iter(self.kept)))[2].unpersist()
+        return self.kept[text][2]
+
+    def invalidate(self, metric: str) -> None:
+        for text in [t for t, x in self.kept.items() if x[1] == metric]:
+            self.kept.pop(text)[2].unpersist()
+
+
 def cycles(needs: dict[str, list[str]]) -> list[str] | None:
     """A cycle among views that read each other, or None."""
     done: set[str] = set()

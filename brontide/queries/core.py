@@ -257,14 +257,6 @@ def a30_holt_winters(spark, d):
     return events(spark, d).between(None, T0 + 7 * D).df.groupBy("user_id").agg(F.round(A.holt_winters(s, 0.3, 0.1), 5).alias("smoothed"))
 
 
-@query("""WITH m AS (SELECT event_type, max(ts) AS newest FROM p GROUP BY 1)
-SELECT p.event_id FROM p JOIN m USING (event_type) WHERE p.ts >= m.newest - 3600000000000""")
-def a31_staleness(spark, d):
-    df = events(spark, d).df
-    newest = df.groupBy("event_type").agg(F.max("ts").alias("newest"))
-    return df.join(newest, "event_type").where(F.col("ts") >= F.col("newest") - H).select("event_id")
-
-
 _EDGES = [5.0, 10.0, 20.0, 50.0, 100.0, 200.0]
 
 

@@ -608,3 +608,87 @@ def j12_s17_federated_join(spark, d):
     nations = spark.read.schema("n_nationkey int, n_name string, n_regionkey int").json(path)
     return read(spark, d, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count(F.lit(1)).alias("n"))
 
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN 1800000000000 PRECEDING AND 1800000000000 FOLLOWING) AS n FROM p")
+def t4_centred_sliding(spark, d):
+    return events(spark, d).df.select("event_id", windows.centred(F.count(F.lit(1)), ["user_id"], 1800 * 10**9).alias("n"))
+
+
+@query("SELECT event_id, round(sum(value) OVER w + 1e-7, 4) AS total, count(*) OVER w AS n FROM p WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
+def t15_running_aggregates(spark, d):
+    return windows.cumulative(events(spark, d).df, ["user_id"], "value", "ts", ["event_id"]).select("event_id", F.round(F.col("total") + 1e-7, 4).alias("total"), F.col("n").cast("long").alias("n"))
+
+
+@query("""WITH m AS (SELECT event_type, max(ts) AS newest FROM p GROUP BY 1)
+SELECT p.event_id FROM p JOIN m USING (event_type) WHERE p.ts >= m.newest - 300000000000""")
+def a31_staleness(spark, d):
+    return windows.fresh(events(spark, d).df, ["event_type"], 300 * 10**9).select("event_id")
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS series, count(*) AS points, count(DISTINCT user_id) > 100 AS over FROM p GROUP BY 1")
+def n16_cardinality(spark, d):
+    return features.cardinality(events(spark, d).df, ["event_type"], ["user_id"], 100)
+
+
+@query("""WITH t AS (SELECT item_id, regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+') AS w FROM benchmark)
+SELECT item_id AS id, (len(list_filter(w, lambda x: x = 'the')) + len(list_filter(w, lambda x: x = 'of')))::BIGINT AS places FROM t WHERE list_contains(w, 'the') AND list_contains(w, 'of')""")
+def x23_inverted_index(spark, d):
+    index = features.inverted_index(read(spark, d, "benchmark"), "item_id", "text")
+    return features.search_all(index, ["The", "of"])
+
+
+@query("SELECT count(*) AS written, (SELECT count(*) FROM p WHERE event_id % 10 = 3 OR event_id % 10 = 4 OR event_id % 10 = 5) AS refused FROM p WHERE event_id % 10 NOT IN (3, 4, 5)")
+def s21_accepted_writes(spark, d):
+    k = F.col("event_id") % 10
+    tag = F.create_map(F.when(k == 4, F.lit("bad key")).otherwise(F.lit("user")), F.col("user_id").cast("string"))
+    points = events(spark, d).df.select(F.when(k == 3, F.lit("1bad")).otherwise(F.col("event_type")).alias("metric"), tag.alias("tags"), F.when(k == 5, F.lit(float("nan"))).otherwise(F.col("value")).alias("value"), "ts")
+    good, bad = ingest.accepted(points)
+    both = good.select(F.lit(1).alias("g")).unionByName(bad.select(F.lit(0).alias("g")))
+    return both.agg(F.sum("g").alias("written"), F.sum(1 - F.col("g")).alias("refused"))
+
+
+@query("SELECT (ts // 14400000000000) * 14400000000000 AS bucket, event_type, count(*)::DOUBLE AS n FROM p GROUP BY ALL")
+def v4_v6_catalogue(spark, d):
+    """A view made, altered and used by statements."""
+    c = views.Catalogue(spark, {"events": events(spark, d)}, f"{shared_dir(spark)}/brontide-views-{uuid.uuid4().hex}")
+    c.execute("CREATE CONTINUOUS AGGREGATE hourly AS SELECT sum(value) FROM events GROUP BY event_type WINDOW 1h")
+    c.execute("CREATE CONTINUOUS AGGREGATE other AS SELECT sum(value) FROM events GROUP BY event_type WINDOW 3h")
+    c.execute("ALTER CONTINUOUS AGGREGATE hourly SET WINDOW 2h")
+    c.execute("DROP CONTINUOUS AGGREGATE other")
+    return c.query(TSQuery("events", [Agg("count", "n")], window=4 * H, group_by=["event_type"]))
+
+
+@query("SELECT event_type, count(*)::DOUBLE AS n FROM p GROUP BY 1")
+def v13_result_cache(spark, d):
+    """The second answer comes from the cache; after an invalidation it is computed again."""
+    cache, made = views.Cache(), []
+
+    def make():
+        made.append(1)
+        return plan(TSQuery("events", [Agg("count", "n")], group_by=["event_type"]), {"events": events(spark, d)})
+
+    first = cache.get("q", "events", make)
+    if cache.get("q", "events", make) is not first or len(made) != 1:
+        raise AssertionError("the cache should answer")
+    cache.invalidate("events")
+    return cache.get("q", "events", make)
+
+
+@query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM p),
+a AS (SELECT a.user_id, a.ts AS t0, (SELECT min(b.k) FROM o b WHERE b.user_id = a.user_id AND b.k > a.k AND b.event_type = 'error') AS kb FROM o a WHERE a.event_type = 'view')
+SELECT a.user_id, t0, b.ts AS t1 FROM a JOIN o b ON b.user_id = a.user_id AND b.k = a.kb WHERE b.ts - t0 <= 21600000000000""")
+def t25_pattern_statement(spark, d):
+    return dialect.matches(dialect.parse("PATTERN burst (view, error) WITHIN 6h"), events(spark, d).df, "user_id", "event_type")
+
+
+@query("SELECT event_type, count(*)::DOUBLE AS n FROM p WHERE ts >= 1704758400000000000 AND ts < 1705363200000000000 GROUP BY 1")
+def x14_clickhouse_times(spark, d):
+    text = "SELECT event_type, count() AS n FROM events WHERE time >= '2024-01-09T00:00:00Z' AND time < now() - INTERVAL 15 DAY GROUP BY event_type"
+    return Engine(spark, {"events": events(spark, d)}, now=T0 + 30 * D).query(text, lang="clickhouse")
+
+
+@query("SELECT event_type, sum(n)::BIGINT AS n FROM (SELECT event_type, count(*) AS n FROM p WHERE value > 10 GROUP BY 1) GROUP BY 1")
+def t20_t21_sql_pipeline(spark, d):
+    steps = [{"filter": "value > 10"}, {"with": {"hot": "value > 50"}}, {"select": ["event_type", "hot"]}, {"aggregate": {"n": "count(*)"}, "by": ["event_type"]}]
+    return T.Pipeline.build({"source": "events", "steps": steps}, {"events": events(spark, d).df})

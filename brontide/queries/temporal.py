@@ -372,11 +372,6 @@ def n14_welch_test(spark, d):
     return rounded(N.welch(events(spark, d).df.withColumn("side", side), "side"), "mean_a", "mean_b", "t", "cohens_d")
 
 
-@query("SELECT event_type, count(DISTINCT user_id) AS series, count(*) AS points, count(DISTINCT user_id) > 100 AS over FROM p GROUP BY 1")
-def n16_cardinality(spark, d):
-    return events(spark, d).df.groupBy("event_type").agg(F.count_distinct("user_id").alias("series"), F.count(F.lit(1)).alias("points"), (F.count_distinct("user_id") > 100).alias("over"))
-
-
 @query("SELECT (ts // 600000000000) * 600000000000 AS window_start, count(*) AS n, round(sum(value), 4) AS total, min(value) AS low, max(value) AS high FROM p GROUP BY 1")
 def t2_t9_tumbling(spark, d):
     return events(spark, d).df.groupBy(windows.tumbling(F.col("ts"), 10 * MIN).alias("window_start")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.min("value").alias("low"), F.max("value").alias("high"))
@@ -388,12 +383,6 @@ def t3_hopping(spark, d):
     return events(spark, d).df.select(starts.alias("window_start")).groupBy("window_start").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN 1800000000000 PRECEDING AND 1800000000000 FOLLOWING) AS n FROM p")
-def t4_centred_sliding(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts").rangeBetween(-30 * MIN, 30 * MIN)
-    return events(spark, d).df.select("event_id", F.count(F.lit(1)).over(w).alias("n"))
-
-
 @query("""WITH l AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > 3600000000000 THEN 1 ELSE 0 END AS new FROM p),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM l)
 SELECT user_id, k::BIGINT AS session, count(*) AS n, min(ts) AS started, max(ts) AS ended FROM s GROUP BY ALL""")
@@ -406,12 +395,6 @@ def t6_count_windows(spark, d):
     return windows.count_windows(events(spark, d).df, ["user_id"], 25, ["ts", "event_id"]).groupBy("user_id", "window_no").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
 
-@query("SELECT event_id, round(sum(value) OVER w, 4) AS total, count(*) OVER w AS n, max(value) OVER w AS high FROM p WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
-def t15_running_aggregates(spark, d):
-    w = _order().rowsBetween(Window.unboundedPreceding, 0)
-    return events(spark, d).df.select("event_id", F.round(F.sum("value").over(w), 4).alias("total"), F.count(F.lit(1)).over(w).alias("n"), F.max("value").over(w).alias("high"))
-
-
 @query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM p),
 a AS (SELECT a.user_id, a.k, a.ts AS t0, (SELECT min(b.k) FROM o b WHERE b.user_id = a.user_id AND b.k > a.k AND b.event_type = 'view') AS kb FROM o a WHERE a.event_type = 'click'),
 b AS (SELECT a.*, b.ts AS t1, (SELECT min(c.k) FROM o c WHERE c.user_id = a.user_id AND c.k > a.kb AND c.event_type = 'error') AS kc FROM a JOIN o b ON b.user_id = a.user_id AND b.k = a.kb)

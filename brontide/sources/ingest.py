@@ -131,6 +131,16 @@ def replay(df: DataFrame, start: int, end: int, speed: float, now: int, ts: str
     return df.where((F.col(ts) >= start) & (F.col(ts) < end)).withColumn("emit_at", F.lit(now) + F.floor((F.col(ts) - start) / float(speed)).cast("long"))
 
 
+def accepted(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(points to write, points refused with ``reason``): names and tag keys are checked, values must be numbers."""
+    from ..functions.scalars import valid_metric, valid_tag_key
+
+    tags = F.forall(F.map_keys(F.coalesce("tags", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))), valid_tag_key)
+    reason = F.when(~valid_metric(F.col("metric")), "metric").when(~tags, "tag").when(F.col("value").isNull() | F.isnan("value") | (F.abs("value") == float("inf")), "value")
+    judged = points.withColumn("reason", reason)
+    return judged.where("reason is null").drop("reason"), judged.where("reason is not null")
+
+
 def archive(points: DataFrame, path: str, before: int, ts: str = "ts") -> DataFrame:
     """Writes rows older than ``before`` by day, and gives the rows that stay."""
     export(points.where(F.col(ts) < before), path, day_from=ts)

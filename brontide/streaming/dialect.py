@@ -165,6 +165,11 @@ def plan(q: Statement, tables: dict[str, DataFrame], ts: str = "ts") -> DataFram
     return out.where(q.having) if q.having else out
 
 
+def matches(p: Pattern, df: DataFrame, key: str, kind: str = "metric", ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """(key, t0, t1, ...): a PATTERN statement over rows whose column ``kind`` names the metric; times in nanoseconds."""
+    return engine.sequence(df, key, [F.col(kind) == s for s in p.steps], p.within, ts, tie)
+
+
 def mode(q: Statement) -> str:
     """The output mode that EMIT asks for; without a window only whole results can be emitted."""
     aggregated = any(fn for fn, _, _ in q.fields)
