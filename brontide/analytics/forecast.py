@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.series import neighbours
+from ..operators.series import in_blocks, neighbours
 
 
 def smooth(values: np.ndarray, alpha: float) -> np.ndarray:
@@ -102,8 +102,9 @@ def forecast(df: DataFrame, keys: Sequence[str], method: str = "trend_season", h
 
 def residual_anomalies(df: DataFrame, keys: Sequence[str], rows: int, threshold: float, value: str = "value", order: Sequence[str] = ("ts",)) -> DataFrame:
     """Rows further than ``threshold`` deviations from the mean of the ``rows`` before them."""
-    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-rows, -1)
-    out = df.withColumn("fitted", F.avg(value).over(before)).withColumn("spread", F.stddev_pop(value).over(before))
+    before = Window.partitionBy(*keys, "_block").orderBy("_n").rowsBetween(-rows, -1)
+    cut = in_blocks(df, keys, order[0], list(order[1:]), rows, 0)
+    out = cut.withColumn("fitted", F.avg(value).over(before)).withColumn("spread", F.stddev_pop(value).over(before)).where("_own").drop("_n", "_block", "_own")
     return out.where((F.col("spread") > 0) & (F.abs(F.col(value) - F.col("fitted")) > threshold * F.col("spread")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import bucket
+from ..shared import written
 
 DAY = 86_400 * 1_000_000_000
 
@@ -56,31 +57,29 @@ def within(left: DataFrame, right: DataFrame, keys: list[str], width: int, how:
     if width <= 0:
         raise ValueError("the width must be positive")
     l = left.select([F.col(c).alias(f"l_{c}") for c in left.columns])
-    r = right.select([F.col(c).alias(f"r_{c}") for c in right.columns]).withColumn("_b", F.floor(F.col(f"r_{ts}") / width))
-    spread = l.withColumn("_b", F.explode(F.sequence(F.floor(F.col(f"l_{ts}") / width) - 1, F.floor(F.col(f"l_{ts}") / width) + 1)))
-    on = (spread["_b"] == r["_b"]) & (F.abs(F.col(f"l_{ts}") - F.col(f"r_{ts}")) <= width)
+    r = right.select([F.col(c).alias(f"r_{c}") for c in right.columns])
+    lkeys, rkeys = l.columns, r.columns
+    if how != "inner":  # numbered and written once, so that rows without partner are found by number and pairs are formed once
+        l, r = (written(side.withColumn(name, F.monotonically_increasing_id()), "side") for side, name in ((l, "_l"), (r, "_r")))
+    at = F.floor(F.col(f"l_{ts}") / width)
+    spread = l.withColumn("_b", F.explode(F.sequence(at - 1, at + 1)))
+    cells = r.withColumn("_b", F.floor(F.col(f"r_{ts}") / width))
+    on = (spread["_b"] == cells["_b"]) & (F.abs(F.col(f"l_{ts}") - F.col(f"r_{ts}")) <= width)
     for k in keys:
         on = on & (F.col(f"l_{k}") == F.col(f"r_{k}"))
-    pairs = spread.join(r, on).drop("_b")
+    pairs = spread.join(cells, on).drop("_b")
     if how == "inner":
         return pairs
-    none = lambda df, prefix: [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema if f.name.startswith(prefix)]
-    lkeys = l.columns
-    rkeys = [c for c in r.columns if c != "_b"]
-    out = pairs
+    pairs = written(pairs, "pairs")
+    none = lambda df, prefix: [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns if c.startswith(prefix)]
+    out = pairs.select(*lkeys, *rkeys)
     if how in ("left", "full"):
-        out = out.unionByName(_unmatched(l, pairs, lkeys).select(*lkeys, *none(r, "r_")))
+        out = out.unionByName(l.join(pairs.select("_l"), "_l", "left_anti").select(*lkeys, *none(r, "r_")))
     if how in ("right", "full"):
-        out = out.unionByName(_unmatched(r.drop("_b"), pairs, rkeys).select(*none(l, "l_"), *rkeys))
+        out = out.unionByName(r.join(pairs.select("_r"), "_r", "left_anti").select(*none(l, "l_"), *rkeys))
     return out
 
 
-def _unmatched(side: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of a side that no pair holds."""
-    seen = pairs.select(F.struct(*columns).alias("_seen")).distinct()
-    return side.withColumn("_row", F.struct(*columns)).join(seen, F.col("_row").eqNullSafe(F.col("_seen")), "left_anti").drop("_row")
-
-
 def enrich(points: DataFrame, lookup: DataFrame, keys: list[str], value: str = "value", ts: str = "ts", name: str = "lookup") -> DataFrame:
     """The latest value of the lookup series per key as a text tag with four decimals."""
     latest = lookup.groupBy(*keys).agg(F.max_by(value, ts).alias("_v"))

@@ -101,3 +101,32 @@ def exponential_average(df: DataFrame, keys: Sequence[str], alpha: float, value:
     starts = ends.select(*keys, F.posexplode(F.aggregate("_z", F.array(F.col("_first").cast("double")), fold)).alias("_b", "_start"))
     each = own.join(starts, [*keys, "_b"]).select(*keys, "_start", F.posexplode(F.arrays_zip("_s", "_e")).alias("_i", "_r"))
     return each.select(*keys, F.col("_r._s.k").cast("long").alias("k"), (F.col("_r._e") + F.pow(F.lit(1 - alpha), F.col("_i") + 1) * F.col("_start")).alias("ema"))
+
+
+def in_blocks(df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str], before: int, after: int, block: int = 1 << 16) -> DataFrame:
+    """The rows with ``_n`` (their number in the series), ``_block`` and ``_own``, for windows of ``before`` rows back and ``after`` ahead.
+
+    A series is cut into blocks of rows; rows near a block's edges are copied to the next
+    block (``_own`` false), so a window over (keys, _block) sees all that its own rows reach.
+    """
+    numbered = running(df, keys, F.lit(1), "_n", ts, ties)
+    at, b = (F.col("_n") - 1) % block, F.floor((F.col("_n") - 1) / block)
+    copy = lambda where, to: F.when(where, F.struct(to.cast("long").alias("b"), F.lit(False).alias("o")))
+    places = F.array(F.struct(b.cast("long").alias("b"), F.lit(True).alias("o")), copy((at < after) & (b > 0), b - 1), copy(at >= block - before, b + 1))
+    return numbered.withColumn("_z", F.explode(F.filter(places, lambda x: x.isNotNull()))).withColumns({"_block": F.col("_z.b"), "_own": F.col("_z.o")}).drop("_z")
+
+
+def known_around(df: DataFrame, keys: Sequence[str], ts: str, value: str, period: int = PERIOD) -> DataFrame:
+    """Adds ``_a`` and ``_b``: time and value (t, v) of the last known row up to each row and of the first one from it on; nulls are unknown."""
+    known = F.when(F.col(value).isNotNull(), F.struct(F.col(ts).alias("t"), F.col(value).alias("v")))
+    part = df.withColumn("_p", bucket(F.col(ts), period)).withColumn("_k", known)
+    inside = Window.partitionBy(*keys, "_p").orderBy(ts)
+    out = part.withColumn("_a", F.last("_k", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    out = out.withColumn("_b", F.first("_k", ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing)))
+    ends = part.groupBy(*keys, "_p").agg(F.max_by("_k", F.when(F.col("_k").isNotNull(), F.col(ts))).alias("_e"), F.min_by("_k", F.when(F.col("_k").isNotNull(), F.col(ts))).alias("_f"))
+    across = Window.partitionBy(*keys).orderBy("_p")
+    carry = ends.select(
+        *keys, "_p", F.last("_e", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_c"), F.first("_f", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_d")
+    )
+    both = out.alias("a").join(carry.alias("b"), _same([*keys, "_p"]))
+    return both.select(*[F.col(f"a.{c}") for c in df.columns], F.coalesce("a._a", "b._c").alias("_a"), F.coalesce("a._b", "b._d").alias("_b"))

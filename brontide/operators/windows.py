@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import bucket
-from .series import neighbours, running
+from .series import in_blocks, known_around, neighbours, running
 
 
 def tumbling(ts: Column, size: int) -> Column:
@@ -96,21 +96,17 @@ def moving(function: Column, keys: Sequence[str], order: Sequence[str], rows: in
     return function.over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(rows - 1), 0))
 
 
-def interpolated(value: str, keys: Sequence[str], ts: str) -> Column:
+def interpolated(df: DataFrame, keys: Sequence[str], value: str = "value", ts: str = "bucket") -> DataFrame:
     """Nulls become the straight line between the known neighbours; at the ends they stay."""
-    before = Window.partitionBy(*keys).orderBy(ts).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy(*keys).orderBy(ts).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    known = F.when(F.col(value).isNotNull(), F.struct(F.col(ts).alias("t"), F.col(value).alias("v")))
-    a, b = F.last(known, ignorenulls=True).over(before), F.first(known, ignorenulls=True).over(after)
+    a, b = F.col("_a"), F.col("_b")
     line = a["v"] + (b["v"] - a["v"]) * (F.col(ts) - a["t"]) / F.when(b["t"] > a["t"], b["t"] - a["t"])
-    return F.coalesce(F.col(value), line)
+    return known_around(df, keys, ts, value).withColumn(value, F.coalesce(F.col(value), line)).drop("_a", "_b")
 
 
-def changepoints(df: DataFrame, keys: Sequence[str], half: int, threshold: float, value: str = "value", ts: str = "ts") -> DataFrame:
+def changepoints(df: DataFrame, keys: Sequence[str], half: int, threshold: float, value: str = "value", ts: str = "ts", ties: Sequence[str] = ()) -> DataFrame:
     """Rows where the slopes over the ``half`` rows before and after differ by more than the threshold."""
-    order = Window.partitionBy(*keys).orderBy(ts)
-    n = F.row_number().over(order)
-    numbered = df.withColumn("_n", n.cast("double"))
-    slope = lambda a, b: F.regr_slope(value, "_n").over(order.rowsBetween(a, b))
-    out = numbered.withColumn("slope_before", slope(-half + 1, 0)).withColumn("slope_after", slope(1, half))
-    return out.where(F.abs(F.col("slope_after") - F.col("slope_before")) > threshold).drop("_n")
+    order = Window.partitionBy(*keys, "_block").orderBy("_n")
+    numbered = in_blocks(df, keys, ts, ties, half, half).withColumn("_x", F.col("_n").cast("double"))
+    slope = lambda a, b: F.regr_slope(value, "_x").over(order.rowsBetween(a, b))
+    out = numbered.withColumn("slope_before", slope(-half + 1, 0)).withColumn("slope_after", slope(1, half)).where("_own")
+    return out.where(F.abs(F.col("slope_after") - F.col("slope_before")) > threshold).drop("_n", "_x", "_block", "_own")

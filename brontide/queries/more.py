@@ -11,7 +11,7 @@ from ..functions import scalars as X
 from ..lang import promql, sql
 from ..lang.others import Engine, builder_sql, to_promql
 from ..model import Points, bucket, events, read
-from ..operators import features, filters, histograms, sets, windows
+from ..operators import features, filters, graph, histograms, sets, windows
 from ..plans import views
 from ..plans.query import Agg, TSQuery, plan
 from ..shared import shared_dir, written
@@ -692,3 +692,56 @@ def x14_clickhouse_times(spark, d):
 def t20_t21_sql_pipeline(spark, d):
     steps = [{"filter": "value > 10"}, {"with": {"hot": "value > 50"}}, {"select": ["event_type", "hot"]}, {"aggregate": {"n": "count(*)"}, "by": ["event_type"]}]
     return T.Pipeline.build({"source": "events", "steps": steps}, {"events": events(spark, d).df})
+
+
+@query("""WITH b AS (SELECT user_id::VARCHAR AS user_id, (ts // 21600000000000) * 21600000000000 AS bucket, count(*)::DOUBLE AS v FROM p GROUP BY ALL),
+k AS (SELECT *, lead(bucket) OVER (PARTITION BY user_id ORDER BY bucket) AS n FROM b), g AS (SELECT user_id, bucket AS t, v, unnest(range(bucket, coalesce(n, bucket + 1), 21600000000000)) AS bucket FROM k)
+SELECT user_id, bucket, CASE WHEN bucket = t THEN v ELSE 0 END AS count FROM g""")
+def w11_gap_fill_zero(spark, d):
+    return Engine(spark, {"events": events(spark, d)}, tie="event_id").query("SELECT count(*) FROM events GROUP BY user_id WINDOW 6h GAP_FILL zero")
+
+
+@query("SELECT epoch_us((date_trunc('day', to_timestamp(ts / 1e9) AT TIME ZONE 'Asia/Kolkata')) AT TIME ZONE 'Asia/Kolkata') * 1000 AS bucket, event_type, count(*)::DOUBLE AS n FROM p GROUP BY ALL")
+def w12_align_zone(spark, d):
+    start = windows.calendar(F.col("ts"), "day", "Asia/Kolkata")
+    return events(spark, d).df.groupBy(start.alias("bucket"), "event_type").agg(F.count(F.lit(1)).cast("double").alias("n"))
+
+
+@query("SELECT event_id, value FROM p WHERE value > 50 AND event_type <> 'error'")
+def f13_streaming_where(spark, d):
+    q = dialect.parse("SELECT event_id, value FROM events WHERE value > 50 AND event_type <> 'error'")
+    return T.finish(dialect.plan(q, {"events": T.source(spark, d, "events")}), dialect.mode(q))
+
+
+@query("SELECT DISTINCT node, neighbour FROM (SELECT c_custkey AS node, c_nationkey::BIGINT AS neighbour FROM customer WHERE c_custkey <= 20 UNION ALL SELECT c_nationkey, c_custkey FROM customer WHERE c_nationkey <= 20) WHERE node <= 20")
+def m3_neighbours_both(spark, d):
+    edges = read(spark, d, "customer").select(F.col("c_custkey").alias("src"), F.col("c_nationkey").cast("long").alias("dst"))
+    return graph.neighbours(edges, spark.range(0, 21).toDF("node"), "both")
+
+
+@query("""WITH q AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS q FROM embeddings WHERE vec_id = 0), e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)
+SELECT vec_id, round(1 - list_cosine_similarity(e, q), 6) AS cosine, round(list_dot_product(e, q), 6) AS dot FROM e, q ORDER BY 2, 1 LIMIT 10""")
+def o8_knn_cosine(spark, d):
+    rows = read(spark, d, "embeddings")
+    q = F.array(*[F.lit(float(x)) for x in rows.where("vec_id = 0").first()["embedding"]])
+    out = rows.select("vec_id", F.round(X.cosine_distance(F.col("embedding"), q), 6).alias("cosine"), F.round(X.dot(F.col("embedding"), q), 6).alias("dot"))
+    return out.orderBy("cosine", "vec_id").limit(10)
+
+
+@query("""WITH b AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders), o AS (SELECT k, CASE WHEN k % 5 = 0 THEN v + 10 ELSE v END AS v FROM b), t AS (SELECT k, CASE WHEN k % 3 = 0 THEN v + 20 ELSE v END AS v FROM b),
+j AS (SELECT b.k, b.v AS b, o.v AS o, t.v AS t FROM b JOIN o USING (k) JOIN t USING (k)), s AS (SELECT unnest(['ours', 'theirs', 'max', 'min']) AS how)
+SELECT how, k, round(CASE WHEN o = b THEN t WHEN t = b OR o = t THEN o WHEN how = 'ours' THEN o WHEN how = 'theirs' THEN t WHEN how = 'max' THEN greatest(o, t) ELSE least(o, t) END, 2) AS v, (o <> b AND t <> b AND o <> t) AS conflict FROM j, s""")
+def u7_merge_strategies(spark, d):
+    b = read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
+    ours, theirs = (b.withColumn("v", F.when(F.col("k") % n == 0, F.col("v") + x).otherwise(F.col("v"))) for n, x in ((5, 10), (3, 20)))
+    parts = [sets.merge(b, ours, theirs, ["k"], "v", how).select(F.lit(how).alias("how"), "k", F.round("v", 2).alias("v"), "conflict") for how in ("ours", "theirs", "max", "min")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query("SELECT 'load' AS metric, event_type AS kind, value, ts FROM p")
+def s11_otlp_json(spark, d):
+    attribute = F.struct(F.lit("kind").alias("key"), F.struct(F.col("event_type").alias("stringValue")).alias("value"))
+    point = F.struct(F.array(attribute).alias("attributes"), F.col("ts").cast("string").alias("timeUnixNano"), F.col("value").alias("asDouble"))
+    metric = F.struct(F.lit("load").alias("name"), F.struct(F.array(point).alias("dataPoints")).alias("gauge"))
+    doc = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.array(metric).alias("metrics"))).alias("scopeMetrics"))).alias("resourceMetrics")))
+    return ingest.otlp_json(events(spark, d).df.select(doc.alias("value"))).select("metric", F.col("tags.kind").alias("kind"), "value", "ts")

@@ -39,8 +39,15 @@ def t5_stream_sessions(spark, d):
     return out.select(F.unix_micros("window_start").alias("window_start"), F.unix_micros("window_end").alias("window_end"), "user_id", "n")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'error' THEN 2 ELSE -1 END AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r(user_id, k, at_, begun, hit, ended) AS (SELECT DISTINCT user_id, 0::BIGINT, 0, 0.0::DOUBLE, false, 0.0::DOUBLE FROM o UNION ALL
+SELECT user_id, k, CASE WHEN s <> a THEN a WHEN a = 2 THEN 0 ELSE a + 1 END, CASE WHEN s = a AND a = 0 THEN t ELSE begun END, s = a AND a = 2, t
+FROM (SELECT o.user_id, o.k, o.s, o.t, r.begun, CASE WHEN r.at_ > 0 AND o.t - r.begun > 86400 THEN 0 ELSE r.at_ END AS a FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1))
+SELECT user_id AS key, round(begun, 3) AS begun, round(ended, 3) AS ended FROM r WHERE hit""")
 def t23_stream_pattern(spark, d):
     step = F.when(F.col("event_type") == "click", 0).when(F.col("event_type") == "view", 1).when(F.col("event_type") == "error", 2).otherwise(-1)
     s = T.source(spark, d, "events").withColumn("step", step)
-    return T.finish(T.sequence_stream(s, "user_id", "ts", "step", 3, 86_400.0))
+    out = T.finish(T.sequence_stream(s, "user_id", "ts", "step", 3, 86_400.0))
+    return out.select("key", F.round("begun", 3).alias("begun"), F.round("ended", 3).alias("ended"))
+
+

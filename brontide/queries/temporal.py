@@ -41,7 +41,7 @@ SELECT user_id, bucket, round(CASE WHEN bucket = t THEN v ELSE v + (x - v) * (bu
 def w6_interpolate(spark, d):
     b = events(spark, d).df.groupBy("user_id", bucket(F.col("ts"), H).alias("bucket")).agg(F.avg("value").alias("value"))
     grid = windows.gap_fill(b, ["user_id"], H, method="null")
-    return grid.select("user_id", "bucket", F.round(windows.interpolated("value", ["user_id"], "bucket") + 1e-9, 5).alias("value"))
+    return windows.interpolated(grid, ["user_id"]).select("user_id", "bucket", F.round(F.col("value") + 1e-9, 5).alias("value"))
 
 
 @query("SELECT event_id, round((value - lag(value) OVER w) / nullif((ts - lag(ts) OVER w) / 1e9, 0), 6) AS change, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 4 PRECEDING), 6) AS ma FROM p WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
@@ -89,8 +89,7 @@ def w13_window_slide(spark, d):
 s AS (SELECT event_id, regr_slope(value, n) OVER (PARTITION BY user_id ORDER BY n ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS a, regr_slope(value, n) OVER (PARTITION BY user_id ORDER BY n ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS b FROM o)
 SELECT event_id FROM s WHERE abs(b - a) > 12.345 AND NOT isnan(a) AND NOT isnan(b)""")
 def w14_changepoints(spark, d):
-    df = events(spark, d).df.withColumn("at", F.struct("ts", "event_id"))
-    return windows.changepoints(df, ["user_id"], 10, 12.345, ts="at").select("event_id")
+    return windows.changepoints(events(spark, d).df, ["user_id"], 10, 12.345, ties=["event_id"]).select("event_id")
 
 
 @query("""WITH v AS (SELECT event_id, user_id, ts, CASE WHEN event_id % 97 = 0 THEN 'nan'::DOUBLE WHEN event_id % 89 = 0 THEN 'inf'::DOUBLE ELSE value END AS value FROM p),
@@ -340,10 +339,18 @@ def n3_holt_winters(spark, d):
     return rounded(N.forecast(daily, ["event_type"], "holt_winters", 3, period=7), "forecast", digits=5)
 
 
-@query()
+@query("""WITH b AS (SELECT event_type, ts // 3600000000000 AS h, count(*)::DOUBLE AS v FROM p GROUP BY ALL),
+o AS (SELECT event_type, v, row_number() OVER (PARTITION BY event_type ORDER BY h) - 1 AS t, count(*) OVER (PARTITION BY event_type) AS n, avg(v) OVER (PARTITION BY event_type) AS m FROM b),
+z AS (SELECT event_type, sum((v - m) * (v - m)) AS s FROM o GROUP BY 1), l AS (SELECT unnest(range(2, 169)) AS lag),
+a AS (SELECT x.event_type, lag, sum((x.v - x.m) * (y.v - y.m)) AS c FROM o x JOIN l ON lag <= least(x.n // 2, 168) JOIN o y ON y.event_type = x.event_type AND y.t = x.t - lag GROUP BY ALL),
+q AS (SELECT event_type, CASE WHEN max(c / s) >= 0.1 THEN arg_max(lag, (round(c / s, 12), -lag)) ELSE 4 END AS period FROM a JOIN z USING (event_type) GROUP BY 1),
+e AS (SELECT event_type, t % period AS ph, avg(v - m) AS s FROM o JOIN q USING (event_type) GROUP BY ALL),
+f AS (SELECT o.event_type, t, v - e.s AS f, n, period FROM o JOIN q USING (event_type) JOIN e ON e.event_type = o.event_type AND ph = t % period),
+g AS (SELECT event_type, regr_slope(f, t) AS k, regr_intercept(f, t) AS c, any_value(n) AS n, any_value(period) AS period FROM f GROUP BY 1), w AS (SELECT unnest(range(1, 25)) AS step)
+SELECT g.event_type, step, round(c + k * (n - 1 + step) + e.s, 5) AS forecast FROM g, w, e WHERE e.event_type = g.event_type AND ph = (n - 1 + step) % period""")
 def n6_trend_season_forecast(spark, d):
     hourly = events(spark, d).df.groupBy("event_type", bucket(F.col("ts"), H).alias("ts")).agg(F.count(F.lit(1)).cast("double").alias("value"))
-    return rounded(N.forecast(hourly, ["event_type"], horizon=24), "forecast")
+    return rounded(N.forecast(hourly, ["event_type"], horizon=24), "forecast", digits=5)
 
 
 @query("""SELECT event_id FROM (SELECT event_id, value, avg(value) OVER w AS m, stddev_pop(value) OVER w AS s FROM p WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) WHERE s > 0 AND abs(value - m) > 3.0123 * s""")

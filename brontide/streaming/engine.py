@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..model import bucket
+from ..operators.series import PERIOD
 from ..shared import shared_dir
 
 
@@ -68,17 +70,22 @@ def join_within(left: DataFrame, right: DataFrame, key: str, width: str, ts: str
     return l.join(r, on, how).withColumn("ts", F.greatest(f"left_{ts}", f"right_{ts}"))
 
 
-def sequence(df: DataFrame, key: str, steps: Sequence[Column], within: int, ts: str = "ts", tie: str = "event_id") -> DataFrame:
+def sequence(df: DataFrame, key: str, steps: Sequence[Column], within: int, ts: str = "ts", tie: str = "event_id", period: int = PERIOD) -> DataFrame:
     """Batch pattern matching: rows meeting the steps in order, others may lie between (skip till next match).
 
     One match for each row that meets the first step: for every further step the
     next row that meets it.  ``within`` counts from the first row.  (key, t0, t1, ...)
     """
-    after = Window.partitionBy(key).orderBy(ts, tie).rowsBetween(1, Window.unboundedFollowing)
-    df = df.withColumn("_next", F.array().cast("array<bigint>"))
+    df = df.withColumn("_p", bucket(F.col(ts), period)).withColumn("_next", F.array().cast("array<bigint>"))
+    after = Window.partitionBy(key, "_p").orderBy(ts, tie).rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(key).orderBy("_p").rowsBetween(1, Window.unboundedFollowing)
     for k in range(len(steps) - 1, 0, -1):
-        chain = F.concat(F.array(F.col(ts)), F.col("_next"))
-        df = df.withColumn("_next", F.first(F.when(steps[k] & F.col("_next").isNotNull(), chain), ignorenulls=True).over(after))
+        chain = F.when(steps[k] & F.col("_next").isNotNull(), F.concat(F.array(F.col(ts)), F.col("_next")))
+        # what a later period offers first, one row a key and period; within a period the next row that meets the step
+        heads = df.groupBy(key, "_p").agg(F.min_by(chain, F.when(chain.isNotNull(), F.struct(ts, tie))).alias("_h"))
+        heads = heads.select(F.col(key).alias("_key"), F.col("_p").alias("_q"), F.first("_h", ignorenulls=True).over(later).alias("_h"))
+        df = df.withColumn("_c", F.first(chain, ignorenulls=True).over(after))
+        df = df.join(heads, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_p") == F.col("_q"))).withColumn("_next", F.coalesce("_c", "_h")).drop("_c", "_h", "_key", "_q")
     out = df.where(steps[0] & F.col("_next").isNotNull()).where(F.element_at("_next", -1) - F.col(ts) <= within)
     return out.select(key, F.col(ts).alias("t0"), *[F.element_at("_next", k).alias(f"t{k}") for k in range(1, len(steps))])
 
