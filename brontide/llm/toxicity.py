@@ -63,28 +63,46 @@ def features(text: str) -> set[str]:
     return out
 
 
-def mine(rows: list[tuple[str, int]]) -> list[str]:
-    """The features that speak for one label, those for label 1 first, and all patterns."""
-    return _telling(rows, 1, FEATURES) + _telling(rows, 0, FEATURES // 4) + sorted(":" + k for k in PATTERNS)
-
-
-def _telling(rows: list[tuple[str, int]], label: int, most: int) -> list[str]:
+class Rows:
+    """Labelled texts as arrays of feature numbers, so that each text is read once, however often it is fitted."""
+
+    def __init__(self, rows: list[tuple[str, int]]) -> None:
+        number: dict[str, int] = {}
+        self.own = [np.array([number.setdefault(k, len(number)) for k in sorted(features(text))], np.int64) for text, _ in rows]
+        self.names = list(number)
+        self.labels = np.array([y for _, y in rows])
+
+    def counts(self, which: np.ndarray) -> np.ndarray:
+        """How many of the chosen rows have each feature."""
+        some = [self.own[i] for i in which]
+        return np.bincount(np.concatenate(some) if some else np.zeros(0, np.int64), minlength=len(self.names))
+
+    def votes(self, which: np.ndarray, chosen: list[int]) -> np.ndarray:
+        """0/1 [row, voter]."""
+        place = np.full(len(self.names) + 1, -1)
+        place[chosen] = np.arange(len(chosen))
+        out = np.zeros((len(which), len(chosen)))
+        for r, i in enumerate(which):
+            at = place[self.own[i]]
+            out[r, at[at >= 0]] = 1
+        return out
+
+
+def mine(rows: Rows, which: np.ndarray) -> list[int]:
+    """The features that speak for one label, those for label 1 first, and the patterns that occur."""
+    patterns = [i for i, k in enumerate(rows.names) if k[0] == ":"]
+    return _telling(rows, which, 1, FEATURES) + _telling(rows, which, 0, FEATURES // 4) + patterns
+
+
+def _telling(rows: Rows, which: np.ndarray, label: int, most: int) -> list[int]:
     """The features that speak for ``label``, the most telling first."""
-    n1 = sum(y == label for _, y in rows)
-    n0 = len(rows) - n1
-    ones: Counter = Counter()
-    for text, y in rows:
-        if y == label:
-            ones.update(features(text))
-    pool = {k for k, n in ones.items() if n >= 3}
-    zeros: Counter = Counter()
-    for text, y in rows:
-        if y != label:
-            zeros.update(pool & features(text))
-    rate = lambda k: ((ones[k] + 0.1) / (n1 + 1)) / ((zeros[k] + 0.1 * n0 / max(n1, 1)) / (n0 + 1))
+    for_it = rows.labels[which] == label
+    n1, n0 = int(for_it.sum()), int((~for_it).sum())
+    ones, zeros = rows.counts(which[for_it]), rows.counts(which[~for_it])
+    rate = ((ones + 0.1) / (n1 + 1)) / ((zeros + 0.1 * n0 / max(n1, 1)) / (n0 + 1))
     # at least three times as frequent, and more than chance would make it
-    chance = lambda k: ones[k] - (zeros[k] + 1) * n1 / (n0 + 1) - 1.6 * np.sqrt(ones[k])
-    good = {k for k in pool if k[0] != ":" and rate(k) > 3 and chance(k) > -1.5}
+    chance = ones - (zeros + 1) * n1 / (n0 + 1) - 1.6 * np.sqrt(ones)
+    good = {rows.names[i]: int(i) for i in np.flatnonzero((ones >= 3) & (rate > 3) & (chance > -1.5)) if rows.names[i][0] != ":"}
     for k in sorted(good, key=lambda k: (len(k), k)):  # of a beginning and its words, the wider one that is as telling
         if k.endswith("--"):
             continue
@@ -92,8 +110,12 @@ def _telling(rows: list[tuple[str, int]], label: int, most: int) -> list[str]:
         shorter = [x for c in _CUTS if c < len(stem) and (x := stem[:c] + "-") in good] + [x for x in (stem + "-",) if k[-1] != "-" and x in good]
         for x in shorter:
             if k in good and x in good:
-                good.discard(x if ones[k] >= 0.9 * ones[x] and rate(k) > rate(x) else k if rate(x) >= 0.5 * rate(k) else "")
-    return sorted(good, key=lambda k: (-ones[k] * np.log(rate(k)), k))[:most]
+                i, j = good[k], good[x]
+                if ones[i] >= 0.9 * ones[j] and rate[i] > rate[j]:
+                    del good[x]
+                elif rate[j] >= 0.5 * rate[i]:
+                    del good[k]
+    return sorted(good.values(), key=lambda i: (-ones[i] * np.log(rate[i]), rows.names[i]))[:most]
 
 
 def unlike(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
@@ -138,44 +160,40 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 8) -> tuple
     return post, rate
 
 
-def _fit(rows: list[tuple[str, int]]) -> dict[str, float]:
-    names = mine(rows)
-    place = {k: i for i, k in enumerate(names)}
-    votes = np.zeros((len(rows), len(names)))
-    for i, (text, _) in enumerate(rows):
-        for k in features(text) & place.keys():
-            votes[i, place[k]] = 1
-    labels = np.array([y for _, y in rows], float)
+def _fit(rows: Rows, which: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """(voters, their weights and the bias)."""
+    chosen = mine(rows, which)
+    votes, labels = rows.votes(which, chosen), rows.labels[which].astype(float)
     target, _ = label_model(votes, labels)
-    x = np.hstack([votes, np.ones((len(rows), 1))])
+    x = np.hstack([votes, np.ones((len(which), 1))])
     # both labels weigh the same, whatever the sample holds
     importance = np.where(labels > 0, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
-    w, ridge = np.zeros(x.shape[1]), np.r_[np.full(len(names), RIDGE), 1e-6]
+    w, ridge = np.zeros(x.shape[1]), np.r_[np.full(len(chosen), RIDGE), 1e-6]
     for _ in range(25):  # Newton's method
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ ((p - target) * importance) + ridge * w
         curve = (x.T * (importance * p * (1 - p))) @ x + np.diag(ridge + 1e-6)
         w -= np.clip(np.linalg.solve(curve, grad), -2, 2)
-    return {k: float(v) for k, v in zip([*names, ""], w, strict=True)}
+    return chosen, w
 
 
-def fit(rows: list[tuple[str, int]], folds: int = 4) -> dict[str, float]:
+def fit(sample: list[tuple[str, int]], folds: int = 4) -> dict[str, float]:
     """Feature -> weight, with the bias under the empty name; {} if a label is missing.
 
     Weights are scaled so that scores of rows that were left out of a fit match
     their labels (a two-parameter calibration over ``folds`` folds).
     """
-    rows = unlike(rows)
-    if len({y for _, y in rows}) < 2:
+    sample = unlike(sample)
+    if len({y for _, y in sample}) < 2:
         return {}
-    found, target = [], []
+    rows, every, found, target = Rows(sample), np.arange(len(sample)), [], []
     for k in range(folds):
-        rest = [r for i, r in enumerate(rows) if i % folds != k]
-        if len({y for _, y in rest}) == 2:
-            of = Scorer(_fit(rest))
-            found += [of.logit(t) for t, _ in rows[k::folds]]
-            target += [y for _, y in rows[k::folds]]
-    weights = _fit(rows)
+        rest, out = every[every % folds != k], every[k::folds]
+        if len(set(rows.labels[rest].tolist())) == 2:
+            chosen, w = _fit(rows, rest)
+            found += (rows.votes(out, chosen) @ w[:-1] + w[-1]).tolist()
+            target += rows.labels[out].tolist()
+    chosen, w = _fit(rows, every)
     scale = np.array([1.0, 0.0])
     x, y = np.c_[found, np.ones(len(found))], np.array(target, float)
     for _ in range(30):
@@ -184,7 +202,7 @@ def fit(rows: list[tuple[str, int]], folds: int = 4) -> dict[str, float]:
         grad = x.T @ (p - y) + 0.5 * (scale - [1.0, 0.0])
         scale -= np.clip(np.linalg.solve((x.T * (p * (1 - p))) @ x + 0.5 * np.eye(2), grad), -1, 1)
     scale[0] = max(scale[0], 0.2)
-    return {k: float(v * scale[0] + (scale[1] if not k else 0.0)) for k, v in weights.items()}
+    return {rows.names[i]: float(v * scale[0]) for i, v in zip(chosen, w, strict=False)} | {"": float(w[-1] * scale[0] + scale[1])}
 
 
 class Scorer:
