@@ -53,15 +53,19 @@ def holt_winters(values: np.ndarray, period: int, alpha: float, beta: float, gam
     return np.array([(level + k * trend) * season[n - period + (k - 1) % period] for k in range(1, horizon + 1)])
 
 
-def seasonal_period(values: np.ndarray, longest: int = 168) -> int:
-    """The lag of the largest autocorrelation; 4 where none reaches 0.1."""
+#: The longest season looked for, the season assumed where none shows, and the autocorrelation that shows one.
+LONGEST_SEASON, ASSUMED_SEASON, SHOWN = 168, 4, 0.1
+
+
+def seasonal_period(values: np.ndarray, longest: int = LONGEST_SEASON) -> int:
+    """The lag of the largest autocorrelation, or the assumed one where none is shown."""
     x = values - values.mean()
     total = (x * x).sum()
     if total == 0:
-        return 4
+        return ASSUMED_SEASON
     lags = range(2, min(len(x) // 2, longest) + 1)
-    best = max(((x[k:] * x[:-k]).sum() / total, -k) for k in lags) if len(lags) else (0.0, -4)
-    return -best[1] if best[0] >= 0.1 else 4
+    best = max(((x[k:] * x[:-k]).sum() / total, -k) for k in lags) if len(lags) else (0.0, -ASSUMED_SEASON)
+    return -best[1] if best[0] >= SHOWN else ASSUMED_SEASON
 
 
 def trend_season(values: np.ndarray, horizon: int, z: float = 1.96) -> pd.DataFrame:

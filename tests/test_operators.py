@@ -344,3 +344,37 @@ def test_correlate_runs(spark):
     e = Engine(spark, {"metrics": a, "traces": b})
     assert values(e.query("CORRELATE metrics WITH traces WITHIN 5s"), "l_value", "r_value") == [(1.0, 5.0)]
     assert e.query("CORRELATE metrics WITH traces WITHIN 1s").count() == 0 and e.query("CORRELATE metrics WITH traces WHERE metrics.service = 'x'").count() == 0
+
+
+def test_isolation_forest_finds_planted_rows(spark):
+    from brontide.analytics.anomaly import isolation_scores
+
+    rows = [(i, (i * 37 % 100) / 100.0, (i * 61 % 100) / 100.0) for i in range(400)] + [(1000, 9.0, 9.0), (1001, -8.0, 7.0)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    got = isolation_scores(df, "id", ["x", "y"], trees=12, sample=64)
+    top = [r["id"] for r in got.orderBy(F.col("score").desc()).limit(2).collect()]
+    assert sorted(top) == [1000, 1001] and got.where("score < 0 or score > 1").count() == 0
+    assert isolation_scores(df.limit(0), "id", ["x", "y"]).count() == 0
+
+
+def test_stream_dialect():
+    from brontide.streaming import dialect
+
+    q = dialect.parse("SELECT COUNT(*) AS cnt, AVG(value) FROM cpu.usage WHERE value > 80 GROUP BY host WINDOW SLIDING 10m SLIDE 1m HAVING cnt > 2 LATENESS 5s UPDATE EMIT TO cpu.avg")
+    assert (q.source, q.group_by, q.window, q.target, q.late, q.lateness) == ("cpu.usage", ["host"], {"kind": "hopping", "size": 600 * S, "slide": 60 * S}, "cpu.avg", "update", 5 * S)
+    assert [f[2] for f in q.fields] == ["cnt", "avg_value"] and dialect.mode(q) == "update"
+    assert dialect.parse("SELECT SUM(value) FROM m WINDOW HOPPING SIZE 10 MINUTES ADVANCE 1 MINUTE").window["slide"] == 60 * S
+    assert dialect.parse("SELECT COUNT(*) FROM e WINDOW SESSION SIZE 30 SECONDS EMIT FINAL").window["gap"] == 30 * S
+    assert dialect.parse("PATTERN spike (a.b, c.d) WITHIN 5m") == dialect.Pattern("spike", ["a.b", "c.d"], 300 * S)
+    assert dialect.parse("ON ANY INTO m WHERE value >= 5 EMIT ALERT too hot") == dialect.Rule("any", "m", ">=", 5.0, "alert", "too hot")
+    for bad in ("SELECT * WHERE value > 0", "ON INSERT WHERE host = 5", "SELECT foo(x) FROM m", "SELECT * FROM m WINDOW TUMBLING", "DROP x", "SELECT * FROM m EMIT SOMETIMES"):
+        with pytest.raises(ValueError):
+            dialect.parse(bad)
+
+
+def test_outer_range_join_keeps_equal_rows(spark):
+    """Rows that are alike each keep their place, with and without a partner."""
+    a = spark.createDataFrame([("k", 0), ("k", 0), ("k", 100), ("z", 0)], "k string, ts long")
+    b = spark.createDataFrame([("k", 5), ("k", 500), ("k", 500)], "k string, ts long")
+    got = [(r["l_k"], r["l_ts"], r["r_ts"]) for r in joins.within(a, b, ["k"], 10, "full").collect()]
+    assert sorted(got, key=str) == sorted([("k", 0, 5), ("k", 0, 5), ("k", 100, None), ("z", 0, None), (None, None, 500), (None, None, 500)], key=str)
