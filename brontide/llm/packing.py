@@ -12,7 +12,8 @@ spread) then look up their bin and offset.
 
 Defined cases: null counts as empty (one piece, the closing id); equal lengths
 are ranked by a hash of id and piece, then id and piece; repeated rows are packed
-once each; an empty table gives no rows.
+once each, as are rows with null ids; ids are integers (any other type raises
+TypeError); extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, materialise, ranked
+from .common import arrow_batches, integer_ids, materialise, ranked
 
 CAPACITY, END_ID = 4096, 1
 #: Words whose ids a Python worker remembers (about 200 bytes each).
@@ -81,6 +82,7 @@ def pieces_of(text: str) -> tuple[str, np.ndarray]:
 
 def _byte_of() -> dict[str, int]:
     """The byte that each printable stand-in of a byte-level vocabulary means."""
+    # The bytes that byte-level vocabularies show as themselves.
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in set(shown)]
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
@@ -281,6 +283,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset): a row per piece."""
     arrow_batches(docs.sparkSession)
+    integer_ids(docs, id_col)
     id_type = docs.schema[id_col].dataType
     slim = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
     pieces = materialise(slim.mapInArrow(_pieces(tokenizer, capacity, end_id), "d long, piece int, start long, length long, ids_crc32 long"), "pieces")
