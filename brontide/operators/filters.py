@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import json_path
+from ..functions.scalars import json_path, masked
 from ..model import Points, bucket
 
 LONGEST_PATTERN = 1024
@@ -107,6 +107,17 @@ def logs(df: DataFrame, start: int | None = None, end: int | None = None, least:
     return df.where(reduce(lambda a, b: a & b, conditions, F.lit(True)))
 
 
+def masked_for(df: DataFrame, policies: Sequence[dict], role: str, metric: str = "metric") -> DataFrame:
+    """Columns masked by policies {column, how: redact|hash|truncate, secret, except: [roles], prefix: of the metrics it holds for}; the first that fits a row decides."""
+    out = df
+    for column in dict.fromkeys(p["column"] for p in policies):
+        shown = F.col(column).cast("string")
+        for p in reversed([p for p in policies if p["column"] == column and role not in p.get("except", ())]):
+            shown = F.when(F.col(metric).startswith(p.get("prefix", "")), masked(F.col(column).cast("string"), p["how"], p.get("secret"))).otherwise(shown)
+        out = out.withColumn(column, shown)
+    return out
+
+
 def sampled(key: Column, ts: Column, rate: float) -> Column:
     """Like ``hash_sampled``, by MD5, which other systems can compute as well."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", key.cast("string"), ts.cast("string"))), 1, 8), 16, 10).cast("long") < int(rate * (1 << 32))

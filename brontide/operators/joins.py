@@ -80,10 +80,13 @@ def within(left: DataFrame, right: DataFrame, keys: list[str], width: int, how:
     return out
 
 
-def enrich(points: DataFrame, lookup: DataFrame, keys: list[str], value: str = "value", ts: str = "ts", name: str = "lookup") -> DataFrame:
-    """The latest value of the lookup series per key as a text tag with four decimals."""
-    latest = lookup.groupBy(*keys).agg(F.max_by(value, ts).alias("_v"))
-    return points.join(latest, keys, "left").withColumn(name, F.format_string("%.4f", "_v")).drop("_v").withColumn(name, F.when(F.col(name) != "null", F.col(name)))
+def enrich(points: DataFrame, lookup: DataFrame, keys: list[str], value: str = "value", ts: str = "ts", name: str = "lookup", ttl: int | None = None) -> DataFrame:
+    """The latest value of the lookup series per key as a text tag with four decimals; with ``ttl`` only where it is no older than that at the point's time."""
+    latest = lookup.groupBy(*keys).agg(F.max_by(value, ts).alias("_v"), F.max(ts).alias("_at"))
+    found = F.when(F.col("_v").isNotNull(), F.format_string("%.4f", "_v"))
+    if ttl is not None:
+        found = F.when(F.col(ts) - F.col("_at") <= ttl, found)
+    return points.join(latest, keys, "left").withColumn(name, found).drop("_v", "_at")
 
 
 def training_set(spine: DataFrame, features: dict[str, DataFrame], entity: str = "entity_id", ts: str = "ts") -> DataFrame:

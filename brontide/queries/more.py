@@ -11,7 +11,7 @@ from ..functions import scalars as X
 from ..lang import promql, sql
 from ..lang.others import Engine, builder_sql, to_promql
 from ..model import Points, bucket, events, read
-from ..operators import features, filters, graph, histograms, sets, windows
+from ..operators import features, filters, graph, histograms, joins, sets, windows
 from ..plans import views
 from ..plans.query import Agg, TSQuery, plan
 from ..shared import shared_dir, written
@@ -750,3 +750,39 @@ def s11_otlp_json(spark, d):
     metric = F.struct(F.lit("load").alias("name"), F.struct(F.array(point).alias("dataPoints")).alias("gauge"))
     doc = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.array(metric).alias("metrics"))).alias("scopeMetrics"))).alias("resourceMetrics")))
     return ingest.otlp_json(events(spark, d).df.select(doc.alias("value"))).select("metric", F.col("tags.kind").alias("kind"), "value", "ts")
+
+
+@query("WITH l AS (SELECT user_id, arg_max(value, ts) AS v, max(ts) AS at FROM p WHERE event_type = 'view' AND ts < 1705276800000000000 GROUP BY 1) SELECT p.event_id, CASE WHEN p.ts - l.at <= 86400000000000 THEN printf('%.4f', l.v) END AS lookup FROM (SELECT * FROM p WHERE event_type = 'click') p LEFT JOIN l USING (user_id)")
+def j8_enrichment_ttl(spark, d):
+    df = events(spark, d).df
+    lookup = df.where("event_type = 'view'").where(F.col("ts") < T0 + 14 * D).select("user_id", "value", "ts")
+    return joins.enrich(df.where("event_type = 'click'").select("event_id", "user_id", "ts"), lookup, ["user_id"], ttl=D).select("event_id", "lookup")
+
+
+@query("SELECT epoch_us(date_trunc('hour', e.ts)) AS window_start, event_type, count(*) AS n, max(value) AS high FROM events e WHERE value > 10 GROUP BY ALL")
+def t19_etl_aggregate(spark, d):
+    stages = T.Pipeline(T.source(spark, d, "events")).filter(F.col("value") > 10).aggregate("ts", "1 hour", ["event_type"], F.count(F.lit(1)).alias("n"), F.max("value").alias("high"))
+    return T.finish(stages.df, "complete").select(F.unix_micros("window_start").alias("window_start"), "event_type", "n", "high")
+
+
+@query("SELECT event_id, value FROM p WHERE value > 1")
+def t27_checkpoint_restore(spark, d):
+    """Half of the files first; the second run starts from the checkpoint and adds the others once."""
+    name = f"restored-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/brontide-{name}"
+    rows = events(spark, d).df.select("event_id", "value", "ts")
+
+    def run():
+        return T.finish(spark.readStream.schema(rows.schema).parquet(path).where("value > 1").select("event_id", "value"), name=name)
+
+    rows.where(F.col("ts") < T0 + 15 * D).write.parquet(path)
+    run()
+    rows.where(F.col("ts") >= T0 + 15 * D).write.mode("append").parquet(path)
+    return run()
+
+
+@query("SELECT event_id, CASE WHEN event_type LIKE 'cl%' THEN '***' WHEN length(user_id::VARCHAR) > 3 THEN substr(user_id::VARCHAR, 1, 3) || '...' ELSE user_id::VARCHAR END AS user_id, sha256(props) AS props FROM p")
+def f22_masking_policies(spark, d):
+    df = events(spark, d).df.select("event_id", F.col("event_type").alias("metric"), "user_id", "props")
+    policies = [{"column": "user_id", "how": "redact", "prefix": "cl"}, {"column": "user_id", "how": "truncate"}, {"column": "props", "how": "hash", "except": ["admin"]}]
+    return filters.masked_for(df, policies, "viewer").drop("metric")

@@ -28,15 +28,15 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return stream.select([F.col(f.name).cast("timestamp").alias(f.name) if f.dataType.simpleString() == "timestamp_ntz" else F.col(f.name) for f in schema])
 
 
-def finish(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
+def finish(stream: DataFrame, mode: str = "append", folder: str | None = None, name: str | None = None) -> DataFrame:
     """Runs a stream over all there is (availableNow), with a checkpoint, and gives the emitted rows.
 
-    ``append`` goes to Parquet files; ``complete`` and ``update`` rewrite the result
+    A second run under the same ``name`` goes on from the checkpoint.  ``append`` goes to Parquet files; ``complete`` and ``update`` rewrite the result
     of the last batch that had any (idempotent per batch).
     """
     spark = stream.sparkSession
     base = folder or shared_dir(spark)
-    at = f"{base}/stream-{uuid.uuid4().hex}"
+    at = f"{base}/stream-{name or uuid.uuid4().hex}"
     writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{at}/state")
     if mode == "append":
         query = writer.format("parquet").option("path", f"{at}/out").outputMode("append").start()
