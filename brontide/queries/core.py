@@ -247,14 +247,14 @@ def a29_changes_resets(spark, d):
     return linked(spark, d, "value").groupBy("user_id").agg(s.changes().alias("changes"), s.resets().alias("resets"))
 
 
-@query("""WITH RECURSIVE o AS (SELECT user_id, value::DOUBLE AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, value) AS k FROM p WHERE ts < 1704672000000000000),
+@query("""WITH RECURSIVE o AS (SELECT user_id, value::DOUBLE AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, value) AS k FROM p),
 r(user_id, k, l, b) AS (SELECT a.user_id, 1::BIGINT, a.v, c.v - a.v FROM o a JOIN o c ON a.user_id = c.user_id AND a.k = 1 AND c.k = 2
 UNION ALL SELECT o.user_id, o.k, 0.3::DOUBLE * o.v + 0.7::DOUBLE * (r.l + r.b), 0.1::DOUBLE * (0.3::DOUBLE * o.v + 0.7::DOUBLE * (r.l + r.b) - r.l) + 0.9::DOUBLE * r.b FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1),
 f AS (SELECT user_id, l + b AS s FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1)
 SELECT u.user_id, round(f.s, 5) AS smoothed FROM (SELECT DISTINCT user_id FROM o) u LEFT JOIN f USING (user_id)""")
 def a30_holt_winters(spark, d):
     s = A.samples(F.col("value"), F.col("ts"))
-    return events(spark, d).between(None, T0 + 7 * D).df.groupBy("user_id").agg(F.round(A.holt_winters(s, 0.3, 0.1), 5).alias("smoothed"))
+    return events(spark, d).df.groupBy("user_id").agg(F.round(A.holt_winters(s, 0.3, 0.1), 5).alias("smoothed"))
 
 
 _EDGES = [5.0, 10.0, 20.0, 50.0, 100.0, 200.0]
