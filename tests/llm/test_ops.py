@@ -474,6 +474,81 @@ def test_pipeline(spark, sf):
     assert docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 4096
 
 
+def brute_mix(spark, rows):
+    """(id, text) as often as the mix takes them, of rows (id, text, source): targets by filling up, then whole passes of each tape and a prefix."""
+    sizes = Counter()
+    for _, text, source in rows:
+        sizes[source] += len(WORD.findall(text))
+    names = sorted(x for x in sizes if x is not None) + [None] * (None in sizes)
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    free, target, left = set(names), {}, 1.5 * sum(sizes.values())
+    while free:
+        level = left / sum(weight[s] for s in free)
+        full = [s for s in free if 2 * sizes[s] <= weight[s] * level]
+        for s in full or free:
+            target[s] = 2.0 * sizes[s] if full else weight[s] * level
+        left -= sum(target[s] for s in full)
+        free = free - set(full) if full else set()
+    ids = spark.createDataFrame([(r[0],) for r in rows], "d long").distinct()
+    at = {r["d"]: r["h"] for r in ids.select("d", spread(F.col("d")).alias("h")).collect()}
+    out = Counter()
+    for s in names:
+        tape, goal = sorted((r for r in rows if r[2] == s), key=lambda r: (at[r[0]], r[0])), int(target[s])
+        while goal > 0:
+            for i, text, _ in tape:
+                w = WORD.findall(text)
+                if n := min(goal, len(w)):
+                    out[i, text if n == len(w) else " ".join(w[:n])] += 1
+                    goal -= n
+    return out
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage by hand, each on what the one before leaves; only the classifier's weights are the operator's own."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    texts_, r = {}, np.random.default_rng(12)
+    for i in range(60):
+        words = prose(int(r.integers(30, 120)), 700 + i).split()
+        texts_[i] = " ".join(words + (PASSAGE.split() if i % 6 == 0 else []))
+        if i % 5 == 0:
+            texts_[100 + i] = " ".join([*words[:-1], "changed"])
+    for i in range(40):
+        texts_[200 + i] = prose(40, 900 + i) + (" you nasty loser nasty" if i % 2 else "")
+    docs = [(i, t, "en", "abc"[i % 3] if i % 7 else None, len(t)) for i, t in texts_.items()]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(200 + i, 1, i % 2) for i in range(40)] + [(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    table, labels = spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet")
+    of = toxicity.Scorer(toxicity.fit(toxicity.training_rows(table, labels, registry.fold("doc_id", 3) != 1)))
+    kept = {i: t for i, t in texts_.items() if of(t) < 0.7}
+    assert 0 < len(texts_) - len(kept) <= 20 and all("nasty" in texts_[i] for i in texts_.keys() - kept.keys())
+    kept = {i: kept[i] for i, (_, _, first) in groups(kept).items() if first}
+    seen, cut = set(), {}
+    for i in sorted(kept):
+        w, gone = WORD.findall(kept[i]), set()
+        for s in range(len(w) - 19):
+            if (k := tuple(w[s : s + 20])) in seen:
+                gone.update(range(s, s + 20))
+            seen.add(k)
+        cut[i] = " ".join(x for j, x in enumerate(w) if j not in gone)
+    source = {d[0]: d[3] for d in docs}
+    encode = Tokenizer.from_file(registry.tokenizer_path()).encode
+    want = Counter()
+    for (i, text), n in brute_mix(spark, [(i, t, source[i]) for i, t in cut.items()]).items():
+        ids = [*encode(text, add_special_tokens=False).ids, 1]
+        for piece, start in enumerate(range(0, len(ids), 4096)):
+            own = np.array(ids[start : start + 4096], "<u4")
+            want[i, piece, start, len(own), zlib.crc32(own.tobytes())] += n
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    bins = defaultdict(list)
+    for x in got:
+        bins[x["sequence_id"]].append((x["offset"], x["length"]))
+    for x in bins.values():
+        assert [o for o, _ in sorted(x)] == np.cumsum([0, *(n for _, n in sorted(x))])[:-1].tolist() and sum(n for _, n in x) <= 4096
+
+
 def test_missing_subpackage():
     """The entry works without the subpackage."""
     import os
