@@ -18,7 +18,13 @@ def modulo(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(float("nan"))).otherwise(a % F.when(b == 0, F.lit(1.0)).otherwise(b))
 
 
-ARITHMETIC = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": divide, "%": modulo, "^": F.pow}
+def quotient(a: Column, b: Column) -> Column:
+    """Division of doubles: a number by zero is an infinity, zero by zero NaN."""
+    infinite = F.when(b.cast("string").startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
+    return F.when(b == 0, a * infinite).otherwise(a / F.when(b == 0, F.lit(1.0)).otherwise(b))
+
+
+ARITHMETIC = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": quotient, "%": modulo, "^": F.pow}
 COMPARE = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, ">": lambda a, b: a > b, "<": lambda a, b: a < b, ">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b}
 
 

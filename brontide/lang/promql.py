@@ -532,7 +532,7 @@ class Evaluator:
 def _numbers(op: str, a: float, b: float) -> float:
     if op in ("==", "!=", ">", "<", ">=", "<="):
         return float({"==": a == b, "!=": a != b, ">": a > b, "<": a < b, ">=": a >= b, "<=": a <= b}[op])
-    return {"+": a + b, "-": a - b, "*": a * b, "/": a / b if b else math.nan, "%": math.fmod(a, b) if b else math.nan, "^": a**b}[op]
+    return {"+": a + b, "-": a - b, "*": a * b, "/": a / b if b else a * math.copysign(math.inf, b), "%": math.fmod(a, b) if b else math.nan, "^": a**b}[op]
 
 
 def label_names(tables: dict[str, Points]) -> list[str]:

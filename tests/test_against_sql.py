@@ -39,3 +39,11 @@ def test_root_causes_tell_suppliers_from_callees(spark, tmp_path):
     calls = [(p, s) for s in (5, 999, 1000, 1003, 1006, 1007) for p in range(s % 4, s % 4 + 3)]
     got, wanted = both(spark, tmp_path, "n20_root_causes", lineitem=("l_partkey long, l_suppkey long", calls), supplier=("s_suppkey long", [(s,) for s in (5, 999, 1000, 1003, 1006, 1007)]))
     assert got == wanted and len(got) > 6
+
+
+def test_vectors_are_divided_by_zero(spark, tmp_path):
+    at = datetime(2024, 1, 2, 3, 30)
+    pairs = [(1, 4.0, 0.0), (2, 0.0, 0.0), (3, 4.0, 16.0), (4, 4.0, 8.0), (5, 4.0, 7.0), (6, -4.0, 0.0), (7, 4.0, None), (None, 4.0, 1.0)]
+    rows = [(10 * i + j, at, u, kind, v, "{}") for i, (u, *vs) in enumerate(pairs) for j, (kind, v) in enumerate(zip(("click", "view"), vs, strict=True))]
+    got, wanted = both(spark, tmp_path, "j14_promql_vector_matching", events=(EVENTS, rows))
+    assert got == wanted and {r[0] for r in got} == {"1", "2", "5"}
