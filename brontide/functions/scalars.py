@@ -31,17 +31,22 @@ COMPARE = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, ">": lambda a,
 def clamp(v: Column, low: float, high: float) -> Column:
     if low > high:
         return F.lit(float("nan"))
-    return F.greatest(F.least(v, F.lit(float(high))), F.lit(float(low)))
+    return F.least(F.greatest(v, F.lit(float(low))), F.lit(float(high)))
 
 
 def log_or_nan(f, v: Column) -> Column:
-    """Logarithms of zero are -Infinity, of negative numbers NaN."""
-    return F.when(v > 0, f(v)).when(v == 0, F.lit(float("-inf"))).otherwise(F.lit(float("nan")))
+    """Logarithms of zero are -Infinity, of negative numbers NaN; null stays."""
+    return F.when(v > 0, f(v)).when(v == 0, F.lit(float("-inf"))).when(v < 0, F.lit(float("nan")))
+
+
+def whole(f, v: Column) -> Column:
+    """A rounding ``f`` that gives a double of the number's sign; numbers of 2**53 and more, which are whole, infinities and NaN stay."""
+    return F.when(F.abs(v) < float(1 << 53), F.abs(f(v)).cast("double") * F.signum(v)).otherwise(v)
 
 
 MATH = {
-    "abs": F.abs, "ceil": lambda v: F.ceil(v).cast("double"), "floor": lambda v: F.floor(v).cast("double"), "round": lambda v: F.round(v), "exp": F.exp,
-    "sqrt": lambda v: F.when(v >= 0, F.sqrt(v)).otherwise(F.lit(float("nan"))), "sgn": F.signum, "ln": lambda v: log_or_nan(F.ln, v),
+    "abs": F.abs, "ceil": lambda v: whole(F.ceil, v), "floor": lambda v: whole(F.floor, v), "round": lambda v: whole(F.round, v), "exp": F.exp,
+    "sqrt": lambda v: F.when(v >= 0, F.sqrt(v)).when(v < 0, F.lit(float("nan"))), "sgn": F.signum, "ln": lambda v: log_or_nan(F.ln, v),
     "deg": F.degrees, "rad": F.radians, "sin": F.sin, "cos": F.cos, "tan": F.tan, "asin": F.asin, "acos": F.acos, "atan": F.atan, "sinh": F.sinh, "cosh": F.cosh, "tanh": F.tanh,
     "log2": lambda v: log_or_nan(F.log2, v), "log10": lambda v: log_or_nan(F.log10, v),
 }

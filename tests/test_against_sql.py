@@ -47,3 +47,9 @@ def test_vectors_are_divided_by_zero(spark, tmp_path):
     rows = [(10 * i + j, at, u, kind, v, "{}") for i, (u, *vs) in enumerate(pairs) for j, (kind, v) in enumerate(zip(("click", "view"), vs, strict=True))]
     got, wanted = both(spark, tmp_path, "j14_promql_vector_matching", events=(EVENTS, rows))
     assert got == wanted and {r[0] for r in got} == {"1", "2", "5"}
+
+
+def test_math_of_odd_numbers(spark, tmp_path):
+    odd = [None, math.nan, math.inf, -math.inf, 0.0, -0.4, -0.5, 0.5, 2.5, -2.5, 0.49999999999999994, 9.995, 10.0, 1e300, -1e300, 2.0**53 + 2, 4503599627370497.5, 5e-324]
+    got, wanted = both(spark, tmp_path, "x1_math", events=(EVENTS, [(i, MILLIS[0], 7, "view", v, "{}") for i, v in enumerate(odd)]))
+    assert got == wanted and len(got) == len(odd)
