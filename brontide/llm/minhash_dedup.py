@@ -11,8 +11,8 @@ documents never reach the tables.  Equal shingle sets are one class from the
 start.  In every table bucket the members are first compared with one of them, the
 one whose half keys most classes share (a star, never all pairs), unless their sizes
 rule a link out.  Where members other than that one still lie in different components,
-they are compared with each other, in pairs that share one of the rarest shingles of
-both sets, as any two similar sets do.  So every pair that shares a table is linked,
+the members of these components are compared with each other, in pairs that share one
+of the rarest shingles of both sets, as any two similar sets do.  So every pair that shares a table is linked,
 ruled out on its full shingle sets (64-bit hashes), or within one component already.
 
 ``exact_links`` needs no tables: all links, by the shared rarest shingles of all
@@ -202,21 +202,25 @@ def near_groups(
     discard(keyed, leaders)
     alike = 100 * F.least("n", "u_n") >= percent * F.greatest("n", "u_n")
     star = materialise(members.where(alike).select(F.least("d", "u").alias("u"), F.greatest("d", "u").alias("v")).distinct(), "stars")
-    # a set is wanted if a star needs it, or a bucket of more than two that may stay apart
+    # a set is wanted if a star needs it, or a bucket of more than two that may stay apart; only members that no star needs are looked up
     several = members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    wanted = star.select(F.col("u").alias("d")).unionByName(star.select(F.col("v").alias("d"))).unionByName(members.join(several.hint("merge"), "key", "left_semi").select("d"))
+    wanted = star.select(F.col("u").alias("d")).unionByName(star.select(F.col("v").alias("d"))).unionByName(members.where(~alike).join(several.hint("merge"), "key", "left_semi").select("d"))
     wanted = materialise(wanted.distinct(), "wanted")
     sets = materialise(_only(slim, wanted).mapInArrow(_sets(shingle), "d long, s array<long>"), "sets")
     discard(wanted)
     links = materialise(_confirmed(star, sets, percent), "links")
     found = components(links, "u", "v")
-    # What the stars left apart: members of one bucket in different components, the star's centre aside, whose pairs are all settled.
-    apart = members.select("key", "d").join(found.withColumnRenamed("node", "d").hint("merge"), "d", "left").select("key", "d", F.coalesce("component", "d").alias("c"))
+    # What the stars left apart: components that share a bucket, the star's centre aside, whose pairs are all settled.  One row a
+    # bucket and component is looked up, not one a member; all members of such components are compared.
+    component = found.withColumnRenamed("node", "d").hint("merge")
+    apart = members.select("key", "d").join(component, "d", "left").select("key", F.coalesce("component", "d").alias("c")).distinct()
     apart = materialise(apart, "apart")
-    split = apart.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
-    open_ = apart.join(split.hint("merge"), "key", "left_semi").select("d", "c").distinct()
+    split = apart.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    unsettled = materialise(apart.join(split.hint("merge"), "key", "left_semi").select("c").distinct(), "unsettled")
+    own = sets.select("d").join(component, "d", "left").select("d", F.coalesce("component", "d").alias("c"))
+    open_ = spread_join(own, unsettled, "c", "d").select("d", "c")
     open_ = materialise(sets.join(open_.hint("merge"), "d"), "open")
-    discard(apart, members, sets)
+    discard(apart, members, sets, unsettled)
     pairs = _close(open_, percent).join(star.hint("merge"), ["u", "v"], "left_anti")
     more = materialise(_confirmed(pairs, open_, percent), "links")
     if not more.isEmpty():

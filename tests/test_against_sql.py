@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from brontide.catalog import QUERIES, SQL
+from brontide.llm import minhash_dedup
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 #: Times whose nanoseconds, divided by a million as doubles, fall below the whole millisecond.
@@ -53,3 +54,29 @@ def test_math_of_odd_numbers(spark, tmp_path):
     odd = [None, math.nan, math.inf, -math.inf, 0.0, -0.4, -0.5, 0.5, 2.5, -2.5, 0.49999999999999994, 9.995, 10.0, 1e300, -1e300, 2.0**53 + 2, 4503599627370497.5, 5e-324]
     got, wanted = both(spark, tmp_path, "x1_math", events=(EVENTS, [(i, MILLIS[0], 7, "view", v, "{}") for i, v in enumerate(odd)]))
     assert got == wanted and len(got) == len(odd)
+
+
+def test_near_dedup_looks_up_components_not_members(spark, tmp_path, monkeypatch):
+    """Of a large group of near copies and its odd ones, no lookup by bucket takes a row for each member."""
+    words = [f"w{i}" for i in range(60)]
+    copies = [" ".join([*words[:i], f"x{i}", *words[i + 1 :]]) for i in range(0, 60, 2)]
+    apart = [" ".join([*words[:45], *[f"y{k}{i}" for i in range(8)]]) for k in range(6)]
+    docs = spark.createDataFrame(list(enumerate([" ".join(words), *copies, *apart])), "doc_id long, text string")
+    sizes, kept = {}, minhash_dedup.materialise
+
+    def counted(df, name="t"):
+        out = kept(df, name)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash_dedup, "materialise", counted)
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_groups(docs).collect()}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in ((r["doc_id"], r["text"].split()) for r in docs.collect())}
+    reach = {i: i for i in sets}
+    for _ in sets:
+        for u in sets:
+            for v in sets:
+                if 100 * len(sets[u] & sets[v]) >= 75 * len(sets[u] | sets[v]):
+                    reach[u] = reach[v] = min(reach[u], reach[v])
+    assert got == reach and len(set(reach.values())) > 1
+    assert 3 * sizes["apart"][0] < sizes["buckets"][0]
